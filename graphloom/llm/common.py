@@ -31,6 +31,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def replaced(df: DataFrame, *names: str) -> DataFrame:
+    """``df`` without columns of these names: an operator's own columns replace those of the input."""
+    return df.drop(*names)
+
+
 def words(text: str | None) -> list[bytes]:
     """The runs of bytes other than 0x20 and 0x09-0x0D; bytes.split() cuts at exactly these."""
     return text.encode("utf-8", "surrogatepass").split() if text else []

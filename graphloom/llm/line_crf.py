@@ -11,7 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import words
+from .common import replaced, words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -96,6 +96,8 @@ def assess(text: str | None) -> tuple:
 def quality_rules(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with COLUMNS added. Rows, other columns and repeats stay as they are; null and empty texts have no words and fail the base rule; an empty table gives none."""
 
+    docs = replaced(docs, *COLUMNS.names)
+
     def run(batches):
         for b in batches:
             rows = list(zip(*map(assess, b.column(b.schema.get_field_index(text_col)).to_pylist()))) or [[] for _ in COLUMNS]

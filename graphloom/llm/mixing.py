@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, replaced
 
 #: Leaves up to which their table is broadcast to the documents; beyond, the join is left to the planner.
 BROADCAST_LEAVES = 50_000
@@ -54,10 +54,11 @@ def budgets(leaves: DataFrame, levels: list[str], budget: float | Column, weight
 def mix(docs: DataFrame, levels: dict[str, Column], fraction: float = 1.0, max_epochs: int = 4, weights: dict[tuple, float] | None = None, key: str = "doc_id", text_col: str = "text", seed: str = "mix") -> DataFrame:
     """docs with ``_epoch`` (0 and up), each row as often as its leaf's target asks.
 
-    ``levels`` name the tree from the root down (null counts as the empty name); tokens are runs of characters other than space, tab and line ends. The budget is ``fraction`` of all tokens; a leaf gives at most ``max_epochs`` times its tokens. A leaf gives whole epochs first, then of one more the longest prefix, in order of md5(seed|epoch|key), that doesn't pass its target; rows of one key come or go together, null keys count as one key, and rows without tokens follow that order too.
+    ``levels`` name the tree from the root down (null counts as the empty name); tokens are runs of characters other than space, tab and line ends. The budget is ``fraction`` of all tokens; a leaf gives at most ``max_epochs`` times its tokens. A leaf gives whole epochs first, then of one more the longest prefix, in order of md5(seed|epoch|key), that doesn't pass its target; rows of one key come or go together, null keys count as one key, rows without tokens follow that order too, and a leaf without any token gives nothing.
     The prefix is found on 4,096 hash ranges of each leaf and then within the one range where the target falls, so no task gathers a leaf; texts are never shuffled. An empty table gives none.
     """
     names = [f"_l{i}" for i in range(len(levels))]
+    docs = replaced(docs, *names, "_full", "_cut", "_times", "_epoch", "_tokens")
     hashed = lambda epoch: F.md5(F.concat_ws("|", F.lit(seed), epoch.cast("string"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
     leaf = {n: F.coalesce(c.cast("string"), F.lit("")) for n, c in zip(names, levels.values())}
     count = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")
@@ -76,7 +77,7 @@ def mix(docs: DataFrame, levels: dict[str, Column], fraction: float = 1.0, max_e
     inside = placed.select(*names, "_range", "_h", "_tokens", "rest").join(split, [*names, "_range"]).withColumn("_sum", F.col("_before") + F.sum("_tokens").over(within))
     last = inside.filter("_sum <= rest").groupBy(*names).agg(F.max("_h").alias("_last"))
     cut = split.join(last, names, "left").select(*names, F.coalesce("_last", "_range").alias("_cut"))
-    plan = materialize(plan.join(cut, names, "left").select(*names, "full", F.when(F.col("rest") > 0, F.coalesce("_cut", F.lit("g"))).alias("_cut")))
+    plan = materialize(plan.join(cut, names, "left").select(*names, F.col("full").alias("_full"), F.when(F.col("rest") > 0, F.coalesce("_cut", F.lit("g"))).alias("_cut")))
     out = docs.withColumns(leaf).join(F.broadcast(plan) if small else plan, names)
-    times = F.col("full") + F.when(hashed(F.col("full")) <= F.col("_cut"), 1).otherwise(0)
+    times = F.col("_full") + F.when(hashed(F.col("_full")) <= F.col("_cut"), 1).otherwise(0)
     return out.withColumn("_times", times).filter("_times > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(0), F.col("_times") - 1))).select(*docs.columns, "_epoch")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, line_crf, mixing, oracles, sharding, simhash, tiling
-from .common import table
+from . import attention_mil, brown, byte_repeats, chat, line_crf, line_runs, mixing, oracles, sharding, simhash, tiling
+from .common import remainder, table
 
 #: Share of a benchmark item's tokens from which a document counts as contaminated.
 CONTAMINATED = 0.5
@@ -20,6 +20,13 @@ def tree() -> dict[str, Column]:
     return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 0
+    model = attention_mil.train(docs, table(spark, sf_dir, "labels"), ~held_out)
+    out = attention_mil.score(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted"), F.col("_attention").alias("top_attention"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.simhash_groups(table(spark, sf_dir, "documents"), shingle=3, radius=2)
     return groups.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
@@ -31,6 +38,17 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.octet_length(raw) + 16).cast("bigint").alias("size"), F.crc32(raw).alias("text_crc32"), F.lit("key").alias("law"), F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), sharding.shard_of("doc_id", 41, 17).alias("grown_shard"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_runs.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), shortest=2)
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.aggregate("_runs", F.lit(0).cast("bigint"), lambda n, r: n + r[1]).alias("n_removed"), F.size("_runs").cast("bigint").alias("n_runs"), F.md5(F.col("_clean").cast("binary")).alias("kept_md5"))
+
+
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = byte_repeats.drop_repeated_bytes(table(spark, sf_dir, "documents").select("doc_id", "text"), length=200)
+    removed = F.col("_bytes") - F.octet_length("_kept")
+    return out.select("doc_id", F.col("_bytes").alias("n_bytes"), removed.cast("bigint").alias("n_removed"), F.size("_removed").cast("bigint").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"), tree(), fraction=1.0, max_epochs=4)
     return out.select("doc_id", "lang", "source", F.col("_epoch").alias("epoch"))
@@ -50,5 +68,11 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.rotate_perspectives(table(spark, sf_dir, "conversations"))
 
 
-QUERIES = {f.__name__: f for f in (op2_simhash, op3_sharding, op6_mixing, op7_quality_rules, op8_decontamination, op9_chat)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = remainder("doc_id", 7) == 2
+    out = brown.score_texts(table(spark, sf_dir, "documents").select("doc_id", "text"), ~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), *(F.col(a).alias(b) for a, b in (("_n_tokens", "n_tokens"), ("_n_known", "n_known"), ("_train_tokens", "train_tokens"), ("_base", "base_score"), ("_score", "score"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash, op3_sharding, op4_line_dedup, op5_suffix_dedup, op6_mixing, op7_quality_rules, op8_decontamination, op9_chat, op10_lm_scoring)}
 ORACLES = oracles.ORACLES

@@ -8,6 +8,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import replaced
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of text that a bucket is meant to hold.
@@ -38,6 +40,7 @@ def shuffle_shards(docs: DataFrame, shards: int = 40, key: str = "doc_id", text_
     Pass one scatters rows by a seeded hash into buckets of about ``bucket_bytes``; pass two shuffles each bucket in memory. Slots of a bucket follow those of the shard's lower buckets.
     Rows of one key fall into one bucket; rows without a key are scattered by their text. All columns pass through; a null text counts as empty; an empty table gives none.
     """
+    docs = replaced(docs, "_shard", "_bucket", "_slot", "_order", "_place", "_start", "_n")
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 16
     total = docs.agg(F.sum(size.cast("bigint")).alias("b")).first()["b"] or 0
     buckets = max(1, -(-total // (bucket_bytes * shards)))

@@ -36,11 +36,17 @@ def shingle_hashes(text: str | None, k: int) -> np.ndarray:
     return np.fromiter((digest(line[a:b], 42) for a, b in zip(starts, ends[k - 1 :])), np.uint64, len(w) - k + 1)
 
 
+def _remixed(h: np.ndarray, seed: int) -> np.ndarray:
+    h = (h ^ np.uint64(((seed + 1) * 0x632BE59BD9B4E019) & ((1 << 64) - 1))) * _MIX
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
 def fingerprint(hashes: np.ndarray, width: int = 1) -> list[int]:
     """``width`` 64-bit words as signed integers; a bit is 1 if set in over half the hashes, no hashes give zeros. Words after the first take remixed hashes."""
     out = []
     for i in range(width):
-        h = hashes if not i else (hashes ^ (hashes >> np.uint64(29 + i))) * (_MIX + np.uint64(2 * i))
+        h = _remixed(hashes, -i - 1) if i else hashes
         ones = np.zeros(64, np.int64)
         for at in range(0, len(h), 1 << 14):
             ones += np.unpackbits(np.ascontiguousarray(h[at : at + (1 << 14)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -57,7 +63,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for t in b["_text"]:
                 h = shingle_hashes(t, shingle)
                 fps.append(fingerprint(h, width))
-                mins.append([int(((h ^ (h >> np.uint64(31))) * (_MIX * np.uint64(2 * s + 3))).view(np.int64).min()) if len(h) else s for s in range(minhashes)])
+                mins.append([int(_remixed(h, s).view(np.int64).min()) if len(h) else s for s in range(minhashes)])
             yield pd.DataFrame({"id": b["_id"], "fp": fps, "mins": mins})
 
     kind = docs.schema[id_col].dataType.simpleString()

@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import replaced
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 WORD = re.compile(r"\w+")
@@ -101,6 +103,7 @@ def decontaminate(docs: DataFrame, tests: DataFrame, text_col: str = "text", ite
     Tokens are lower-cased runs of word characters, so case and punctuation don't hide a passage, and tiles may come in any order. The tests go out in blocks of about ``block_bytes``, each block one narrow pass over all docs, so nothing of unknown size is broadcast and no pair of texts is shuffled.
     Tests of fewer than ``shortest`` tokens (null and empty ones too) match nothing; null and empty texts have coverage 0; repeated rows and other columns stay.
     """
+    docs = replaced(docs, "_coverage", "_item", "_tiles")
     tests = tests.select(F.col(item_col).cast("string").alias("i"), F.col(item_text).alias("t")).filter("t is not null")
     total = tests.agg(F.sum(F.octet_length("t").cast("bigint")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-total // block_bytes))
