@@ -112,6 +112,16 @@ def test_similar_finds_edited_copies(spark):
     assert got == {i: i // 2 * 2 for i in range(120)}
 
 
+def test_similar_finds_pairs_just_over_the_similarity():
+    rng, radius = np.random.default_rng(5), int(64 * 8 * 0.2)
+    for _ in range(150):
+        w = [f"w{x}" for x in rng.integers(0, 1 << 30, 204)]
+        a, b = (simhash.shingle_hashes(" ".join(x), 5) for x in (w, w[:182] + [f"v{x}" for x in rng.integers(0, 1 << 30, 22)]))
+        assert 0.8 <= len(np.intersect1d(a, b)) / len(np.union1d(a, b)) < 0.81
+        x, y = (np.array(simhash.fingerprint(h, 8), np.int64).view(np.uint64) for h in (a, b))
+        assert np.bitwise_count(x ^ y).sum() <= radius
+
+
 def test_sharding(spark, awkward, sf):
     out = sharding.shuffle_shards(table(spark, sf, "documents"), 5, bucket_bytes=20_000).collect()
     assert len(out) == table(spark, sf, "documents").count()
