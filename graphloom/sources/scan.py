@@ -16,9 +16,9 @@ from pyspark.sql import types as T
 from .. import model
 from ..functions.globs import DEFAULT_EXCLUDES, excluded
 from ..store import GraphStore, materialize, valid_edges
-from . import blocks, documents, rows
+from . import blocks, classfile, documents, rows
 
-for _m in (sys.modules[__name__], blocks, documents, rows, model):
+for _m in (sys.modules[__name__], blocks, classfile, documents, rows, model):
     cloudpickle.register_pickle_by_value(_m)
 
 
@@ -70,18 +70,32 @@ def parse_files(files: DataFrame, registry: ParserRegistry | None = None) -> tup
     """files (repo_id, file_path, content string) -> elements, edges, errors (repo_id, file_path, error). A file that fails gives no rows but its error."""
     registry = registry or ParserRegistry.with_defaults()
 
+    def parse(repo: str, path: str, text: str | None) -> rows.Rows:
+        parser = registry.parser_of(path)
+        if parser is None:
+            raise ValueError("no parser")
+        return parser.parse(repo, path, text or "")
+
+    return _parsed(files, parse)
+
+
+def parse_class_files(files: DataFrame, packages: tuple[str, ...] = (), excludes: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """files (repo_id, file_path, content binary) of JARs and class files -> elements, edges, errors. ``packages`` are prefixes to keep, ``excludes`` patterns of class names to leave out. Null content counts as a broken file."""
+    return _parsed(files, lambda repo, path, data: classfile.parse_binary(repo, path, data or b"", packages, excludes))
+
+
+def _parsed(files: DataFrame, parse: Callable[[str, str, object], rows.Rows]) -> tuple[DataFrame, DataFrame, DataFrame]:
     def run(batches):
         for b in batches:
             out = []
-            for repo, path, text in zip(b["repo_id"], b["file_path"], b["content"]):
-                parser = registry.parser_of(path)
+            for repo, path, content in zip(b["repo_id"], b["file_path"], b["content"]):
+                failed = {"_kind": "error", "repo_id": repo, "file_path": path, "id": ""}
                 try:
-                    if parser is None:
-                        raise ValueError("no parser")
-                    got = parser.parse(repo, path, text or "")
+                    got = parse(repo, path, content)
                 except Exception as e:  # one bad file must not stop the scan: its error is a row
-                    out.append({"_kind": "error", "_error": f"{type(e).__name__}: {e}"[:500], "repo_id": repo, "file_path": path, "id": ""})
+                    out.append(failed | {"_error": f"{type(e).__name__}: {e}"[:500]})
                     continue
+                out += [failed | {"_error": e} for e in getattr(got, "errors", ())]
                 out += [{k: v for k, v in r.items() if k in _NAMES} | {"_kind": "element"} for r in got.elements]
                 out += [{"_kind": "edge", "id": "_".join(k), "from_id": k[0], "edge_type": k[1], "to_id": k[2]} for k in got.edges]
             frame = pd.DataFrame(out, columns=_NAMES).astype(object)
@@ -102,6 +116,13 @@ def scan_repo(spark: SparkSession, root: str, repo_id: str, globs=DEFAULT_EXCLUD
     return kept.filter(~excluded(F.col("file_path"), globs)) if globs else kept
 
 
+def scan_class_files(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
+    """(repo_id, file_path, content binary) of the JARs and class files below a root, as ``parse_class_files`` takes them; a JAR is a repository of its own, named by its file."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jar,class}").load(root)
+    name = F.element_at(F.split("path", "/"), -1)
+    return found.select(F.when(F.lower("path").endswith(".jar"), name).otherwise(repo_id).alias("repo_id"), F.regexp_replace("path", "^file:/*", "/").alias("file_path"), "content")
+
+
 def _quoted(text: str) -> str:
     import re
 
