@@ -18,8 +18,8 @@ from .components import connected_components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Rows of a tile within a task, and of the parts that a large block is cut into.
-TILE, PART = 256, 4096
+#: Rows of a tile within a task, and of the parts that a large block is cut into; bytes of shingle hashes that such a part holds in the exact check.
+TILE, PART, PART_BYTES = 256, 4096, 8 << 20
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -54,20 +54,25 @@ def fingerprint(hashes: np.ndarray, width: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, width: int = 1, minhashes: int = 0) -> DataFrame:
-    """(id, fp array<bigint>, mins array<bigint>): the fingerprint, and the least remixed hash under each of ``minhashes`` seeds."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, width: int = 1, minhashes: int = 0, sets: bool = False) -> DataFrame:
+    """(id, fp array<bigint>, mins array<bigint>): the fingerprint, and the least remixed hash under each of ``minhashes`` seeds. With ``sets`` also (own bigint, size bigint, text): a hash of the set of shingles, their number and the text."""
 
     def run(batches):
         for b in batches:
-            fps, mins = [], []
+            fps, mins, own, size = [], [], [], []
             for t in b["_text"]:
                 h = shingle_hashes(t, shingle)
                 fps.append(fingerprint(h, width))
                 mins.append([int(_remixed(h, s).view(np.int64).min()) if len(h) else s for s in range(minhashes)])
-            yield pd.DataFrame({"id": b["_id"], "fp": fps, "mins": mins})
+                if sets:
+                    h = np.unique(h)
+                    own.append(int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64)))
+                    size.append(len(h))
+            yield pd.DataFrame({"id": b["_id"], "fp": fps, "mins": mins} | ({"own": own, "size": size, "text": b["_text"]} if sets else {}))
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, f"id {kind}, fp array<bigint>, mins array<bigint>")
+    schema = f"id {kind}, fp array<bigint>, mins array<bigint>" + (", own bigint, size bigint, text string" if sets else "")
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, schema)
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -176,6 +181,100 @@ def bit_blocks(fps: DataFrame, radius: int, blocks: int) -> DataFrame:
     return fps.select("fp", F.explode(F.array(*(F.struct(F.lit(i).cast("bigint").alias("c"), F.col("fp")[0].bitwiseAND(F.lit(m).cast("bigint")).alias("k")) for i, m in enumerate(signed)))).alias("x")).select("x.k", "x.c", "fp")
 
 
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sorted arrays of distinct hashes have at least this Jaccard similarity; two empty ones have 1."""
+    least, most = sorted((len(a), len(b)))
+    if least < similarity * most - 1e-9:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= similarity * (least + most - both) - 1e-9
+
+
+def _stars(shingle: int, similarity: float):
+    """Rows sorted by (root, part, kind), the pivot of a group (kind 0) ahead of its members -> the members with ``core``: similar to the pivot."""
+
+    def run(batches):
+        pivot = np.zeros(0, np.uint64)
+        for b in batches:
+            core = []
+            for kind, t in zip(b["kind"], b["text"]):
+                own = np.unique(shingle_hashes(t, shingle))
+                if kind == 0:
+                    pivot = own
+                core.append(kind == 1 and _similar(pivot, own, similarity))
+            yield b.assign(core=core)[b["kind"] == 1].drop(columns="kind")
+
+    return run
+
+
+def _grid(shingle: int, similarity: float, radius: int):
+    """Rows sorted by (root, a, r) -> for each such group the links between its rows of kind 0 (a part of all rows) and of kind 1 (a part of those unlike the pivot), thinned to a forest."""
+
+    def close(rows):
+        every, rest = [r for r in rows if r[0] == 0], [r for r in rows if r[0] == 1]
+        parent: dict[int, int] = {}
+
+        def find(v):
+            while v in parent:
+                v = parent[v]
+            return v
+
+        core = [r[1] for r in every if r[2]]
+        parent |= {v: core[0] for v in core[1:]}  # linked by way of the pivot
+        for i in range(0, len(every), TILE):
+            x = every[i : i + TILE]
+            for j in range(0, len(rest), TILE):
+                y = rest[j : j + TILE]
+                for p, q in zip(*np.nonzero(_distance(np.stack([r[3] for r in x]), np.stack([r[3] for r in y])) <= radius)):
+                    u, v = x[p][1], y[q][1]
+                    if (s := find(u)) != (t := find(v)) and _similar(x[p][4], y[q][4], similarity):
+                        parent[t] = s
+                        yield u, v
+
+    def run(batches):
+        key, rows, links = None, [], []
+        for b in batches:
+            for root, a, r, kind, row, core, fp, t in zip(b["root"], b["a"], b["r"], b["kind"], b["row"], b["core"], b["fp"], b["text"]):
+                if (root, a, r) != key:
+                    links += close(rows)
+                    key, rows = (root, a, r), []
+                rows.append((kind, row, core, np.asarray(fp, np.int64).view(np.uint64), np.unique(shingle_hashes(t, shingle))))
+            if links:
+                yield pd.DataFrame(links, columns=["a", "b"])
+                links = []
+        if links := list(close(rows)):
+            yield pd.DataFrame(links, columns=["a", "b"])
+
+    return run
+
+
+def _parts(n, size):
+    return F.ceil(F.greatest(n / PART, size / PART_BYTES)).cast("int")
+
+
+def exact_links(reps: DataFrame, texts: DataFrame, shingle: int, similarity: float, radius: int) -> DataFrame:
+    """reps (root, row, fp, size) and texts (row, text) -> links (a, b) between rows of one root whose shingle sets have the Jaccard similarity, thinned, no component lost.
+
+    Each root's rows are held against one of them, the pivot. Rows like it are linked by it and need no comparison among themselves; only the others are held against all rows of the root, where fingerprints lie within ``radius``. Both sides are cut by count and bytes into parts, so a group of near copies costs one comparison for each row and no task gathers it.
+    """
+    weight = F.sum(F.col("size") * 8 + 128)
+    sizes = reps.groupBy("root").agg(F.count("*").alias("n"), weight.alias("w"), F.min("row").alias("pivot")).filter("n > 1")
+    sizes = materialize(sizes.select("root", "pivot", _parts(F.col("n"), F.col("w")).alias("parts")))
+    members = reps.join(sizes, "root").withColumn("part", F.pmod(F.xxhash64(F.lit(7), "row"), F.col("parts")).cast("int"))
+    pivots = reps.join(sizes, reps["row"] == sizes["pivot"]).drop(sizes["root"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    columns = ["root", "part", "parts", "pivot", "row", "fp", "size"]
+    both = members.select(*columns, F.lit(1).alias("kind")).unionByName(pivots.select(*columns, F.lit(0).alias("kind"))).join(texts, "row")
+    flags = both.repartition("root", "part").sortWithinPartitions("root", "part", "kind").mapInPandas(_stars(shingle, similarity), both.drop("kind").schema.add("core", "boolean"))
+    flags = materialize(flags)
+    rest = flags.filter("not core").groupBy("root").agg(_parts(F.count("*"), weight).alias("rests"), F.min("parts").alias("parts"))
+    unlike = flags.join(rest.select("root", "rests", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")), ["root", "part"])
+    at = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    every = unlike.select("root", F.col("part").alias("a"), at("rests").alias("r"), F.lit(0).alias("kind"), "row", "core", "fp", "text")
+    few = unlike.filter("not core").select("root", at("parts").alias("a"), F.pmod(F.xxhash64(F.lit(8), "row"), F.col("rests")).cast("int").alias("r"), F.lit(1).alias("kind"), "row", "core", "fp", "text")
+    found = every.unionByName(few).repartition("root", "a", "r").sortWithinPartitions("root", "a", "r").mapInPandas(_grid(shingle, similarity, radius), "a bigint, b bigint")
+    return flags.filter("core").select(F.col("row").alias("a"), F.col("pivot").alias("b")).unionByName(found)
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, radius: int = 2, blocks: int = 4) -> DataFrame:
     """(id, fp bigint, component): each row's 64-bit fingerprint and the least id among all rows reachable over links of at most ``radius`` bits.
 
@@ -183,25 +282,28 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Fingerprints, not documents, are compared, each distinct one once, so copies of a text cost one row.
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle))
-    return _group(fps, lambda least: bit_blocks(least.select("fp"), radius, blocks), radius, 1).select("id", F.col("fp")[0].alias("fp"), "component")
+    least = fps.groupBy("fp").agg(F.min("id").alias("least"))
+    root = connected_components(near_links(bit_blocks(least.select("fp"), radius, blocks), radius))
+    placed = materialize(least.join(root, least["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
+    return fps.join(named, "fp").select("id", F.col("fp")[0].alias("fp"), "component")
 
 
 def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, width: int = 8, minhashes: int = 6) -> DataFrame:
-    """(id, component) under links where at least ``similarity`` of the 64 * width bits agree.
+    """(id, component) under links between texts whose sets of shingles have at least this Jaccard similarity.
 
-    The share of equal bits follows the angle between shingle counts. With five-word shingles and 0.8 of 512 bits a pair of Jaccard similarity 0.8 differs in 78 bits on average with a deviation of 8, so about one in a thousand lies beyond the radius of 102; a narrower fingerprint misses more. Pairs of 0.65 to 0.8 can link as well.
+    Candidates are fingerprints of 64 * width bits of which at least that share agree: a pair of Jaccard similarity 0.8 differs in 78 of 512 bits on average with a deviation of 8, so about one in a thousand lies beyond the radius of 102. Pairs down to 0.65 get within it too, so within the groups that fingerprints make the sets themselves decide.
 
     At this radius bit ranges tell nothing apart, so tiles are made of rows that share the least hash under one of ``minhashes`` seeds: a pair of Jaccard similarity s is missed with probability (1 - s) ** minhashes (0.8 and 6 seeds: 0.00006).
+    Null and empty texts have the empty set and link with each other; texts of fewer words than a shingle have one; repeated rows stay; a null id never names a component unless all its ids are null. An empty table gives none.
     """
     radius = int(64 * width * (1 - similarity) + 1e-9)
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle, width, minhashes))
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle, width, minhashes, sets=True).withColumn("row", F.monotonically_increasing_id()))
     blocks = fps.select("fp", F.posexplode("mins").alias("c", "k")).select("k", F.col("c").cast("bigint").alias("c"), "fp")
-    return _group(fps, lambda _: blocks, radius, width).select("id", "component")
-
-
-def _group(fps: DataFrame, blocks, radius: int, width: int) -> DataFrame:
-    least = fps.groupBy("fp").agg(F.min("id").alias("least"))
-    root = connected_components(near_links(blocks(least), radius, width))
-    placed = materialize(least.join(root, least["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
-    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "component")
-    return fps.join(named, "fp")
+    near = connected_components(near_links(blocks, radius, width))
+    reps = fps.groupBy("fp", "own").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.first("size").alias("size"))
+    reps = materialize(reps.join(near, reps["fp"] == near["node"], "left").select("fp", "own", "least", "row", "size", F.xxhash64(F.coalesce("root", "fp")).alias("root")))
+    alike = connected_components(exact_links(reps, fps.select("row", "text"), shingle, similarity, radius))
+    placed = materialize(reps.drop("root").join(alike, reps["row"] == alike["node"], "left").select("fp", "own", "least", F.coalesce("root", "row").alias("root")))
+    named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "own", "component")
+    return fps.select("id", "fp", "own").join(named, ["fp", "own"]).select("id", "component")

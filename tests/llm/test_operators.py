@@ -358,17 +358,37 @@ def test_oracles(spark, sf, name):
 
 
 def least_of_groups(texts, share=0.8):
-    """Every pair compared: the least id of each group under links of at least that share of 512 equal bits, or of that Jaccard similarity."""
-    h = {i: simhash.shingle_hashes(t, 5) for i, t in texts.items()}
-    fp = {i: np.array(simhash.fingerprint(x, 8), np.int64).view(np.uint64) for i, x in h.items()}
-    sets, root = {i: set(x.tolist()) for i, x in h.items()}, {i: i for i in texts}
+    """Every pair compared: the least id of each group under links of at least that Jaccard similarity of five-word shingles."""
+    sets, root = {i: set(simhash.shingle_hashes(t, 5).tolist()) for i, t in texts.items()}, {i: i for i in texts}
     for a in sorted(texts):
         for b in sorted(texts):
-            near = a < b and (512 - int(np.bitwise_count(fp[a] ^ fp[b]).sum()) >= share * 512 or len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b]))
-            if near and root[a] != root[b]:
+            if a < b and len(sets[a] & sets[b]) >= share * len(sets[a] | sets[b]) and root[a] != root[b]:
                 keep, gone = sorted((root[a], root[b]))
                 root = {i: keep if r == gone else r for i, r in root.items()}
-    return set(root.values())
+    return root
+
+
+@pytest.mark.parametrize("part", [simhash.PART, 4])
+def test_similar_is_exact(spark, monkeypatch, part):
+    """Chains whose ends differ, pairs just under the similarity, copies, short and empty texts, in whole and cut groups."""
+    monkeypatch.setattr(simhash, "PART", part)
+    rng, texts = np.random.default_rng(8), {}
+    for g in range(6):
+        w = [f"w{x}" for x in rng.integers(0, 1 << 30, 150)]
+        for _ in range(12):
+            at, n = int(rng.integers(130)), int(rng.integers(1, 20))
+            w = w[:at] + [f"v{x}" for x in rng.integers(0, 1 << 30, n)] + w[at + n :]
+            texts[len(texts)] = " ".join(w)
+    texts |= {100: texts[7], 101: "", 102: " ", 103: "one two", 104: "One two", 105: "q " * 9, 106: "q q q q q q q q z", 107: None}
+    got = simhash.simhash_similar(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    want = least_of_groups(texts)
+    assert 15 < len(set(want.values())) < 60 and {r["id"]: r["component"] for r in got} == want
+
+
+def test_similar_awkward(spark, awkward):
+    got = simhash.simhash_similar(awkward).collect()
+    assert Counter((r["id"], r["component"]) for r in got) == Counter({(1, 1): 2, (2, 2): 1, (3, 2): 1, (9, 2): 1, (None, None): 1, (4, 4): 1, (5, 4): 1, (6, 6): 1, (7, 7): 1, (8, 8): 1})
+    assert simhash.simhash_similar(awkward.limit(0)).count() == 0
 
 
 def test_pipeline(spark, sf):
@@ -383,7 +403,7 @@ def test_pipeline(spark, sf):
         if i == 0:
             assert after.keys() == {k for k, t in before.items() if line_crf.assess(t)[7]}
         if i == 1:
-            assert after.keys() == least_of_groups(before)
+            assert after.keys() == set(least_of_groups(before).values())
         if i == 2:
             assert before.keys() - after.keys() == {r["doc_id"] for r in queries.op8_decontamination(spark, sf).filter("contaminated").collect()} & before.keys()
         if i == last:
