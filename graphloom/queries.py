@@ -13,7 +13,7 @@ from .functions.globs import DEFAULT_EXCLUDES, excluded
 from .model import edge_id, element_id, language_of_file
 from .operators import aggregates, neighbors, predicates
 from .operators.predicates import SearchQuery
-from .plans import similarity, traverse
+from .plans import components, similarity, traverse
 from .streaming import changes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -422,6 +422,12 @@ def similarity_all_pairs(E, G, t):
     return similarity.pair_similarity(G, pairs, ["EXTENDS"], "OUTGOING").select("a", "b", "common")
 
 
+@query("""with L as (select * from G where edge_type in ('OVERRIDES', 'EXTENDS')), U as (select from_id a, to_id b from L union select to_id, from_id from L), C(id, root) using key (id) as (select a, min(least(a, b)) from U where a <> b group by 1
+union select u.a, min(c.root) from U u join C c on c.id = u.b join recurring.C r on r.id = u.a where c.root < r.root group by 1) select id, root from C""", recursive=True)
+def connected_components(E, G, t):
+    return components.connected_components(G.filter(F.col("edge_type").isin("OVERRIDES", "EXTENDS")).select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))).select(F.col("node").alias("id"), "root")
+
+
 # -- text
 
 _TOK = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+(?:[.:''’][\p{{L}}\p{{N}}_]+)*')"

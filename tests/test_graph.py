@@ -9,7 +9,7 @@ from graphloom import fixtures, store
 from graphloom.functions.globs import excluded, glob_regex
 from graphloom.model import known, language_of_extension
 from graphloom.operators import neighbors, predicates
-from graphloom.plans import similarity, traverse
+from graphloom.plans import components, similarity, traverse
 
 
 @pytest.fixture(scope="module")
@@ -136,3 +136,11 @@ def test_store(spark, tmp_path):
     assert {r["id"] for r in s.read("elements").collect()} == {"2", "3", "4"} and {r["id"] for r in s.read("edges").collect()} == {"b", "c"}
     s.remove_repo("q")
     assert {r["id"] for r in s.read("elements").collect()} == {"2", "4"} and s.read("edges").count() == 0
+
+
+def test_components(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7), (None, 3)] + [(1000, 1000 + i) for i in range(1, 300)]
+    frame = spark.createDataFrame(links, "a long, b long")
+    got = {r["node"]: r["root"] for r in components.connected_components(frame).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 150: 100, 200: 100, **{1000 + i: 1000 for i in range(300)}}
+    assert components.connected_components(frame.limit(0)).count() == 0
