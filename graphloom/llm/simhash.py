@@ -13,8 +13,8 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.components import connected_components
 from .common import materialize, words
-from .components import connected_components
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 

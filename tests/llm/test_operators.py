@@ -11,8 +11,9 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from graphloom.llm import attention_mil, brown, byte_repeats, chat, components, line_crf, line_runs, mixing, queries, sharding, simhash, tiling
+from graphloom.llm import attention_mil, brown, byte_repeats, chat, line_crf, line_runs, mixing, queries, sharding, simhash, tiling
 from graphloom.llm.common import table
+from graphloom.plans import components
 
 LONG = " ".join(f"word{i % 997} tail{i % 13}." for i in range(9000))
 AWKWARD = [
@@ -94,12 +95,6 @@ def test_tiles_match_plain_comparison():
     assert root.tolist() == want
 
 
-def test_components(spark):
-    links = [(i, i + 1) for i in range(40)] + [(100, 200), (200, 150), (7, 7)] + [(1000, 1000 + i) for i in range(1, 300)]
-    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(41)}, 100: 100, 150: 100, 200: 100, **{1000 + i: 1000 for i in range(300)}}
-
-
 def test_similar_finds_edited_copies(spark):
     rng = np.random.default_rng(3)
     rows = []
