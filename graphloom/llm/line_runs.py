@@ -24,17 +24,17 @@ def _ranked(pairs: DataFrame) -> DataFrame:
 
 
 def repeated_suffixes(lines: DataFrame) -> DataFrame:
-    """lines (o, k, p, v): line id v at place p of sequence k; sequences stand in order (o, k) -> (k, p, depth): the suffixes that start with a run of ``depth`` lines found at an earlier place.
+    """lines (o, k, p, v, long): line id v at place p of sequence k; sequences stand in order (o, k) -> (k, p, depth, long): the suffixes that start with a run of ``depth`` lines found at an earlier place, and ``long`` of the first of them.
 
     Round by round ranks of runs of h lines become ranks of 2h: pairs (rank at p, rank at p + h) are counted map-side, and those found more than once, the LCP intervals of depth 2h, are sorted by range and ranked. A suffix whose pair is unique leaves. Rounds end when none is left.
     """
     at = F.struct("o", "k", "p")
     first, place = F.min(at).alias("first"), (at > F.col("first")).alias("later")
     ranks = _ranked(lines.groupBy(F.col("v").alias("r1")).agg(F.count("*").alias("n"), first).filter("n > 1").select("r1", F.lit(0).cast("bigint").alias("r2"), "first"))
-    live = materialize(lines.join(ranks, lines["v"] == ranks["r1"]).select("o", "k", "p", "rank", place))
+    live = materialize(lines.join(ranks, lines["v"] == ranks["r1"]).select("o", "k", "p", "rank", place, "long"))
     out, h = [], 1
     while True:
-        out.append(live.filter("later").select("k", "p", F.lit(h).cast("bigint").alias("depth")))
+        out.append(live.filter("later").select("k", "p", F.lit(h).cast("bigint").alias("depth"), F.col("long") if h == 1 else F.lit(False).alias("long")))
         pairs = live.select("o", "k", "p", F.col("rank").alias("r1")).join(live.select("k", (F.col("p") - h).alias("p"), F.col("rank").alias("r2")), ["k", "p"])
         ranks = _ranked(pairs.groupBy("r1", "r2").agg(F.count("*").alias("n"), first).filter("n > 1").drop("n"))
         live = materialize(pairs.join(ranks, ["r1", "r2"]).select("o", "k", "p", "rank", place))
@@ -44,22 +44,24 @@ def repeated_suffixes(lines: DataFrame) -> DataFrame:
     total = out[0]
     for x in out[1:]:
         total = total.unionByName(x)
-    return total.groupBy("k", "p").agg(F.max("depth").alias("depth"))
+    return total.groupBy("k", "p").agg(F.max("depth").alias("depth"), F.max("long").alias("long"))
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = 2) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = 2, words: int | None = None) -> DataFrame:
     """docs with ``_lines``, ``_clean`` (the text without later copies of line runs) and ``_runs`` (array of first line, number of lines: the runs removed, none touching).
 
-    Lines are cut at \\n and compared whole, blank ones too, by a 64-bit hash. A line goes if it lies in a run of at least ``shortest`` (a power of two) lines that also starts at an earlier place, in order of id (null first), hash of the text, line. Overlapping and adjoining runs merge. Rows of one id and text are one document and get one result; a null text has no lines and stays null; an empty table gives none.
+    Lines are cut at \\n and compared whole, blank ones too, by a 64-bit hash. A line goes if it lies in a run of at least ``shortest`` (a power of two) lines that also starts at an earlier place, in order of id (null first), hash of the text, line. With ``words``, a line of more words than that also goes if it stands at an earlier place by itself. Overlapping and adjoining runs merge. Rows of one id and text are one document and get one result; a null text has no lines and stays null; an empty table gives none.
     Depths are powers of two: a longer interval's lines are those of its intervals of ``shortest`` lines, so what goes doesn't depend on where doubling stops.
     """
     if shortest < 1 or shortest & (shortest - 1):
         raise ValueError("shortest must be a power of two")
     docs = replaced(docs, "_key", "_k", "_found", "_lines", "_clean", "_runs")
     key = F.xxhash64(F.col(id_col), F.col(text_col))
-    slim = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("o"), key.alias("k"), F.transform(F.split(F.col(text_col), "\n"), lambda x: F.xxhash64(x)).alias("vs")).dropDuplicates(["k"])
-    lines = materialize(slim.select("o", "k", F.posexplode("vs").alias("p", "v")))
-    found = repeated_suffixes(lines).filter(F.col("depth") >= shortest)
+    own = lambda x: F.struct(F.xxhash64(x).alias("v"), (F.lit(False) if words is None else F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) > words).alias("long"))
+    slim = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("o"), key.alias("k"), F.transform(F.split(F.col(text_col), "\n"), own).alias("vs")).dropDuplicates(["k"])
+    lines = materialize(slim.select("o", "k", F.posexplode("vs").alias("p", "x")).select("o", "k", "p", "x.v", "x.long"))
+    deep = F.col("depth") >= shortest
+    found = repeated_suffixes(lines).filter(deep | F.col("long")).select("k", "p", F.when(deep, F.col("depth")).otherwise(1).alias("depth"))
     spans = found.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("p", "depth"))).alias("_found")).withColumnRenamed("k", "_k")
     more = [T.StructField("_lines", T.LongType()), T.StructField("_clean", T.StringType()), T.StructField("_runs", T.ArrayType(T.ArrayType(T.LongType())))]
 

@@ -10,6 +10,8 @@ from .common import remainder, table
 
 #: Share of a benchmark item's tokens from which a document counts as contaminated.
 CONTAMINATED = 0.5
+#: Words beyond which a repeated line goes by itself.
+LONG_LINE = 50
 DOMAINS = ("web", "forum", "books", "code")
 
 
@@ -39,7 +41,8 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_runs.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), shortest=2)
+    """Later copies of runs of two lines or more go, and of single lines of over 50 words."""
+    out = line_runs.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), shortest=2, words=LONG_LINE)
     return out.select("doc_id", F.col("_lines").alias("n_lines"), F.aggregate("_runs", F.lit(0).cast("bigint"), lambda n, r: n + r[1]).alias("n_removed"), F.size("_runs").cast("bigint").alias("n_runs"), F.md5(F.col("_clean").cast("binary")).alias("kept_md5"))
 
 

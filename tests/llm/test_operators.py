@@ -168,6 +168,32 @@ def test_lines(spark, docs, awkward, shortest):
     assert line_runs.drop_repeated_lines(awkward.limit(0)).count() == 0
 
 
+def brute_long_lines(rows, shortest, words):
+    """By (id, text): the lines that are left, by runs of ``shortest`` lines and by single lines of over ``words`` words."""
+    seen, out = set(), {}
+    for r in sorted({r for r in rows if r[1] is not None}):
+        lines, gone = r[1].split("\n"), set()
+        for n in (1, shortest):
+            for p in range(len(lines) - n + 1):
+                run = tuple(lines[p : p + n])
+                if n == shortest or len(lines[p].split()) > words:
+                    gone |= set(range(p, p + n)) if run in seen else set()
+                    seen.add(run)
+        out[r] = ("\n".join(x for p, x in enumerate(lines) if p not in gone), len(gone))
+    return out
+
+
+def test_long_lines(spark, sf):
+    long, at = " ".join(f"w{i}" for i in range(51)), " ".join(f"w{i}" for i in range(50))
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, long), (4, long), (5, f"{at}\ne"), (6, f"f\n{at}"), (7, "short"), (8, "short"), (9, f"g\n{long}\n{long}\nb\nh")]
+    got = {r["doc_id"]: (r["_clean"], r["_runs"]) for r in line_runs.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string"), words=50).collect()}
+    assert got == {i: (t, []) for i, t in rows} | {2: ("c\nd", [[1, 1]]), 3: ("", [[0, 1]]), 4: ("", [[0, 1]]), 9: ("g\nh", [[1, 3]])}
+    docs = table(spark, sf, "documents").select("doc_id", "text").collect()
+    out = {r["doc_id"]: r for r in queries.op4_line_dedup(spark, sf).collect()}
+    for (i, t), (kept, n) in brute_long_lines({tuple(r) for r in docs}, 2, 50).items():
+        assert (out[i]["kept_md5"], out[i]["n_removed"]) == (hashlib.md5(kept.encode()).hexdigest(), n)
+
+
 def brute_bytes(texts, length):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[p : p + length] for b in raw for p in range(len(b) - length + 1))
