@@ -1,6 +1,7 @@
 """Hand-made graphs with known answers, and properties that hold on any graph."""
 
 import math
+from itertools import combinations
 
 import pytest
 from pyspark.sql import functions as F
@@ -65,6 +66,14 @@ def test_similarity(make, spark):
     assert both["x", "y"]["adamic_adar"] == pytest.approx(2 / math.log(2))
 
 
+def test_candidate_pairs_of_a_hub(make, monkeypatch):
+    monkeypatch.setattr(similarity, "PART", 300)
+    ids = [f"n{i:04}" for i in range(1100)]
+    _, g = make([(i, "EXTENDS", "hub") for i in ids] + [(i, "EXTENDS", "few") for i in [*ids[:3], "m"]] + [("m", "EXTENDS", "one")])
+    got = [(r["a"], r["b"]) for r in similarity.candidate_pairs(g, ["EXTENDS"]).collect()]
+    assert len(got) == len(set(got)) and set(got) == set(combinations(ids, 2)) | {("m", i) for i in ids[:3]}
+
+
 def test_dangling(make):
     e, g = make([("a", "CALLS", "b"), ("a", "CALLS", "ghost"), ("ghost", "CALLS", "d")], elements=["a", "b", "d"])
     assert [r["id"] for r in neighbors.neighbors(e, g, ["CALLS"], ids=e.filter("id = 'a'")).collect()] == ["b"]
