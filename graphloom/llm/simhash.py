@@ -55,17 +55,16 @@ def fingerprint(hashes: np.ndarray, width: int = 1) -> list[int]:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, width: int = 1, minhashes: int = 0, sets: bool = False) -> DataFrame:
-    """(id, fp array<bigint>, mins array<bigint>): the fingerprint, and the least remixed hash under each of ``minhashes`` seeds. With ``sets`` also (own bigint, size bigint, text): a hash of the set of shingles, their number and the text."""
+    """(id, fp array<bigint>, mins array<bigint>): the fingerprint, and the least remixed hash under each of ``minhashes`` seeds. With ``sets`` each shingle counts once, and also (own bigint, size bigint, text): a hash of the set of shingles, their number and the text."""
 
     def run(batches):
         for b in batches:
             fps, mins, own, size = [], [], [], []
             for t in b["_text"]:
-                h = shingle_hashes(t, shingle)
+                h = np.unique(shingle_hashes(t, shingle)) if sets else shingle_hashes(t, shingle)
                 fps.append(fingerprint(h, width))
                 mins.append([int(_remixed(h, s).view(np.int64).min()) if len(h) else s for s in range(minhashes)])
                 if sets:
-                    h = np.unique(h)
                     own.append(int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64)))
                     size.append(len(h))
             yield pd.DataFrame({"id": b["_id"], "fp": fps, "mins": mins} | ({"own": own, "size": size, "text": b["_text"]} if sets else {}))
@@ -292,7 +291,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, width: int = 8, minhashes: int = 6) -> DataFrame:
     """(id, component) under links between texts whose sets of shingles have at least this Jaccard similarity.
 
-    Candidates are fingerprints of 64 * width bits of which at least that share agree: a pair of Jaccard similarity 0.8 differs in 78 of 512 bits on average with a deviation of 8, so about one in a thousand lies beyond the radius of 102. Pairs down to 0.65 get within it too, so within the groups that fingerprints make the sets themselves decide.
+    Candidates are fingerprints of the sets, of 64 * width bits, of which at least that share agree: a pair of Jaccard similarity 0.8 differs in 78 of 512 bits on average with a deviation of 8, so about one in a thousand lies beyond the radius of 102. Pairs down to 0.65 get within it too, so within the groups that fingerprints make the sets themselves decide.
 
     At this radius bit ranges tell nothing apart, so tiles are made of rows that share the least hash under one of ``minhashes`` seeds: a pair of Jaccard similarity s is missed with probability (1 - s) ** minhashes (0.8 and 6 seeds: 0.00006).
     Null and empty texts have the empty set and link with each other; texts of fewer words than a shingle have one; repeated rows stay; a null id never names a component unless all its ids are null. An empty table gives none.

@@ -117,6 +117,15 @@ def test_similar_finds_pairs_just_over_the_similarity():
         assert np.bitwise_count(x ^ y).sum() <= radius
 
 
+def test_similar_finds_copies_with_a_line_repeated_unequally_often(spark):
+    rng, rows = np.random.default_rng(11), []
+    for i in range(20):
+        w, line = ([f"w{x}" for x in rng.integers(0, 1 << 30, n)] for n in (300, 10))
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, "\n".join([" ".join(w)] + [" ".join(line)] * 5))]
+    got = {r["id"]: r["component"] for r in simhash.simhash_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert least_of_groups(dict(rows)) == {i: i // 2 * 2 for i in range(40)} == got
+
+
 def test_sharding(spark, awkward, sf):
     out = sharding.shuffle_shards(table(spark, sf, "documents"), 5, bucket_bytes=20_000).collect()
     assert len(out) == table(spark, sf, "documents").count()
