@@ -6,6 +6,7 @@ Reachability runs as a driver loop of joins over a frontier that never comes to
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -46,13 +47,13 @@ def subgraph(elements: DataFrame, edges: DataFrame, roots: DataFrame, depth: int
     return nodes, hops.select("root", F.col(a).alias("from_id"), "edge_type", F.col(b).alias("to_id")).distinct()
 
 
-def ancestors(elements: DataFrame, ids: DataFrame | None = None, most: int = 64) -> DataFrame:
+def ancestors(elements: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """(source_id, depth, id): up the parent pointers, nearest first, to a root, a missing element or a cycle."""
     up = elements.select("id", "parent_id")
     own = up if ids is None else up.join(ids.select("id"), "id", "left_semi")
     at = own.filter("parent_id is not null").select(F.col("id").alias("source_id"), F.col("parent_id").alias("id"), F.array("id").alias("path"))
     out = []
-    for d in range(1, most + 1):
+    for d in count(1):
         at = materialize(at.filter(~F.array_contains("path", F.col("id"))).join(up, "id").select("source_id", "id", "parent_id", "path"))
         if at.isEmpty():
             break
@@ -61,12 +62,12 @@ def ancestors(elements: DataFrame, ids: DataFrame | None = None, most: int = 64)
     return reduce(DataFrame.unionByName, out) if out else up.limit(0).select(F.col("id").alias("source_id"), F.lit(0).alias("depth"), "id")
 
 
-def override_chain(elements: DataFrame, edges: DataFrame, ids: DataFrame, most: int = 64) -> DataFrame:
+def override_chain(elements: DataFrame, edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(source_id, depth, id): the element itself and, again and again, the first method that it overrides."""
     first = edges.filter("edge_type = 'OVERRIDES'").join(elements.select(F.col("id").alias("to_id")), "to_id", "left_semi").groupBy(F.col("from_id").alias("id")).agg(F.min("to_id").alias("next"))
     at = elements.select("id").join(ids.select("id"), "id", "left_semi").select(F.col("id").alias("source_id"), "id", F.array("id").alias("path"))
     out = []
-    for d in range(most + 1):
+    for d in count():
         at = materialize(at)
         if at.isEmpty():
             break

@@ -93,6 +93,14 @@ def test_self_and_unknown(make):
     assert traverse.shortest_path(e, g, "a", "zz").first()["hops"] == -1
 
 
+def test_long_chains_are_followed_to_their_end(make):
+    ids = [f"n{i:02}" for i in range(68)]
+    e, g = make([(a, "OVERRIDES", b) for a, b in zip(ids, ids[1:])], parents=dict(zip(ids, ids[1:])))
+    start = e.filter("id = 'n00'")
+    assert [r["id"] for r in traverse.ancestors(e, start).orderBy("depth").collect()] == ids[1:]
+    assert [r["id"] for r in traverse.override_chain(e, g, start).orderBy("depth").collect()] == ids
+
+
 def test_override_chain_stops(make):
     e, g = make([("a", "OVERRIDES", "c"), ("a", "OVERRIDES", "b"), ("b", "OVERRIDES", "a")])
     assert [r["id"] for r in traverse.override_chain(e, g, e.filter("id = 'a'")).orderBy("depth").collect()] == ["a", "b"]
