@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..store import materialize
+from ..store import discard, materialize
 
 
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,7 +23,7 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
     """links (a, b) of any order -> (node, root) for each node with a link; root is the least node reachable.
 
-    Null ends and self links are ignored; no links give no rows. Each round is written to the shared folder.
+    Null ends and self links are ignored; no links give no rows. Each round is written to the shared folder and takes the place of the one before.
     """
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = F.struct(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")))
@@ -31,7 +31,8 @@ def connected_components(links: DataFrame, rounds: int = 100) -> DataFrame:
     for _ in range(rounds):
         if not seen[0]:
             break
-        edges = materialize(_stars(_stars(edges, large=True), large=False))
+        before, edges = edges, materialize(_stars(_stars(edges, large=True), large=False))
+        discard(before)
         now = edges.agg(state.alias("s")).first()["s"]
         if now == seen:
             break

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 
@@ -12,11 +13,17 @@ from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir, or what ``setCheckpointDir`` named.
+
+    Where neither is set a local session gets a temporary one; on a cluster that is an error, as each executor would write to its own disk.
+    """
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not at:
-        at = tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
+        at = context.getCheckpointDir()
     return at.rstrip("/")
 
 
@@ -24,11 +31,25 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: cuts the lineage, and survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/graphloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def discard(df: DataFrame) -> None:
+    """Delete the files of a table that ``materialize`` wrote, once what was made of it is written too."""
+    delete_path(df.sparkSession, df.written_to)
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).filter("_n = 1").drop("_n")
+    """The row of highest ``order`` for each key; of equal ones the highest by the columns of plain types, from the left."""
+    plain = [c for c, kind in rows.dtypes if c not in (*keys, order) and not kind.startswith(("map", "variant"))]
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order), *map(F.desc, plain)))).filter("_n = 1").drop("_n")
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
