@@ -1,34 +1,24 @@
-"""What the training-data operators share: reading, shared storage, words."""
+"""What the training-data operators share: reading, words, folds."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..store import discard, materialize
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+__all__ = ["discard", "materialize", "remainder", "replaced", "table", "tasks", "words"]
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # executors need not have the package
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a temporary one only where none is named, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="graphloom-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+#: Bytes of a table up to which operators send it to every task; its size is checked first, and there is another way beyond.
+BROADCAST_BYTES = 32 << 20
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage with files that outlive executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/graphloom/{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def replaced(df: DataFrame, *names: str) -> DataFrame:
@@ -41,11 +31,11 @@ def words(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
-def remainder(column: str, n: int):
+def remainder(column: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % n
 
 
-def partitions(df: DataFrame, least: int = 1) -> int:
-    """Shuffle partitions of the session, at least ``least``."""
-    return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+def tasks(df: DataFrame, total_bytes: int, each: int) -> int:
+    """Partitions so that each gets about ``each`` bytes; at least those of the session's shuffles."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")), -(-total_bytes // each))

@@ -8,13 +8,15 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.components import connected_components
-from .common import materialize, words
+from .common import materialize, replaced, words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -54,24 +56,24 @@ def fingerprint(hashes: np.ndarray, width: int = 1) -> list[int]:
     return out
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, width: int = 1, minhashes: int = 0, sets: bool = False) -> DataFrame:
-    """(id, fp array<bigint>, mins array<bigint>): the fingerprint, and the least remixed hash under each of ``minhashes`` seeds. With ``sets`` each shingle counts once, and also (own bigint, size bigint, text): a hash of the set of shingles, their number and the text."""
+def fingerprints(docs: DataFrame, keep: list[str], text_col: str = "text", shingle: int = 3, width: int = 1, minhashes: int = 0, sets: bool = False) -> DataFrame:
+    """The columns ``keep`` with (_fp array<bigint>, _mins array<bigint>): the fingerprint, and the least remixed hash under each of ``minhashes`` seeds. With ``sets`` each shingle counts once, and also (_own bigint, _size bigint): a hash of the set of shingles and their number."""
+    more = T._parse_datatype_string("_fp array<bigint>, _mins array<bigint>" + ", _own bigint, _size bigint" * sets).fields
+    kinds = [pa.list_(pa.int64()), pa.list_(pa.int64())] + [pa.int64(), pa.int64()] * sets
 
     def run(batches):
         for b in batches:
-            fps, mins, own, size = [], [], [], []
-            for t in b["_text"]:
+            cols = [[] for _ in kinds]
+            for t in b.column(len(b.schema) - 1).to_pylist():
                 h = np.unique(shingle_hashes(t, shingle)) if sets else shingle_hashes(t, shingle)
-                fps.append(fingerprint(h, width))
-                mins.append([int(_remixed(h, s).view(np.int64).min()) if len(h) else s for s in range(minhashes)])
+                cols[0].append(fingerprint(h, width))
+                cols[1].append([int(_remixed(h, s).view(np.int64).min()) if len(h) else s for s in range(minhashes)])
                 if sets:
-                    own.append(int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64)))
-                    size.append(len(h))
-            yield pd.DataFrame({"id": b["_id"], "fp": fps, "mins": mins} | ({"own": own, "size": size, "text": b["_text"]} if sets else {}))
+                    cols[2].append(int(np.uint64(xxhash.xxh64_intdigest(h.tobytes())).view(np.int64)))
+                    cols[3].append(len(h))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *(pa.array(c, k) for c, k in zip(cols, kinds))], [*keep, *(f.name for f in more)])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, fp array<bigint>, mins array<bigint>" + (", own bigint, size bigint, text string" if sets else "")
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInPandas(run, schema)
+    return docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *more]))
 
 
 def _distance(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -163,12 +165,20 @@ def _forest(width: int, radius: int):
 def near_links(rows: DataFrame, radius: int, width: int = 1) -> DataFrame:
     """rows (block columns k, c; fp) -> links (a, b) between fingerprints of one block that differ in at most ``radius`` bits, thinned to a forest.
 
-    Blocks of one fingerprint go. A block over PART rows is cut by hash into parts and each pair of parts goes to a task of its own, so no task gathers a large block.
+    Blocks of one fingerprint go. A block over PART rows is cut by population count into bands about half a radius wide, and a band over PART rows by hash; each pair of parts whose counts come within the radius goes to a task of its own, so no task gathers a large block and distant parts never meet. A block has few bands, as many as there are counts at most.
     """
-    rows = materialize(rows.groupBy("k", "c", "fp").agg(F.lit(1).alias("_one")).drop("_one"))
-    sizes = rows.groupBy("k", "c").agg(F.count("*").alias("n")).filter("n > 1").withColumn("parts", F.ceil(F.col("n") / PART).cast("int"))
-    cut = rows.join(sizes, ["k", "c"]).withColumn("s", F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("parts")))
-    spread = cut.select("k", "c", "fp", "s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("t")).select("k", "c", F.least("s", "t").cast("bigint").alias("p"), F.greatest("s", "t").cast("bigint").alias("q"), "fp")
+    step = max(1, (radius + 1) // 2)
+    rows = materialize(rows.groupBy("k", "c", "fp").agg(F.lit(1).alias("_one")).drop("_one").withColumn("band", F.expr(f"aggregate(fp, 0, (n, x) -> n + bit_count(x)) div {step}").cast("int")))
+    sizes = rows.groupBy("k", "c", "band").agg(F.count("*").alias("n"))
+    bands = sizes.groupBy("k", "c").agg(F.sum("n").alias("n"), F.collect_list(F.struct("band", F.ceil(F.col("n") / PART).cast("int").alias("parts"))).alias("bands")).filter("n > 1")
+    whole = F.col("n") <= PART
+    parts = F.filter("bands", lambda b: b["band"] == F.col("band"))[0]["parts"]
+    cut = rows.join(bands, ["k", "c"]).select("k", "c", "fp", "n", "bands", F.when(whole, 0).otherwise(F.col("band")).alias("band"), F.when(whole, 0).otherwise(F.pmod(F.xxhash64(F.lit(7), "fp"), parts)).alias("s"))
+    tile = lambda band, part: band.cast("bigint") * (1 << 32) + part
+    near = F.filter("bands", lambda b: (F.abs(b["band"] - F.col("band")) - 1) * step < radius)
+    others = F.flatten(F.transform(near, lambda b: F.transform(F.sequence(F.lit(0), b["parts"] - 1), lambda i: tile(b["band"], i))))
+    own = tile(F.col("band"), F.col("s"))
+    spread = cut.select("k", "c", "fp", own.alias("s"), F.explode(F.when(whole, F.array(own)).otherwise(others)).alias("t")).select("k", "c", F.least("s", "t").alias("p"), F.greatest("s", "t").alias("q"), "fp")
     return spread.repartition("k", "c", "p", "q").sortWithinPartitions("k", "c", "p", "q").mapInPandas(_forest(width, radius), "a array<bigint>, b array<bigint>")
 
 
@@ -280,7 +290,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts get fingerprint zero and link like others; repeated rows stay; a null id never names a component unless all its ids are null. An empty table gives none.
     Fingerprints, not documents, are compared, each distinct one once, so copies of a text cost one row.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle))
+    fps = materialize(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), ["id"], "text", shingle).select("id", F.col("_fp").alias("fp")))
     least = fps.groupBy("fp").agg(F.min("id").alias("least"))
     root = connected_components(near_links(bit_blocks(least.select("fp"), radius, blocks), radius))
     placed = materialize(least.join(root, least["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
@@ -288,21 +298,40 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return fps.join(named, "fp").select("id", F.col("fp")[0].alias("fp"), "component")
 
 
+def _similar_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, width: int, minhashes: int) -> tuple[DataFrame, DataFrame]:
+    """(docs with _row and _fp, _own; the placed sets (fp, own, least, root)): see ``simhash_similar``."""
+    radius = int(64 * width * (1 - similarity) + 1e-9)
+    docs = replaced(docs, "_fp", "_mins", "_own", "_size", "_row", "_text")
+    fps = materialize(fingerprints(docs, docs.columns, text_col, shingle, width, minhashes, sets=True).withColumn("_row", F.monotonically_increasing_id()))
+    slim = fps.select(F.col(id_col).alias("id"), F.col("_fp").alias("fp"), F.col("_mins").alias("mins"), F.col("_own").alias("own"), F.col("_size").alias("size"), F.col("_row").alias("row"))
+    blocks = slim.select("fp", F.posexplode("mins").alias("c", "k")).select("k", F.col("c").cast("bigint").alias("c"), "fp")
+    near = connected_components(near_links(blocks, radius, width))
+    reps = slim.groupBy("fp", "own").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.first("size").alias("size"))
+    reps = materialize(reps.join(near, reps["fp"] == near["node"], "left").select("fp", "own", "least", "row", "size", F.xxhash64(F.coalesce("root", "fp")).alias("root")))
+    alike = connected_components(exact_links(reps, fps.select(F.col("_row").alias("row"), F.col(text_col).alias("text")), shingle, similarity, radius))
+    return fps, materialize(reps.drop("root").join(alike, reps["row"] == alike["node"], "left").select("fp", "own", "least", F.coalesce("root", "row").alias("root")))
+
+
 def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, width: int = 8, minhashes: int = 6) -> DataFrame:
     """(id, component) under links between texts whose sets of shingles have at least this Jaccard similarity.
 
-    Candidates are fingerprints of the sets, of 64 * width bits, of which at least that share agree: a pair of Jaccard similarity 0.8 differs in 78 of 512 bits on average with a deviation of 8, so about one in a thousand lies beyond the radius of 102. Pairs down to 0.65 get within it too, so within the groups that fingerprints make the sets themselves decide.
+    Candidates are fingerprints of the sets, of 64 * width bits, of which at least that share agree, found by the tiled comparison: a pair of Jaccard similarity 0.8 differs in 78 of 512 bits on average with a deviation of 8, so about one in a thousand lies beyond the radius of 102. Pairs down to 0.65 get within it too, so within the groups that fingerprints make the sets themselves decide.
 
     At this radius bit ranges tell nothing apart, so tiles are made of rows that share the least hash under one of ``minhashes`` seeds: a pair of Jaccard similarity s is missed with probability (1 - s) ** minhashes (0.8 and 6 seeds: 0.00006).
     Null and empty texts have the empty set and link with each other; texts of fewer words than a shingle have one; repeated rows stay; a null id never names a component unless all its ids are null. An empty table gives none.
     """
-    radius = int(64 * width * (1 - similarity) + 1e-9)
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle, width, minhashes, sets=True).withColumn("row", F.monotonically_increasing_id()))
-    blocks = fps.select("fp", F.posexplode("mins").alias("c", "k")).select("k", F.col("c").cast("bigint").alias("c"), "fp")
-    near = connected_components(near_links(blocks, radius, width))
-    reps = fps.groupBy("fp", "own").agg(F.min("id").alias("least"), F.min("row").alias("row"), F.first("size").alias("size"))
-    reps = materialize(reps.join(near, reps["fp"] == near["node"], "left").select("fp", "own", "least", "row", "size", F.xxhash64(F.coalesce("root", "fp")).alias("root")))
-    alike = connected_components(exact_links(reps, fps.select("row", "text"), shingle, similarity, radius))
-    placed = materialize(reps.drop("root").join(alike, reps["row"] == alike["node"], "left").select("fp", "own", "least", F.coalesce("root", "row").alias("root")))
+    fps, placed = _similar_sets(docs, id_col, text_col, shingle, similarity, width, minhashes)
     named = placed.join(placed.groupBy("root").agg(F.min("least").alias("component")), "root").select("fp", "own", "component")
-    return fps.select("id", "fp", "own").join(named, ["fp", "own"]).select("id", "component")
+    return fps.select(F.col(id_col).alias("id"), F.col("_fp").alias("fp"), F.col("_own").alias("own")).join(named, ["fp", "own"]).select("id", "component")
+
+
+def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, width: int = 8, minhashes: int = 6) -> DataFrame:
+    """docs with one row left of each group of ``simhash_similar``: that of least id (null last), then of least hash of the text, then the first as read.
+
+    Rows, not ids, make groups: of rows with one id and unlike texts each stays or goes by its own group, and of wholly equal rows one stays. Other columns pass through; an empty table gives none.
+    """
+    fps, placed = _similar_sets(docs, id_col, text_col, shingle, similarity, width, minhashes)
+    order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"), F.col("_row").alias("r"))
+    least = fps.select(F.col("_fp").alias("fp"), F.col("_own").alias("own"), order.alias("o")).groupBy("fp", "own").agg(F.min("o").alias("o"))
+    kept = placed.join(least, ["fp", "own"]).groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.r").alias("_kept_row"))
+    return fps.join(kept, F.col("_row") == F.col("_kept_row"), "left_semi").select(*docs.columns)

@@ -415,6 +415,17 @@ def test_similar_is_exact(spark, monkeypatch, part):
     assert 15 < len(set(want.values())) < 60 and {r["id"]: r["component"] for r in got} == want
 
 
+def test_drop_similar_keeps_one_row_of_each_group(spark, awkward):
+    a, b = (" ".join(f"{c}{i}" for i in range(40)) for c in "ab")
+    rows = [(3, a), (5, a + " x"), (5, b), (7, b + " y"), (9, "one two three"), (9, "one two three"), (None, a + " z"), (None, "only here"), (None, "only here"), (8, None), (10, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("mine"))
+    for given in (frame, frame.repartition(5)):
+        out = simhash.drop_similar(given)
+        assert out.columns == given.columns
+        assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter([(3, a), (5, b), (9, "one two three"), (None, "only here"), (8, None)])
+    assert Counter(r["doc_id"] for r in simhash.drop_similar(awkward).collect()) == Counter([1, 2, None, 4, 6, 7, 8])
+
+
 def test_similar_awkward(spark, awkward):
     got = simhash.simhash_similar(awkward).collect()
     assert Counter((r["id"], r["component"]) for r in got) == Counter({(1, 1): 2, (2, 2): 1, (3, 2): 1, (9, 2): 1, (None, None): 1, (4, 4): 1, (5, 4): 1, (6, 6): 1, (7, 7): 1, (8, 8): 1})
