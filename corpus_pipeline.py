@@ -16,10 +16,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, 0.8) the document with the least id stays."""
-    groups = simhash.simhash_similar(docs, shingle=5, similarity=0.8)
-    gone = groups.filter(F.col("id") > F.col("component")).select(F.col("id").alias("doc_id"))
-    return docs.join(gone.distinct(), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of near copies (five-word shingles, 0.8) one row stays, that of the least id; rows make groups, so a repeated or null id loses nothing unlike."""
+    return simhash.drop_similar(docs, shingle=5, similarity=0.8)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
