@@ -266,18 +266,77 @@ def test_quality_rules_on_labels(spark, sf):
     assert not out.filter("quality = 0 and kept").count() and not out.filter("quality = 1 and not kept and not base_failed").count()
 
 
-def test_tiling(spark, awkward):
+def plain_tiling(doc, item, k):
+    """Greedy string tiling as it is defined, by comparing tokens one by one."""
+    k = min(k, len(item))
+    free_d, free_i, marked, tiles = [True] * len(doc), [True] * len(item), 0, 0
+    while item:
+        best = (0, 0, 0)
+        for d in range(len(doc)):
+            for p in range(len(item)):
+                n = 0
+                while d + n < len(doc) and p + n < len(item) and free_d[d + n] and free_i[p + n] and doc[d + n] == item[p + n]:
+                    n += 1
+                if n > best[0]:
+                    best = (n, d, p)
+        n, d, p = best
+        if n < k or not n:
+            break
+        for x in range(n):
+            free_d[d + x] = free_i[p + x] = False
+        marked, tiles = marked + n, tiles + 1
+    return marked, tiles
+
+
+def plain_best(text, items, k=5):
+    """(coverage, item id, tiles) over (id, text) in order."""
+    best = (0.0, None, 0)
+    for i, t in sorted(items, key=lambda x: (x[0] is not None, x[0] or 0, x[1] or "")):
+        own = tiling.tokens(t)
+        n, tiles = plain_tiling(tiling.tokens(text), own, k)
+        if own and n / len(own) > best[0]:
+            best = (n / len(own), i, tiles)
+    return best
+
+
+def test_tiles_are_greedy():
+    rng = np.random.default_rng(9)
+    for k in (1, 2, 5):
+        for _ in range(120):
+            doc, item = (rng.integers(0, 4, int(n)).tolist() for n in rng.integers(1, 40, 2))
+            if len(item) >= k:
+                assert tiling.tile(np.array(doc, np.uint64), np.array(item, np.uint64), k) == plain_tiling(doc, item, k)
+
+
+def test_tiling_of_repeated_words_is_quick():
+    import time
+
+    index = tiling.Items([(0, "word " * 1500), (1, "a b " * 700)], 5)
+    for text in ("word " * 20_000, "a b " * 10_000, "word a b " * 7000):
+        began = time.time()
+        got = index.match(text)
+        assert time.time() - began < 1 and (got[0] == 1.0) == (text != "word a b " * 7000)
+
+
+@pytest.mark.parametrize("held", [1 << 20, 0])
+def test_tiling(spark, awkward, held):
     item = "one two three four five six seven eight nine ten eleven twelve"
-    index = tiling.Items([("i", item), ("short", "one two")], 5)
-    assert index.match(item.upper().replace(" ", ", ")) == (1.0, "i", 1)
-    assert index.match("x seven eight nine ten eleven twelve y one two three four five six z") == (1.0, "i", 2)
+    index = tiling.Items([(0, item), (1, "red two")], 5)
+    assert index.match(item.upper().replace(" ", ", ")) == (1.0, 0, 1)
+    assert index.match("x seven eight nine ten eleven twelve y one two three four five six z") == (1.0, 0, 2)
     assert index.match("one two three four x five six seven") == (0.0, None, 0)
-    assert index.match("one two three four five " * 3) == (5 / 12, "i", 1)
-    tests = spark.createDataFrame([(1, item), (2, "a b c d e f"), (3, None), (4, "")], "item_id long, text string")
-    for block in (4 << 20, 10):
-        got = tiling.decontaminate(awkward, tests, block_bytes=block).collect()
-        assert len(got) == len(AWKWARD) and all((r["_coverage"] == 1.0 and r["_item"] == "2") == (r["doc_id"] == 1) for r in got)
-    assert tiling.decontaminate(awkward.limit(0), tests).count() == 0 and tiling.decontaminate(awkward, tests.limit(0)).count() == len(AWKWARD)
+    assert index.match("one two three four five " * 3) == (5 / 12, 0, 1)
+    assert index.match("a red two b") == (1.0, 1, 1)
+    rng = np.random.default_rng(10)
+    items = [(1, item), (2, "a b c d e f"), (3, None), (4, ""), (7, item), (6, item + " " + item), (None, "x y"), (8, "no id here"), (8, "word1 tail1. word2 tail2 word3"), (9, "zz")]
+    texts = [*(r[:2] for r in AWKWARD), *((100 + i, " ".join(item.split()[int(x)] for x in rng.integers(0, 12, 30)) + " " + item[: int(rng.integers(60))]) for i in range(12)), (200, "X, y!"), (201, item)]
+    want = {(i, t): plain_best(t and t[:2000], items) for i, t in texts}
+    frame = spark.createDataFrame([(i, t and t[:2000]) for i, t in texts], "doc_id long, text string").withColumn("n", F.lit("own"))
+    got = tiling.decontaminate(frame, spark.createDataFrame(items, "item_id long, text string"), held_bytes=held).collect()
+    assert Counter((r["doc_id"], r["text"], r["n"], r["_coverage"], r["_item"], r["_tiles"]) for r in got) == Counter((i, t and t[:2000], "own", *want[i, t]) for i, t in texts)
+    tests = spark.createDataFrame(items, "item_id long, text string")
+    assert tiling.decontaminate(awkward, tests, held_bytes=held).count() == len(AWKWARD)
+    assert tiling.decontaminate(awkward.limit(0), tests, held_bytes=held).count() == 0 and tiling.decontaminate(awkward, tests.limit(0), held_bytes=held).count() == len(AWKWARD)
 
 
 def test_decontamination_finds_every_whole_item(spark, sf):
