@@ -405,6 +405,71 @@ def test_exchange_raises_likelihood_and_finds_classes():
     assert len(set(cls[:10])) == 1 and len(set(cls[10:20])) == 1 and cls[0] != cls[10] and cls[20] == 2
 
 
+def test_settle_finds_the_likeliest_class():
+    """Against the likelihood counted anew for each class; the word shares no cell with the class it leaves."""
+    rng, total, learned = np.random.default_rng(13), 9, 4
+    grid = rng.integers(50, 90, (total, total)).astype(float)
+    f = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+    for _ in range(40):
+        own = int(rng.integers(learned, total))
+        left, right = (np.where(rng.random(total) < 0.5, rng.integers(1, 9, total), 0) for _ in range(2))
+        left[own] = right[own] = 0
+        if not left.any() or not right.any():
+            continue
+        less = grid.copy()
+        less[:, own] -= left
+        less[own] -= right
+        values = {}
+        for c in (*range(learned), own):
+            now = less.copy()
+            now[:, c] += left
+            now[c] += right
+            values[c] = f(now) - f(now.sum(0)) - f(now.sum(1))
+        x = np.r_[brown._LEFT + np.flatnonzero(left), brown._RIGHT + np.flatnonzero(right)]
+        got = int(brown.settle(np.array([0]), x, np.r_[left[left > 0], right[right > 0]], np.array([own]), grid, learned)[0])
+        assert values[got] > max(values.values()) - 0.05
+
+
+def plain_score(given, held_out, place, total):
+    """The class bigram model counted one token after another, ``place`` (context class, class) of each word."""
+    toks = [[*(t or "").encode().lower().split(), b""] for _, t in given]
+    count = Counter(w for (i, _), ws in zip(given, toks) if not held_out(i) for w in ws)
+    grid, size, types = np.zeros((total, total)), np.zeros(total), np.zeros(total)
+    for (i, _), ws in zip(given, toks):
+        if not held_out(i):
+            for a, b in zip([b"", *ws], ws):
+                grid[place(a)[0], place(b)[1]] += 1
+    for w, c in count.items():
+        size[place(w)[1]] += c
+        types[place(w)[1]] += 1
+    step = np.log10((grid + 1) / (grid.sum(1, keepdims=True) + total))
+    return [sum(step[place(a)[0], place(b)[1]] + np.log10((count[b] + 1) / (size[place(b)[1]] + types[place(b)[1]] + 1)) for a, b in zip([b"", *ws], ws)) for ws in toks]
+
+
+@pytest.mark.parametrize("held", [brown.HELD, 40])
+def test_score_is_that_of_its_classes(spark, docs, monkeypatch, held):
+    """With the classes that training has found, each score against a plain count."""
+    seen = {}
+    for name in ("encode", "settle_held", "settle_rare", "exchange"):
+        monkeypatch.setattr(brown, name, lambda *a, f=getattr(brown, name), n=name, **k: seen.setdefault(n, [*a, f(*a, **k)])[-1])
+    given = [(i, t) for i, t in docs[:60]] + [(900, None), (901, "neverseen word2 neverseen")]
+    out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    got = {r["doc_id"]: r["_score"] for r in brown.score_texts(spark.createDataFrame(given, "doc_id long, text string"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, core=20, classes=4, seen=2, held=held).collect()}
+    order = {w: i for i, w in enumerate(seen["encode"][2])}
+    placed = seen["settle_held"][-1] if "settle_held" in seen else seen["exchange"][-1][np.minimum(np.arange(len(order)), 20 + np.array([brown.shape(w) for w in order]))]
+    rare = {r["h"]: r["class"] for r in seen["settle_rare"][-1][0].collect()}
+    assert bool(rare) == (held == 40) and (held == 40 or len(set(placed.tolist())) > 4) and len(set(rare.values())) > (4 if held == 40 else -1)
+
+    def place(w):
+        if w in order:
+            return (int(placed[order[w]]),) * 2
+        own = 4 + brown.shape(w)
+        return own, rare.get(xxhash.xxh64_intdigest(w, 42) - (1 << 64) * (xxhash.xxh64_intdigest(w, 42) >> 63), own)
+
+    for (i, _), want in zip(given, plain_score(given, out, place, 4 + brown.SHAPES)):
+        assert abs(got[i] - want) < 1e-6 * max(1, abs(want))
+
+
 def test_classes_beat_the_base(spark, sf):
     out = queries.op10_lm_scoring(spark, sf).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]
