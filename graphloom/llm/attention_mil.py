@@ -9,36 +9,37 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import replaced, words
+from .common import materialize, replaced, words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Words of a passage, hashed word-ending buckets, width of the passage representation and of the attention.
-PASSAGE, BUCKETS, WIDTH, GATE = 64, 64, 16, 8
+#: Words of a passage, buckets of hashed words and of hashed word endings, width of the passage representation and of the attention.
+PASSAGE, WORD_BUCKETS, BUCKETS, WIDTH, GATE = 64, 512, 64, 16, 8
 SURFACE = 12
-#: Bounds of training: labelled documents, and passages of one of them (evenly spread). Scoring has no bounds.
-SAMPLE_DOCS, SAMPLE_PASSAGES = 4000, 32
+FEATURES = SURFACE + BUCKETS + WORD_BUCKETS
+#: Bounds of training: labelled documents, and words of all of them together; documents are taken whole or not at all. Scoring has no bounds.
+SAMPLE_DOCS, SAMPLE_WORDS = 4000, 3_000_000
 _SYMBOL, _END = re.compile(rb"[#*$%&|<>]"), (b".", b"?", b"!")
 
 
 def encode(text: str | None) -> np.ndarray:
-    """One row of surface counts and hashed word endings for each passage of the whole text; an empty text is one passage of zeros."""
+    """One row of surface counts, hashed word endings and hashed words for each passage of the whole text; an empty text is one passage of zeros."""
     w = words(text)
-    out = np.zeros((max(1, -(-len(w) // PASSAGE)), SURFACE + BUCKETS), np.float32)
+    out = np.zeros((max(1, -(-len(w) // PASSAGE)), FEATURES), np.float32)
     crc = zlib.crc32
     for row, at in zip(out, range(0, len(w), PASSAGE)):
         own = w[at : at + PASSAGE]
         n, line = len(own), b" ".join(own)
-        low = line.lower()
+        low = line.lower().split()
         row[:SURFACE] = (
             1.0, n / PASSAGE, len(line) / n / 10, len(_SYMBOL.findall(line)) / n, sum(x.isupper() for x in own) / n, line.count(b"!") / n, line.count(b"|") / n, sum(c.isdigit() for c in own) / n,
             sum(x.endswith(_END) for x in own) / n, len(set(own)) / n, sum(a == b for a, b in zip(own, own[1:])) / n, sum(a == b for a, b in zip(own, own[2:])) / n,
         )
-        row[SURFACE:] = np.bincount([crc(x[-3:]) % BUCKETS for x in low.split()], minlength=BUCKETS) / n
+        row[SURFACE:] = np.bincount([SURFACE + crc(x[-3:]) % BUCKETS for x in low] + [SURFACE + BUCKETS + crc(x) % WORD_BUCKETS for x in low], minlength=FEATURES)[SURFACE:] / n
     return out
 
 
@@ -48,7 +49,7 @@ class Model:
     def __init__(self, seed: int = 5):
         r = np.random.default_rng(seed)
         mk = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float64)
-        self.p = {"W": mk(SURFACE + BUCKETS, WIDTH), "V": mk(WIDTH, GATE), "G": mk(WIDTH, GATE), "u": mk(GATE), "c": mk(WIDTH), "d": np.zeros(1)}
+        self.p = {"W": mk(FEATURES, WIDTH), "V": mk(WIDTH, GATE), "G": mk(WIDTH, GATE), "u": mk(GATE), "c": mk(WIDTH), "d": np.zeros(1)}
 
     def forward(self, x: np.ndarray, starts: np.ndarray):
         """x: passages of several documents one after another; starts: where each document begins."""
@@ -87,26 +88,38 @@ class Model:
         return self
 
 
-def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_DOCS) -> Model:
-    """Fit on the ``sample`` labelled, usable rows with the least hashed ids; their passages are encoded on the executors. Without two kinds of label the model stays untrained."""
-    known = labels.filter(F.col(label_col).isNotNull()).select(F.col(id_col).alias("_i"), F.col(label_col).cast("double").alias("_y")).filter(F.col("_i").isNotNull()).dropDuplicates(["_i"])
+def train(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE_DOCS, sample_words: int = SAMPLE_WORDS) -> Model:
+    """Fit on whole documents: the ``sample`` labelled, usable ones of least hashed id, as many of them as hold ``sample_words`` words together (the first always).
+
+    Passages are encoded on the executors and sent to the driver packed. Of several labels of one id the highest counts, of several documents that of least hashed text, so the rows sent are bounded. Without two kinds of label the model stays untrained.
+    """
+    known = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_i")).agg(F.max(F.col(label_col).cast("double")).alias("_y"))
     chosen = known.withColumnRenamed("_i", id_col).filter(usable).orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    one = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).groupBy(id_col).agg(F.first("_y").alias("_y"), F.min_by(text_col, F.coalesce(F.xxhash64(text_col), F.lit(0))).alias("_text"))
+    upto = F.sum("_n").over(Window.orderBy(F.xxhash64(id_col), id_col).rowsBetween(Window.unboundedPreceding, -1))  # over ``sample`` rows at most
+    rows = materialize(one)
+    fit = rows.select(id_col, F.coalesce(F.regexp_count(F.col("_text"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).alias("_n"))
+    fit = fit.withColumn("_upto", F.coalesce(upto, F.lit(0)) + F.when(F.coalesce(upto, F.lit(0)) > 0, F.col("_n")).otherwise(0)).filter(F.col("_upto") <= sample_words).select(id_col)
 
     def run(batches):
         for b in batches:
-            bags = []
-            for t in b.column(1).to_pylist():
-                x = encode(t)
-                bags.append(x[np.unique(np.linspace(0, len(x) - 1, min(len(x), SAMPLE_PASSAGES)).astype(int))].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(bags, pa.binary())], ["i", "y", "x"])
+            bags = [encode(t) for t in b.column(2).to_pylist()]
+            packed = [zlib.compress(np.packbits(x != 0).tobytes() + x[x != 0].astype(np.float16).tobytes(), 1) for x in bags]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(x) for x in bags], pa.int32()), pa.array(packed, pa.binary())], ["i", "y", "n", "x"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    got = sorted(rows.mapInArrow(run, f"i {kind}, y double, x binary").toLocalIterator(), key=lambda r: (r["i"], bytes(r["x"])))
+    got = sorted(rows.join(F.broadcast(fit), id_col).select(id_col, "_y", "_text").mapInArrow(run, f"i {kind}, y double, n int, x binary").collect(), key=lambda r: r["i"])
     model, y = Model(), np.array([r["y"] for r in got])
     if len(set(y.tolist())) < 2:
         return model
-    return model.fit([np.frombuffer(r["x"], np.float32).reshape(-1, SURFACE + BUCKETS) for r in got], y)
+    return model.fit([_unpacked(r["x"], r["n"]) for r in got], y)
+
+
+def _unpacked(packed: bytes, n: int) -> np.ndarray:
+    raw, cells = zlib.decompress(packed), n * FEATURES
+    out, edge = np.zeros(cells, np.float16), -(-cells // 8)
+    out[np.unpackbits(np.frombuffer(raw[:edge], np.uint8), count=cells).astype(bool)] = np.frombuffer(raw[edge:], np.float16)
+    return out.reshape(n, FEATURES)
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

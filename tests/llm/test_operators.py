@@ -478,7 +478,7 @@ def test_classes_beat_the_base(spark, sf):
 def test_gradients():
     rng = np.random.default_rng(7)
     model = attention_mil.Model()
-    x, starts, y = rng.normal(size=(9, attention_mil.SURFACE + attention_mil.BUCKETS)), np.array([0, 2, 5]), np.array([1.0, 0.0, 1.0])
+    x, starts, y = rng.normal(size=(9, attention_mil.FEATURES)), np.array([0, 2, 5]), np.array([1.0, 0.0, 1.0])
     loss = lambda: -np.mean(y * np.log(model.forward(x, starts)[0]) + (1 - y) * np.log(1 - model.forward(x, starts)[0]))
     p, kept = model.forward(x, starts)
     for k, g in model.gradients(p, y, kept, starts).items():
@@ -491,6 +491,23 @@ def test_gradients():
         assert abs((up - down) / 2e-6 - g[at]) < 1e-6
 
 
+def test_training_takes_whole_documents_within_its_bounds(spark, monkeypatch):
+    """Repeated ids and labels add no rows, the word bound drops documents but no passage, and packing loses nothing but half precision."""
+    rows = [(i, f"w{i} " * (64 * (1 + i % 40))) for i in range(40)] + [(3, "again"), (None, "x"), (99, None)]
+    labels = [(i, i % 2) for i in range(40)] + [(3, 0), (None, 1), (99, 1), (98, None)]
+    seen = []
+    monkeypatch.setattr(attention_mil.Model, "fit", lambda self, bags, y: seen.append((bags, y)))
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int")
+    attention_mil.train(docs, marks, F.lit(True))
+    attention_mil.train(docs.repartition(3), marks, F.lit(True), sample_words=64 * 100)
+    attention_mil.train(docs, marks, F.lit(True), sample=10)
+    full, some, few = seen
+    assert len(full[0]) == 41 and len(few[0]) == 10 and sum(len(b) for b in full[0]) >= 780 and full[1].sum() == 21
+    assert 0 < sum(len(b) for b in some[0]) <= 101 and all(len(b) == max(1, round(float((b[:, 1] > 0).sum()))) for b in some[0])
+    want = attention_mil.encode(rows[5][1])
+    assert any(b.shape == want.shape and np.allclose(b, want, atol=2e-3) for b in full[0])
+
+
 def test_classifier_held_out(spark, sf, awkward):
     big = sf.replace("0.001", "0.01")
     out = queries.op1_quality_classifier(spark, big).join(table(spark, big, "labels"), "doc_id").filter("held_out").collect()
