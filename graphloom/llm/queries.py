@@ -22,6 +22,11 @@ def tree() -> dict[str, Column]:
     return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
 
 
+def potentials(spark: SparkSession, sf_dir: str) -> line_crf.Potentials:
+    """Those of the line CRF, fitted to the labelled documents outside the held-out fifth."""
+    return line_crf.fit_potentials(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), remainder("doc_id", 5) != 0)
+
+
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, held_out = table(spark, sf_dir, "documents"), remainder("doc_id", 5) == 0
     model = attention_mil.train(docs, table(spark, sf_dir, "labels"), ~held_out)
@@ -58,7 +63,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = line_crf.quality_rules(table(spark, sf_dir, "documents"))
+    out = line_crf.quality_rules(table(spark, sf_dir, "documents"), potentials=potentials(spark, sf_dir))
     return out.select("doc_id", *(F.col(f"_{n}").alias(n) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share")))
 
 

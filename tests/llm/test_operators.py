@@ -254,13 +254,42 @@ def test_quality_rules(docs, awkward):
 def test_viterbi_is_best_path():
     from itertools import product
 
-    rng = np.random.default_rng(5)
+    rng, p = np.random.default_rng(5), line_crf.Potentials()
     for n in range(1, 8):
         x = rng.normal(size=n).tolist()
-        value = lambda s: sum(v for v, c in zip(x, s) if c) + sum(line_crf.STAY if a == b else line_crf.CHANGE for a, b in zip(s, s[1:]))  # noqa: B023, E731
+        value = lambda s: sum(v for v, c in zip(x, s) if c) + sum(p.stay if a == b else p.change for a, b in zip(s, s[1:]))  # noqa: B023, E731
         assert abs(value(line_crf.viterbi(x)) - max(map(value, product([True, False], repeat=n)))) < 1e-12
 
 
+def test_chain_gradient():
+    """The likelihood against the sum over all state sequences, the gradient against differences."""
+    from itertools import product
+
+    rng = np.random.default_rng(12)
+    bags, content, p = [rng.normal(size=(n, 3)) for n in (1, 4, 6)], np.array([True, False, True]), rng.normal(size=5)
+
+    def value(p):
+        total = 0.0
+        for x, c in zip(bags, content):
+            score = lambda s: sum(v for v, one in zip(x @ p[:3], s) if one) + sum(p[3] if a == b else p[4] for a, b in zip(s, s[1:]))  # noqa: B023, E731
+            total += (score([c] * len(x)) - np.log(sum(np.exp(score(s)) for s in product([True, False], repeat=len(x))))) / len(x) / 3
+        return total
+
+    got, gradient = line_crf.chain_gradient(bags, content, p)
+    assert abs(got - value(p)) < 1e-9
+    for i in range(5):
+        d = np.eye(5)[i] * 1e-6
+        assert abs((value(p + d) - value(p - d)) / 2e-6 - gradient[i]) < 1e-6
+
+
+def test_potentials_are_fitted(spark, sf):
+    fitted = queries.potentials(spark, sf)
+    assert fitted.weights != line_crf.Potentials().weights and fitted.stay > fitted.change
+    docs = table(spark, sf, "documents")
+    assert line_crf.fit_potentials(docs, table(spark, sf, "labels").limit(0), F.lit(True)) == line_crf.Potentials()
+    assert line_crf.fit_potentials(docs.limit(0), table(spark, sf, "labels"), F.lit(True)) == line_crf.Potentials()
+
+
 def test_quality_rules_on_labels(spark, sf):
     out = queries.op7_quality_rules(spark, sf).join(table(spark, sf, "labels"), "doc_id")
     assert not out.filter("quality = 0 and kept").count() and not out.filter("quality = 1 and not kept and not base_failed").count()
@@ -583,7 +612,7 @@ def test_pipeline(spark, sf):
         before, after = {r["doc_id"]: r["text"] for r in docs.collect()}, {r["doc_id"]: r["text"] for r in out.collect()}
         assert after.items() <= before.items()
         if i == 0:
-            assert after.keys() == {k for k, t in before.items() if line_crf.assess(t)[7]}
+            assert after.keys() == {k for k, t in before.items() if line_crf.assess(t, queries.potentials(spark, sf))[7]}
         if i == 1:
             assert after.keys() == set(least_of_groups(before).values())
         if i == 2:
