@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import line_crf, mixing, sharding, simhash, tiling
 from graphloom.llm.common import materialize, table
-from graphloom.llm.queries import CONTAMINATED, tree
+from graphloom.llm.queries import CONTAMINATED, potentials, tree
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go."""
-    return line_crf.quality_rules(docs).filter("_kept").select(*docs.columns)
+    return line_crf.quality_rules(docs, potentials=potentials(spark, sf_dir)).filter("_kept").select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
