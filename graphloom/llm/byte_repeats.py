@@ -88,23 +88,34 @@ def anchors(texts: list[bytes], length: int):
         yield np.array([x[0] for x in pack])[own], a + shift, lo + shift, last + shift, h[a].view(np.int64)
 
 
-def refine(raw: np.ndarray, starts: np.ndarray, bucket: np.ndarray, length: int) -> np.ndarray:
-    """Which of ``starts`` share a bucket and the next ``length`` bytes with another.
+def refine(raw: np.ndarray, starts: np.ndarray, left: np.ndarray, length: int) -> np.ndarray:
+    """Which of ``starts`` share the next ``length`` bytes with another of them; ``left``: for each byte of ``raw`` the bytes from it to the end of its own context.
 
-    Buckets begin as (bucket, q-gram) for q = length / 4 and are refined by the bucket pointers of the offsets q, 2q, 3q; only buckets of two or more are sorted again, on pointers already refined.
+    Bucket-pointer refinement: each place points to the bucket of its q-gram. A round sorts the places whose bucket has others on (own bucket, bucket at the later offset) and writes the finer buckets back, so the next round finds at its later offset what this one has refined: buckets of s bytes become buckets of 2s, and at last of ``length``. Places alone in their bucket are left out for good, as is whoever meets one at the later offset.
     """
-    steps = [0, length // 4, length // 2, length - length // 4]
-    q = max(length // 4, length - steps[3])
-    pointer = _mix(_gram_hashes(raw, q))
-    live, own = np.arange(len(starts)), bucket.astype(np.uint64)
-    for s in steps:
-        code = _mix(own * np.uint64(_B) + np.uint64(s + 1)) + pointer[starts[live] + s]
-        _, own, size = np.unique(code, return_inverse=True, return_counts=True)
-        more = size[own] > 1
-        live, own = live[more], own[more].astype(np.uint64)
-    out = np.zeros(len(starts), bool)
+    q = min(length, max(GRAM, length // 4))
+    pointer = np.full(len(raw), -1, np.int64)
+    live, size = np.flatnonzero(left >= q), q
+    if not len(live):
+        return np.zeros(len(starts), bool)
+
+    def settle(code: np.ndarray) -> np.ndarray:
+        _, bucket, count = np.unique(code, return_inverse=True, return_counts=True)
+        more = count[bucket] > 1
+        pointer.fill(-1)
+        pointer[live] = np.where(more, bucket, -1)
+        return live[more]
+
+    live = settle(_mix(_gram_hashes(raw, q))[live])
+    while size < length and len(live):
+        step = min(size, length - size)
+        live = live[left[live] >= size + step]
+        live = live[pointer[live + step] >= 0]
+        live = settle(pointer[live] * len(raw) + pointer[live + step])
+        size += step
+    out = np.zeros(len(raw), bool)
     out[live] = True
-    return out
+    return out[starts]
 
 
 def _runs(flag: np.ndarray) -> np.ndarray:
@@ -127,9 +138,8 @@ def _group_runs(length: int):
         wins, begin = sizes - length + 1, np.cumsum(sizes) - sizes
         base = np.cumsum(wins) - wins
         at = np.arange(wins.sum()) - np.repeat(base, wins)
-        place = np.unique(key[pick], return_inverse=True)[1]
-        bucket = np.repeat(place * 1024 + off[pick], wins) - at
-        hit = refine(np.frombuffer(b"".join(text[i] for i in pick), np.uint8), np.repeat(begin, wins) + at, bucket, length) | np.repeat(count > 1, wins)
+        left = np.repeat(begin + sizes, sizes) - np.arange(sizes.sum())
+        hit = refine(np.frombuffer(b"".join(text[i] for i in pick), np.uint8), np.repeat(begin, wins) + at, left, length) | np.repeat(count > 1, wins)
         out = [_runs(hit[b : b + w]).ravel().tolist() for b, w in zip(base.tolist(), wins.tolist())]
         some = [i for i, x in enumerate(out) if x]
         return pa.RecordBatch.from_arrays([pa.array(key[pick][some]), pa.array(ctx[pick][some]), pa.array([out[i] for i in some], pa.list_(pa.int64()))], ["key", "ctx", "runs"])
@@ -178,13 +188,13 @@ def _large_runs(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, group: int = GROUP) -> DataFrame:
-    """(uid, spans array of (start, end)): for each text the bytes under ``length``-byte strings that also start elsewhere; uid is xxhash64(id, text). Spans may overlap.
+    """(uid, size, spans array of (start, end)): for each text the bytes under ``length``-byte strings that also start elsewhere; uid is xxhash64(id, text), size the bytes of the text. Spans may overlap, and are as many as the text has bytes at most.
 
     1. Each window is anchored at a q-gram of its own content; q-grams found once are left behind (counted map-side, so copies are a few rows).
     2. Windows of one anchor are one context of under 2 * length bytes; equal contexts collapse in the tasks and leave slim rows.
     3. Contexts of one q-gram, the initial bucket, are refined to full length by bucket pointers; a q-gram with more than ``group`` contexts is spread over all tasks by window.
     """
-    keyed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    keyed = docs.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("uid"), F.coalesce(F.octet_length(text_col), F.lit(0)).alias("size"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def raws(b, i):
         return [t.encode("utf-8", "surrogatepass") for t in b.column(i).to_pylist()]
@@ -197,51 +207,52 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def place(batches):
         for b in batches:
-            uid = b.column(0).to_numpy()
-            for d, a, lo, hi, h in anchors(raws(b, 1), length):
-                yield pa.RecordBatch.from_arrays([pa.array(uid[d]), pa.array(h), pa.array((a << 20) | ((a - lo) << 10) | (hi - lo))], ["uid", "key", "at"])
+            uid, size = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for d, a, lo, hi, h in anchors(raws(b, 2), length):
+                yield pa.RecordBatch.from_arrays([pa.array(uid[d]), pa.array(size[d]), pa.array(h), pa.array((a << 20) | ((a - lo) << 10) | (hi - lo))], ["uid", "size", "key", "at"])
 
-    twice = keyed.select("text").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key")
-    found = keyed.mapInArrow(place, "uid bigint, key bigint, at bigint").join(twice, "key").groupBy("uid").agg(F.collect_set(F.struct("key", "at")).alias("found")).withColumnRenamed("uid", "_u")
+    # written, so that both sides of the join are plain exchanges and a hot q-gram's partition can be split
+    twice = materialize(keyed.select("text").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key"))
+    found = keyed.mapInArrow(place, "uid bigint, size int, key bigint, at bigint").join(twice, "key").groupBy("uid", "size").agg(F.collect_set(F.struct("key", "at")).alias("found")).withColumnsRenamed({"uid": "_u", "size": "_s"})
 
     def contexts(batches):
         for b in batches:
-            uids, texts, founds = b.column(0).to_pylist(), raws(b, 1), b.column(2).to_pylist()
+            uids, sizes, texts, founds = b.column(0).to_pylist(), b.column(1).to_pylist(), raws(b, 2), b.column(3).to_pylist()
             slim, full = [], {}
-            for uid, text, found in zip(uids, texts, founds):
+            for uid, size, text, found in zip(uids, sizes, texts, founds):
                 for x in found:
                     key, at = x["key"], x["at"]
                     lo = (at >> 20) - (at >> 10 & 1023)
                     own = text[lo : lo + (at & 1023) + length]
                     ctx = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True)
-                    slim.append((0, key, ctx, uid, lo, None, None, None))
+                    slim.append((0, key, ctx, uid, size, lo, None, None, None))
                     if (key, ctx) in full:
                         full[key, ctx][1] += 1
                     else:
                         full[key, ctx] = [at >> 10 & 1023, 1, own]
-            rows = slim + [(1, k, c, None, None, off, n, own) for (k, c), (off, n, own) in full.items()]
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            rows = slim + [(1, k, c, None, None, None, off, n, own) for (k, c), (off, n, own) in full.items()]
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
             for at in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 20_000]), kinds)], ["kind", "key", "ctx", "uid", "lo", "off", "n", "bytes"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 20_000]), kinds)], ["kind", "key", "ctx", "uid", "size", "lo", "off", "n", "bytes"])
 
-    made = materialize(keyed.join(found, F.col("uid") == F.col("_u")).select("uid", "text", "found").mapInArrow(contexts, "kind int, key bigint, ctx bigint, uid bigint, lo bigint, off bigint, n bigint, bytes binary"))
+    made = materialize(keyed.join(found, (F.col("uid") == F.col("_u")) & (F.col("size") == F.col("_s"))).select("uid", "size", "text", "found").mapInArrow(contexts, "kind int, key bigint, ctx bigint, uid bigint, size int, lo bigint, off bigint, n bigint, bytes binary"))
     whole = made.filter("kind = 1").select("key", "ctx", "off", "n", "bytes")
     large = whole.groupBy("key").agg(F.count("*").alias("_n")).filter(F.col("_n") > group).select("key")
     runs = whole.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(_group_runs(length), "key bigint, ctx bigint, runs array<bigint>")
     if not large.isEmpty():
         runs = runs.unionByName(_large_runs(whole.join(large, "key", "left_semi"), length))
-    spans = made.filter("kind = 0").select("key", "ctx", "uid", "lo").join(runs, ["key", "ctx"])
+    spans = made.filter("kind = 0").select("key", "ctx", "uid", "size", "lo").join(runs, ["key", "ctx"])
     start = F.transform("runs", lambda r: r + F.col("lo"))
-    return spans.select("uid", start.alias("r")).groupBy("uid").agg(F.collect_set("r").alias("spans"))
+    return spans.select("uid", "size", start.alias("r")).groupBy("uid", "size").agg(F.collect_set("r").alias("spans"))
 
 
 def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, group: int = GROUP) -> DataFrame:
     """docs with ``_bytes``, ``_removed`` (array of start, end: maximal removed runs), ``_kept`` (binary: what is left).
 
-    A byte goes if a string of ``length`` bytes over it also starts anywhere else, the same text and overlaps included; all copies go, judged on the input. Null texts count as empty; repeated rows are copies of each other; other columns pass through; an empty table gives none. Equal q-grams, contexts and windows are told by 64-bit hashes.
+    A byte goes if a string of ``length`` bytes over it also starts anywhere else, the same text and overlaps included; all copies go, judged on the input. Null texts count as empty; repeated rows are copies of each other; other columns pass through; an empty table gives none. Equal q-grams, contexts and windows are told by 64-bit hashes, texts by a hash and their length.
     """
-    docs = replaced(docs, "_uid", "_u", "_spans", "_bytes", "_removed", "_kept")
-    spans = repeated_spans(docs, id_col, text_col, length, group).select(F.col("uid").alias("_u"), F.col("spans").alias("_spans"))
+    docs = replaced(docs, "_uid", "_u", "_s", "_spans", "_bytes", "_removed", "_kept")
+    spans = repeated_spans(docs, id_col, text_col, length, group).select(F.col("uid").alias("_u"), F.col("size").alias("_s"), F.col("spans").alias("_spans"))
     more = [T.StructField("_bytes", T.LongType()), T.StructField("_removed", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("_kept", T.BinaryType())]
 
     def run(batches):
@@ -266,5 +277,6 @@ def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(n)) for n in own), *(pa.array(c, k) for c, k in zip(cols, kinds))], [*own, *(f.name for f in more)])
 
     uid = F.xxhash64(F.col(id_col), F.col(text_col))
-    joined = docs.withColumn("_uid", uid).join(spans, F.col("_uid") == F.col("_u"), "left").select(*docs.columns, "_spans")
+    same = (F.col("_uid") == F.col("_u")) & (F.coalesce(F.octet_length(text_col), F.lit(0)) == F.col("_s"))
+    joined = docs.withColumn("_uid", uid).join(spans, same, "left").select(*docs.columns, "_spans")
     return joined.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))

@@ -228,6 +228,22 @@ def test_bytes(spark, docs, awkward, group):
     assert all(sum(z - a for a, z in r["_removed"]) == r["_bytes"] - len(r["_kept"]) for r in got)
 
 
+@pytest.mark.parametrize("length", [200, 130, 7])
+def test_refinement_is_exact(length):
+    """Places of equal strings in packed contexts, against a plain count; contexts don't run into each other."""
+    rng = np.random.default_rng(length)
+    core = (rng.integers(97, 99, 300).astype(np.uint8).tobytes()) * 2 + rng.integers(97, 99, 300).astype(np.uint8).tobytes()
+    own = [core[int(a) : int(a) + int(n)] for a, n in zip(rng.integers(0, 600, 30), rng.integers(length, 300 + length, 30))] + [b"z" * (length + 5), b"q" * length]
+    sizes = np.array([len(x) for x in own])
+    begin = np.cumsum(sizes) - sizes
+    starts = np.concatenate([b + np.arange(n - length + 1) for b, n in zip(begin, sizes)])
+    left = np.repeat(begin + sizes, sizes) - np.arange(sizes.sum())
+    raw = b"".join(own)
+    seen = Counter(raw[s : s + length] for s in starts.tolist())
+    got = byte_repeats.refine(np.frombuffer(raw, np.uint8), starts, left, length)
+    assert got.tolist() == [seen[raw[s : s + length]] > 1 for s in starts.tolist()] and 0 < got.sum() < len(got)
+
+
 def test_bytes_awkward(awkward):
     rows = [r[:2] for r in AWKWARD]
     short = [(i, t if t is None or len(t) < 1000 else t[:900]) for i, t in rows]
