@@ -31,24 +31,22 @@ def _water_fill(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
 def budgets(leaves: DataFrame, levels: list[str], budget: float | Column, weights: dict[tuple, float] | None = None) -> DataFrame:
     """leaves (levels..., tokens, cap) -> with ``target`` tokens for each leaf.
 
-    Weights are of a node among its siblings, by path ((domain,), (domain, lang), ...); a node without one has 1. Caps add up from the leaves, and budgets go down from the root: what a node can't use goes to its siblings first, and only what the whole parent can't use to the parent's siblings.
+    Weights are of a node among its siblings, by path ((domain,), (domain, lang), ...); a node without one has 1, one of weight 0 gets nothing and leaves its room to the others. Caps add up from the leaves, and budgets go down from the root: what a node can't use goes to its siblings first, and only what the whole parent can't use to the parent's siblings.
     """
-    table = weights or {}
+    for i in range(len(levels)):
+        path, own = levels[: i + 1], [(k, float(w)) for k, w in (weights or {}).items() if len(k) == i + 1]
+        if own:
+            rows = F.array(*(F.struct(*(F.lit(v).cast("string").alias(c) for c, v in zip(path, k)), F.lit(w).alias(f"_w{i}")) for k, w in own))
+            leaves = leaves.join(leaves.sparkSession.range(1).select(F.inline(rows)), path, "left")
+        leaves = leaves.withColumn(f"_w{i}", F.coalesce(f"_w{i}", F.lit(1.0)) if own else F.lit(1.0))
+        leaves = leaves.withColumn("cap", F.when(F.col(f"_w{i}") > 0, F.col("cap")).otherwise(0.0))
     given = None
     for i, name in enumerate(levels):
         path = levels[: i + 1]
-        nodes = leaves.groupBy(*path).agg(F.sum("cap").alias("cap"))
-        weight = F.lit(1.0)
-        for k, w in table.items():
-            if len(k) == i + 1:
-                hit = F.lit(True)
-                for c, v in zip(path, k):
-                    hit = hit & (F.col(c) == v)
-                weight = F.when(hit, F.lit(float(w))).otherwise(weight)
-        nodes = nodes.withColumn("weight", weight)
+        nodes = leaves.groupBy(*path).agg(F.sum("cap").alias("cap"), F.first(f"_w{i}").alias("weight"))
         nodes = nodes.withColumn("given", F.lit(budget) if not isinstance(budget, Column) else budget) if given is None else nodes.join(given, levels[:i])
         given = _water_fill(nodes, levels[:i], name).select(*path, F.col("got").alias("given"))
-    return leaves.join(given.withColumnRenamed("given", "target"), levels)
+    return leaves.drop(*(f"_w{i}" for i in range(len(levels)))).join(given.withColumnRenamed("given", "target"), levels)
 
 
 def mix(docs: DataFrame, levels: dict[str, Column], fraction: float = 1.0, max_epochs: int = 4, weights: dict[tuple, float] | None = None, key: str = "doc_id", text_col: str = "text", seed: str = "mix") -> DataFrame:

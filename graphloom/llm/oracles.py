@@ -2,26 +2,29 @@
 
 _DOMAIN = "case when s < 5 then 'web' when s < 10 then 'forum' when s < 15 then 'books' else 'code' end"
 
+#: Target weights of domains, and of languages within a domain.
+_WEIGHTS = "case domain when 'web' then 4.0 when 'forum' then 1.0 when 'books' then 3.0 else 2.0 end::double w0, case domain || ' ' || lang when 'web en' then 3.0 when 'web de' then 0.5 when 'books fr' then 2.0 when 'code es' then 0.0 else 1.0 end::double w1"
+
 
 def _fill(name: str, parents: list[str], given: str) -> str:
     """Water filling of one level; ``{name}n`` has parents, child, weight, cap, given."""
     by = f"partition by {', '.join(parents)}" if parents else ""
     return f"""
 {name}n as ({given}),
-{name}r as (select *, cap / weight ratio from {name}n),
-{name}l as (select *, (given - coalesce(sum(cap) over (w rows between unbounded preceding and 1 preceding), 0)) / sum(weight) over (w rows between current row and unbounded following) lam
+{name}r as (select *, case when weight > 0 then cap / weight else 'infinity'::double end ratio from {name}n),
+{name}l as (select *, (given - coalesce(sum(cap) over (w rows between unbounded preceding and 1 preceding), 0)) / nullif(sum(weight) over (w rows between current row and unbounded following), 0) lam
   from {name}r window w as ({by} order by ratio, {name})),
-{name}g as (select *, least(cap, coalesce(weight * arg_min(case when ratio > lam then lam end, struct_pack(a := ratio, b := {name})) filter (ratio > lam) over ({by}), cap)) got from {name}l)"""
+{name}g as (select *, case when weight > 0 then least(cap, coalesce(weight * arg_min(case when ratio > lam then lam end, struct_pack(a := ratio, b := {name})) filter (ratio > lam) over ({by}), cap)) else 0 end got from {name}l)"""
 
 
 OP6 = f"""
 with s0 as (select doc_id, coalesce(lang, '') lang, coalesce(source, '') source, try_cast(regexp_extract(source, '(\\d+)', 1) as int) s,
     coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) tokens, lang l0, source s1 from documents),
 slim as (select *, {_DOMAIN} domain from s0),
-leaves as (select domain, lang, source, sum(tokens) tokens, sum(tokens)::double * 4 cap from slim group by all),
+leaves as (select *, case when w0 > 0 and w1 > 0 then tokens::double * 4 else 0 end cap from (select domain, lang, source, {_WEIGHTS}, sum(tokens) tokens from slim group by all)),
 budget as (select least(sum(tokens) * 4, sum(tokens))::double b from leaves),
-{_fill("domain", [], "select domain, 1.0::double weight, sum(cap) cap, any_value(b) given from leaves, budget group by domain").lstrip()},
-{_fill("lang", ["domain"], "select l.domain, lang, 1.0::double weight, sum(l.cap) cap, any_value(g.got) given from leaves l join domaing g using (domain) group by all").lstrip()},
+{_fill("domain", [], "select domain, any_value(w0) weight, sum(cap) cap, any_value(b) given from leaves, budget group by domain").lstrip()},
+{_fill("lang", ["domain"], "select l.domain, lang, any_value(l.w1) weight, sum(l.cap) cap, any_value(g.got) given from leaves l join domaing g using (domain) group by all").lstrip()},
 {_fill("source", ["domain", "lang"], "select l.domain, l.lang, l.source, 1.0::double weight, sum(l.cap) cap, any_value(g.got) given from leaves l join langg g using (domain, lang) group by all").lstrip()},
 plan as (select l.domain, l.lang, l.source, l.tokens, floor(g.got + 1e-6) target, case when l.tokens > 0 then floor(floor(g.got + 1e-6) / l.tokens) else 0 end::int whole
   from leaves l join sourceg g using (domain, lang, source)),

@@ -13,6 +13,8 @@ CONTAMINATED = 0.5
 #: Words beyond which a repeated line goes by itself.
 LONG_LINE = 50
 DOMAINS = ("web", "forum", "books", "code")
+#: Target weights of nodes among their siblings; a node without one has 1.
+WEIGHTS = {("web",): 4.0, ("forum",): 1.0, ("books",): 3.0, ("code",): 2.0, ("web", "en"): 3.0, ("web", "de"): 0.5, ("books", "fr"): 2.0, ("code", "es"): 0.0}
 
 
 def tree() -> dict[str, Column]:
@@ -58,7 +60,7 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(table(spark, sf_dir, "documents"), tree(), fraction=1.0, max_epochs=4)
+    out = mixing.mix(table(spark, sf_dir, "documents"), tree(), fraction=1.0, max_epochs=4, weights=WEIGHTS)
     return out.select("doc_id", "lang", "source", F.col("_epoch").alias("epoch"))
 
 

@@ -8,12 +8,14 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import replaced
+from .common import replaced, tasks
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of text that a bucket is meant to hold.
 BUCKET_BYTES = 32 << 20
+#: Buckets up to which the table of their first slots goes to every task.
+BROADCAST_BUCKETS = 200_000
 
 
 def shard_of(key: str, shards: int, seed: int = 0):
@@ -37,24 +39,29 @@ def _shuffled(seed: int):
 def shuffle_shards(docs: DataFrame, shards: int = 40, key: str = "doc_id", text_col: str = "text", seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """docs with ``_shard`` (by key and shard count alone), ``_bucket`` and ``_slot`` (the row's place in its shard, gapless from 0).
 
-    Pass one scatters rows by a seeded hash into buckets of about ``bucket_bytes``; pass two shuffles each bucket in memory. Slots of a bucket follow those of the shard's lower buckets.
-    Rows of one key fall into one bucket; rows without a key are scattered by their text. All columns pass through; a null text counts as empty; an empty table gives none.
+    Pass one scatters rows by a seeded hash of the whole row into buckets of about ``bucket_bytes``; pass two shuffles each bucket in memory. Slots of a bucket follow those of the shard's lower buckets. Tasks get about four buckets each, however large the table is.
+    Rows of one key share a shard, not a bucket; rows equal in all columns share both, and any of them may have any of their slots. Columns of types that can't be hashed (maps) don't count. All columns pass through; a null text counts as empty; an empty table gives none.
     """
     docs = replaced(docs, "_shard", "_bucket", "_slot", "_order", "_place", "_start", "_n")
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 16
     total = docs.agg(F.sum(size.cast("bigint")).alias("b")).first()["b"] or 0
     buckets = max(1, -(-total // (bucket_bytes * shards)))
-    spot = F.xxhash64(F.lit(seed + 1), F.col(key), F.when(F.col(key).isNull(), F.col(text_col)))
-    dealt = docs.withColumn("_shard", shard_of(key, shards, seed)).withColumn("_bucket", F.pmod(spot, F.lit(buckets)).cast("int"))
-    rows = dealt.withColumn("_order", F.xxhash64(F.lit(seed + 2), F.col(key), F.col(text_col)))
+    whole = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    row = lambda n: F.xxhash64(F.lit(seed + n), *whole)
+    dealt = docs.withColumn("_shard", shard_of(key, shards, seed)).withColumn("_bucket", F.pmod(row(1), F.lit(buckets)).cast("int"))
     schema = dealt.withColumn("_place", F.lit(0).cast("bigint")).schema
+    rows = dealt.withColumn("_order", row(2)).repartition(tasks(docs, total, 4 * bucket_bytes), "_shard", "_bucket")
     out = rows.groupBy("_shard", "_bucket").applyInArrow(_shuffled(seed), schema)
     before = Window.partitionBy("_shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("_shard", "_bucket").agg(F.count("*").alias("_n")).withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    return out.join(starts, ["_shard", "_bucket"]).withColumn("_slot", F.col("_start") + F.col("_place")).drop("_start", "_place")
+    small = shards * buckets <= BROADCAST_BUCKETS  # as many rows as there are buckets
+    return out.join(F.broadcast(starts) if small else starts, ["_shard", "_bucket"]).withColumn("_slot", F.col("_start") + F.col("_place")).select(*docs.columns, "_shard", "_bucket", "_slot")
 
 
 def write_shards(docs: DataFrame, path: str, **args) -> None:
-    """Write the shuffled rows under ``path``, one folder for each shard, files in slot order."""
+    """Write the shuffled rows under ``path``, one folder for each shard, files in slot order.
+
+    Rows as in ``shuffle_shards``; ``path`` must not exist yet, an empty table leaves a folder without shards, and of a shard without rows there is no folder.
+    """
     out = shuffle_shards(docs, **args)
-    out.repartition("_shard", "_bucket").sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)
+    out.repartition(out.rdd.getNumPartitions(), "_shard", "_bucket").sortWithinPartitions("_shard", "_slot").write.partitionBy("_shard").parquet(path)

@@ -141,6 +141,25 @@ def test_sharding(spark, awkward, sf):
     assert sharding.shuffle_shards(awkward.limit(0), 3).count() == 0
 
 
+def test_sharding_query(spark, sf):
+    """Every column of the query against plain code."""
+    docs, rows = {r["doc_id"]: r["text"] for r in table(spark, sf, "documents").collect()}, queries.op3_sharding(spark, sf).collect()
+    assert len(rows) == len(docs) and {r["law"] for r in rows} == {"key"}
+    for r in rows:
+        raw = (docs[r["doc_id"]] or "").encode()
+        assert r["size"] == len(raw) + 16 and r["text_crc32"] == zlib.crc32(raw) and 0 <= r["shard"] < 40 and r["grown_shard"] in (r["shard"], 40)
+    slots = defaultdict(list)
+    for r in rows:
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values()) and 0 < sum(r["grown_shard"] == 40 for r in rows) < len(rows) / 10
+
+
+def test_one_key_fills_many_buckets(spark):
+    frame = spark.createDataFrame([(7, f"text {i} " * 20, {"a": 1}) for i in range(300)] + [(7, "same", None)] * 5, "doc_id long, text string, m map<string,int>")
+    out = sharding.shuffle_shards(frame, 3, bucket_bytes=2000).collect()
+    assert len({r["_shard"] for r in out}) == 1 and len({r["_bucket"] for r in out}) > 5 and sorted(r["_slot"] for r in out) == list(range(305))
+
+
 def test_write_shards_round_trip(spark, sf, tmp_path):
     sharding.write_shards(table(spark, sf, "documents"), str(tmp_path / "s"), shards=3)
     back = spark.read.parquet(str(tmp_path / "s"))
@@ -402,6 +421,37 @@ def test_mixing_redistributes_to_siblings_first(spark):
     assert got == {("a", "x"): 10.0, ("a", "y"): 995.0, ("b", "z"): 1000.0}
 
 
+def plain_budgets(leaves, levels, budget, weights):
+    """leaves {path: cap} -> {path: target}: raise one level after another in small steps, nodes that are full drop out."""
+    caps = {k: 0.0 if any(weights.get(k[: i + 1], 1.0) <= 0 for i in range(levels)) else v for k, v in leaves.items()}
+    out = {(): budget}
+    for i in range(levels):
+        for up in {k[:i] for k in caps}:
+            nodes = {k: sum(v for x, v in caps.items() if x[: i + 1] == k) for k in {x[: i + 1] for x in caps if x[:i] == up}}
+            got, left = dict.fromkeys(nodes, 0.0), min(out[up], sum(nodes.values()))
+            while left > 1e-9:
+                free = {k: weights.get(k, 1.0) for k in nodes if nodes[k] - got[k] > 1e-12 and weights.get(k, 1.0) > 0}
+                if not free:
+                    break
+                t = min(left / sum(free.values()), *((nodes[k] - got[k]) / w for k, w in free.items()))
+                for k, w in free.items():
+                    got[k] += t * w
+                left -= t * sum(free.values())
+            out |= got
+    return {k: out[k] for k in leaves}
+
+
+def test_mixing_against_plain_water_filling(spark):
+    rng = np.random.default_rng(14)
+    for _ in range(4):
+        leaves = {(a, b, c): float(rng.integers(1, 500)) for a in "ab" for b in "xyz" for c in "12"}
+        weights = {k[: int(rng.integers(1, 4))]: float(rng.integers(0, 5)) for k in leaves if rng.random() < 0.6}
+        frame = spark.createDataFrame([(*k, v) for k, v in leaves.items()], "d string, l string, s string, cap double")
+        budget = sum(leaves.values()) * float(rng.random())
+        got = {(r["d"], r["l"], r["s"]): r["target"] for r in mixing.budgets(frame, ["d", "l", "s"], budget, weights).collect()}
+        assert got == pytest.approx(plain_budgets(leaves, 3, budget, weights), abs=1e-6)
+
+
 def test_mixing_awkward(awkward):
     out = mixing.mix(awkward, {"lang": F.col("lang"), "source": F.col("source")}, fraction=1.0, max_epochs=1)
     assert out.count() == len(AWKWARD) - 2 and out.columns[:4] == ["doc_id", "text", "lang", "source"]
