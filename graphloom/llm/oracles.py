@@ -46,12 +46,13 @@ select c conv_id, p perspective, chunk::bigint chunk, count(*) n_turns, string_a
 from ends group by c, p, chunk
 """
 
-OP4 = """
+OP4 = r"""
 with docs as (select distinct doc_id, text from documents),
 lines as (select doc_id, text, unnest(string_split(text, chr(10))) v, generate_subscripts(string_split(text, chr(10)), 1) p from docs),
 pairs as (select doc_id, p, v || chr(10) || w run from (select *, lead(v) over (partition by doc_id, text order by p) w from lines) where w is not null),
 later as (select doc_id, p from (select *, row_number() over (partition by run order by doc_id, p) n from pairs) where n > 1),
-gone as (select distinct doc_id, p from (select doc_id, p from later union all select doc_id, p + 1 from later)),
+long as (select doc_id, p from (select *, row_number() over (partition by v order by doc_id, p) n from lines) where n > 1 and len(regexp_extract_all(v, '[^\x20\x09-\x0D]+')) > 50),
+gone as (select distinct doc_id, p from (select doc_id, p from later union all select doc_id, p + 1 from later union all select doc_id, p from long)),
 kept as (select l.doc_id, v, l.p, g.p is not null dropped from lines l left join gone g on l.doc_id = g.doc_id and l.p = g.p),
 marked as (select *, dropped and not coalesce(lag(dropped) over (partition by doc_id order by p), false) starts from kept)
 select doc_id, count(*) n_lines, count(*) filter (dropped) n_removed, count(*) filter (starts) n_runs, md5(coalesce(string_agg(v, chr(10) order by p) filter (not dropped), '')) kept_md5 from marked group by doc_id

@@ -196,6 +196,28 @@ def test_lines(spark, docs, awkward, shortest):
     assert line_runs.drop_repeated_lines(awkward.limit(0)).count() == 0
 
 
+def test_copies_are_maximal_runs(spark):
+    """Each copy holds the lines of its source, which stands earlier, and neither goes on; what goes is what copies cover."""
+    rng = np.random.default_rng(15)
+    core = [f"line {x}" for x in rng.integers(0, 1000, 60)]
+    rows = []
+    for i in range(30):
+        a, n = int(rng.integers(0, 45)), int(rng.integers(1, 15))
+        rows.append((i, "\n".join([f"own {i}", *core[a : a + n], f"end {i}", *(core[:23] if i % 7 == 0 else [])])))
+    lines = {i: t.split("\n") for i, t in rows}
+    seen = set()
+    for r in line_runs.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        own, covered = lines[r["doc_id"]], set()
+        for c in r["_copies"]:
+            other, p, q, n = lines[c["source_id"]], c["line"], c["source_line"], c["lines"]
+            assert (c["source_id"], q) < (r["doc_id"], p) and n >= 2 and own[p : p + n] == other[q : q + n]
+            assert p + n == len(own) or q + n == len(other) or own[p + n] != other[q + n]
+            covered |= set(range(p, p + n))
+            seen.add(n)
+        assert covered == {x for a, n in r["_runs"] for x in range(a, a + n)}
+    assert len(seen) > 5 and seen - {2, 4, 8, 16}
+
+
 def brute_long_lines(rows, shortest, words):
     """By (id, text): the lines that are left, by runs of ``shortest`` lines and by single lines of over ``words`` words."""
     seen, out = set(), {}
