@@ -34,11 +34,11 @@ times as (select *, whole + case when rest > 0 and upto <= rest then 1 else 0 en
 select doc_id, l0 lang, s1 source, unnest(range(n))::int epoch from times where n > 0
 """
 
-OP9 = """
+OP9 = r"""
 with base as (select conv_id c, turn t, coalesce(role, 'unknown') r, coalesce(text, '') x from conversations),
 placed as (select *, row_number() over (partition by c order by t nulls first, r, x) - 1 k from base),
 speakers as (select distinct c, r p from base where r <> 'system'),
-seen as (select placed.*, p, k // 64 chunk, case when r = p then '<|assistant|>' || chr(10) when r = 'system' then '<|system|>' || chr(10) else '<|user name=' || r || '|>' || chr(10) end head, x || '<|end|>' || chr(10) body
+seen as (select placed.*, p, k // 64 chunk, case when r = p then '<|assistant|>' || chr(10) when r = 'system' then '<|system|>' || chr(10) else '<|user name=' || replace(replace(replace(r, '<|', '<\|'), '|>', '\|>'), chr(10), ' ') || '|>' || chr(10) end head, replace(x, '<|', '<\|') || '<|end|>' || chr(10) body
   from placed join speakers on placed.c is not distinct from speakers.c),
 ends as (select *, sum(length(head) + length(body)) over (partition by c, p, chunk order by k) upto from seen)
 select c conv_id, p perspective, chunk::bigint chunk, count(*) n_turns, string_agg(head || body, '' order by k) rendered,
