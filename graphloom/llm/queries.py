@@ -19,7 +19,7 @@ WEIGHTS = {("web",): 4.0, ("forum",): 1.0, ("books",): 3.0, ("code",): 2.0, ("we
 
 def tree() -> dict[str, Column]:
     """Domain, language, source. The tables have no domain; five sources by number make one."""
-    n = F.regexp_extract("source", r"(\d+)", 1).cast("int")
+    n = F.regexp_extract("source", r"(\d+)", 1).try_cast("int")
     domain = F.when(n < 5, DOMAINS[0]).when(n < 10, DOMAINS[1]).when(n < 15, DOMAINS[2]).otherwise(DOMAINS[3])
     return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
 

@@ -334,4 +334,4 @@ def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.xxhash64(text_col).alias("h"), F.col("_row").alias("r"))
     least = fps.select(F.col("_fp").alias("fp"), F.col("_own").alias("own"), order.alias("o")).groupBy("fp", "own").agg(F.min("o").alias("o"))
     kept = placed.join(least, ["fp", "own"]).groupBy("root").agg(F.min("o").alias("o")).select(F.col("o.r").alias("_kept_row"))
-    return fps.join(kept, F.col("_row") == F.col("_kept_row"), "left_semi").select(*docs.columns)
+    return fps.join(kept, F.col("_row") == F.col("_kept_row"), "left_semi").drop("_fp", "_mins", "_own", "_size", "_row")

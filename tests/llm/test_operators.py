@@ -713,7 +713,8 @@ def test_pipeline(spark, sf):
         before, after = {r["doc_id"]: r["text"] for r in docs.collect()}, {r["doc_id"]: r["text"] for r in out.collect()}
         assert after.items() <= before.items()
         if i == 0:
-            assert after.keys() == {k for k, t in before.items() if line_crf.assess(t, queries.potentials(spark, sf))[7]}
+            fitted = queries.potentials(spark, sf)
+            assert after.keys() == {k for k, t in before.items() if line_crf.assess(t, fitted)[7]}
         if i == 1:
             assert after.keys() == set(least_of_groups(before).values())
         if i == 2:
@@ -724,6 +725,18 @@ def test_pipeline(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() == docs.count()
 
 
+def test_pipeline_awkward(spark, awkward, sf):
+    """Null ids, texts, languages and sources, repeated rows, empty texts and clashing names, in every stage; and an empty table."""
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, awkward, sf)
+        assert {c for c in awkward.columns if c[0] != "_"} <= set(out.columns), name
+        kept = Counter((r["doc_id"], r["text"]) for r in out.collect())
+        assert kept <= Counter((r[0], r[1]) for r in AWKWARD), name
+        if name in ("sharding", "benchmark decontamination"):
+            assert kept == Counter((r[0], r[1]) for r in AWKWARD), name
+        assert stage(spark, awkward.limit(0), sf).count() == 0, name
+
+
 def test_sha_of_nothing(spark, sf):
     out = queries.op5_suffix_dedup(spark, sf).filter("n_removed = n_bytes").collect()
     assert all(r["kept_sha256"] == hashlib.sha256(b"").hexdigest() for r in out)
