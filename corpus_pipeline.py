@@ -10,9 +10,14 @@ from graphloom.llm.common import materialize, table
 from graphloom.llm.queries import CONTAMINATED, potentials, tree
 
 
+def _as_given(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of ``docs``, but for those that a name of an operator's own has replaced (all of them start with an underscore)."""
+    return out.select(*(c for c in docs.columns if c in out.columns))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go."""
-    return line_crf.quality_rules(docs, potentials=potentials(spark, sf_dir)).filter("_kept").select(*docs.columns)
+    """Rejected documents go, null and empty texts among them; repeated rows fare alike."""
+    return _as_given(line_crf.quality_rules(docs, potentials=potentials(spark, sf_dir)).filter("_kept"), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,17 +26,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold at least half of a benchmark item go."""
-    return tiling.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(F.col("_coverage") < CONTAMINATED).select(*docs.columns)
+    """Documents that hold at least half of a benchmark item go; null and empty texts stay."""
+    return _as_given(tiling.decontaminate(docs, table(spark, sf_dir, "benchmark")).filter(F.col("_coverage") < CONTAMINATED), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Leaves are cut to their share of 80 % of the tokens; none is repeated."""
-    return mixing.mix(docs, tree(), fraction=0.8, max_epochs=1).select(*docs.columns)
+    """Leaves are cut to their share of 80 % of the tokens; none is repeated. Null languages and sources are leaves of their own, null ids come or go together."""
+    return _as_given(mixing.mix(docs, tree(), fraction=0.8, max_epochs=1), docs)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Adds shard and slot."""
+    """Adds shard and slot; every row stays, null ids go by the hash of null."""
     return sharding.shuffle_shards(docs, shards=40).withColumnsRenamed({"_shard": "shard", "_slot": "slot"}).drop("_bucket")
 
 
