@@ -13,19 +13,16 @@ DEFAULT_EXCLUDES = ("**/target/**", "**/build/**", "**/.git/**", "**/node_module
 
 def glob_regex(glob: str) -> str:
     """** is any text (a slash after it belongs to it), * and ? are of one step; the whole path must match."""
-    out, i = [], 0
-    while i < len(glob):
-        if glob.startswith("**", i):
-            out.append(".*")
-            i += 3 if glob.startswith("/", i + 2) else 2
-            continue
-        out.append({"*": r"[^/\\]*", "?": r"[^/\\]"}.get(glob[i]) or re.escape(glob[i]))
-        i += 1
-    return f"^{''.join(out)}$"
-
-
-def excluded(path: Column, globs=DEFAULT_EXCLUDES) -> Column:
-    return path.rlike("|".join(f"(?:{glob_regex(g)})" for g in globs)) if globs else F.lit(False)
+    wild = lambda m: ".*" if m[0][:2] == "**" else r"[^/\\]*" if m[0] == "*" else r"[^/\\]" if m[0] == "?" else re.escape(m[0])
+    return "^" + re.sub(r"(?s)\*\*[/\\]?|\*|\?|.", wild, glob) + "$"
+
+
+def excluded(path: Column, globs=DEFAULT_EXCLUDES, root: str | None = None) -> Column:
+    """Whether a glob matches the path, or with a ``root`` the absolute path below it."""
+    if not globs:
+        return F.lit(False)
+    rx = "|".join(f"(?:{glob_regex(g)})" for g in globs)
+    return path.rlike(rx) if root is None else path.rlike(rx) | F.concat(F.lit(root.rstrip("/") + "/"), path).rlike(rx)
 
 
 def without_excluded(files: DataFrame, globs=DEFAULT_EXCLUDES, column: str = "file_path") -> DataFrame:

@@ -23,7 +23,7 @@ def query_terms(text: str) -> list[str]:
 def postings(elements: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
     """(field, id, term, tf, dl): one row for each term of an element's field."""
     have = [f for f in fields if f in elements.columns]
-    each = elements.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("ts")) for f in have))).alias("x")).select("id", "x.field", "x.ts").filter("ts is not null and size(ts) > 0")
+    each = elements.select("id", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), tokens(F.col(f)).alias("ts")) for f in have)).cast("array<struct<field:string,ts:array<string>>>")).alias("x")).select("id", "x.field", "x.ts").filter("ts is not null and size(ts) > 0")
     return each.select("field", "id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("field", "id", "term", "dl").agg(F.count("*").cast("int").alias("tf")).select("field", "id", "term", "tf", "dl")
 
 
@@ -34,10 +34,19 @@ def fulltext_match(posts: DataFrame, text: str) -> DataFrame:
     return hit.select("id").distinct()
 
 
-def bm25(posts: DataFrame, text: str) -> DataFrame:
-    """(id, score): summed over terms and fields in which all terms match."""
+def field_stats(elements: DataFrame, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(field, docs, total): how many elements have terms in a field, and how many terms; no postings are made for it."""
+    have = [f for f in fields if f in elements.columns]
+    each = elements.select(F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.size(tokens(F.col(f))).alias("dl")) for f in have)).cast("array<struct<field:string,dl:int>>")).alias("x")).select("x.*").filter("dl > 0")
+    return each.groupBy("field").agg(F.count("*").alias("docs"), F.sum("dl").alias("total"))
+
+
+def bm25(posts: DataFrame, text: str, stats: DataFrame | None = None) -> DataFrame:
+    """(id, score): summed over terms and fields in which all terms match. ``stats`` (field, docs, total) if they are known."""
     terms = query_terms(text)
-    docs = posts.select("field", "id", "dl").distinct().groupBy("field").agg(F.count("*").alias("docs"), F.avg("dl").alias("mean"))
+    if stats is None:
+        stats = posts.select("field", "id", "dl").distinct().groupBy("field").agg(F.count("*").alias("docs"), F.sum("dl").alias("total"))
+    docs = stats.select("field", "docs", (F.col("total") / F.col("docs")).alias("mean"))
     hit = posts.filter(F.col("term").isin(terms))
     whole = hit.groupBy("id", "field").agg(F.count_distinct("term").alias("n")).filter(F.col("n") == len(terms)).drop("n")
     df = hit.groupBy("field", "term").agg(F.count("*").alias("df"))
@@ -47,14 +56,18 @@ def bm25(posts: DataFrame, text: str) -> DataFrame:
     return scored.groupBy("id").agg(F.sum(part).alias("score"))
 
 
-def summary_line() -> Column:
-    """[TYPE] name (path:start-end), with a signature, and up to 120 characters of the snippet."""
-    name = F.coalesce(F.nullif("qualified_name", F.lit("")), F.nullif("name", F.lit("")), F.lit("(unnamed)"))
+def summary_line(columns: list[str]) -> Column:
+    """[TYPE] name (path:start-end), and on lines of their own the signature, up to 120 characters of the snippet and 100 of the doc comment, where ``columns`` has them."""
+    name = F.coalesce("qualified_name", "name", F.lit("(unnamed)"))
     lines = F.when(F.col("line_start") > 0, F.concat(F.lit(":"), F.col("line_start").cast("string"), F.when(F.col("line_end") > F.col("line_start"), F.concat(F.lit("-"), F.col("line_end").cast("string"))).otherwise(""))).otherwise("")
     where = F.when(F.col("file_path").isNotNull(), F.concat(F.lit(" ("), "file_path", lines, F.lit(")"))).otherwise("")
-    flat = F.regexp_replace("snippet", r"[\t\n\r ]+", " ")
-    preview = F.when(F.col("snippet").isNull(), "").otherwise(F.concat(F.lit(" | "), F.when(F.length(flat) > 120, F.concat(F.substring(flat, 1, 120), F.lit("..."))).otherwise(flat)))
-    return F.concat(F.lit("["), "element_type", F.lit("] "), name, where, preview)
+    more = []
+    for column, title, most in (("signature", "Signature", 0), ("snippet", "Preview", 120), ("doc_comment", "Doc", 100)):
+        if column in columns:
+            text = F.regexp_replace(column, r"^\s+|\s+$", "") if most else F.col(column)
+            text = F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text) if most else text
+            more.append(F.coalesce(F.concat(F.lit(f"\n   {title}: "), text), F.lit("")))
+    return F.concat(F.lit("["), "element_type", F.lit("] "), name, where, *more)
 
 
 def numbered_lines(elements: DataFrame) -> DataFrame:
@@ -62,16 +75,7 @@ def numbered_lines(elements: DataFrame) -> DataFrame:
     first = F.when(F.col("line_start") > 0, F.col("line_start")).otherwise(1)
     each = elements.filter("snippet is not null").select("id", first.alias("first"), F.posexplode(F.split("snippet", "\n")).alias("pos", "text"))
     line = (F.col("first") + F.col("pos")).cast("int")
-    return each.select("id", line.alias("line"), F.concat(F.lpad(line.cast("string"), 4, " "), F.lit(" | "), "text").alias("rendered"))
-
-
-def truncated(snippet: Column, most: int = 100) -> Column:
-    lines = F.split(snippet, "\n")
-    return F.when(F.size(lines) > most, F.concat(F.array_join(F.slice(lines, 1, most), "\n"), F.lit("\n// ... (truncated)"))).otherwise(snippet)
-
-
-def label(text: Column, most: int) -> Column:
-    return F.when(F.length(text) > most + 2, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+    return each.select("id", line.alias("line"), F.concat(F.when(F.length(line.cast("string")) < 4, F.lpad(line.cast("string"), 4, " ")).otherwise(line.cast("string")), F.lit(" | "), "text").alias("rendered"))
 
 
 def full_render(columns: list[str]) -> Column:
@@ -79,24 +83,6 @@ def full_render(columns: list[str]) -> Column:
     return F.concat_ws("\n", *(F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in columns))
 
 
-def file_outline(elements: DataFrame, file_path: str | None = None, most: int = 32) -> DataFrame:
-    """(file_path, depth, sort_path, id): a file's elements as a tree by their parents in the file; those with a parent elsewhere are left out."""
-    from functools import reduce
-
-    own = elements.filter("file_path is not null")
-    own = own if file_path is None else own.filter(F.col("file_path") == file_path)
-    step = F.concat(F.lpad(F.col("line_start").cast("string"), 8, "0"), F.lit("|"), F.col("id"))
-    at = own.filter("parent_id is null").select("file_path", F.lit(0).alias("depth"), F.array(step).alias("sort_path"), "id")
-    below = own.filter("parent_id is not null").select("file_path", F.col("parent_id").alias("up"), step.alias("step"), "id")
-    out = [at]
-    for d in range(1, most + 1):
-        at = out[-1].select("file_path", F.col("sort_path"), F.col("id").alias("up")).join(below, ["file_path", "up"]).select("file_path", F.lit(d).alias("depth"), F.concat("sort_path", F.array("step")).alias("sort_path"), "id")
-        if at.isEmpty():
-            break
-        out.append(at)
-    return reduce(DataFrame.unionByName, out)
-
-
 def snippet_from_source(elements: DataFrame, files: DataFrame, context: int = 0) -> DataFrame:
     """(id, text): the element's lines and ``context`` around them from files (repo_id, file_path, content); the stored snippet where there is no file."""
     joined = elements.join(files.select("repo_id", "file_path", "content"), ["repo_id", "file_path"], "left")

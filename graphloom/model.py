@@ -7,13 +7,32 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The names that stored rows and requests use.
-ELEMENT_TYPES = """REPO DIRECTORY FILE PACKAGE MODULE NAMESPACE CLASS INTERFACE ENUM ANNOTATION STRUCT TRAIT TYPE_ALIAS PROTOCOL METHOD FUNCTION CONSTRUCTOR STATIC_INITIALIZER FIELD PROPERTY ENUM_CONSTANT PARAMETER LOCAL_VARIABLE LAMBDA IMPORT USE_DECLARATION DECORATOR ATTRIBUTE COMMENT_LINE COMMENT_BLOCK COMMENT_DOC
-MARKDOWN_DOCUMENT HEADING SECTION CONFIG_FILE CONFIG_KEY CALL_SITE TYPE_REFERENCE UNKNOWN""".split()
-EDGE_TYPES = "CONTAINS EXTENDS IMPLEMENTS MIXES_IN OVERRIDES CALLS INSTANTIATES USES_TYPE IMPORTS DEPENDS_ON DOCUMENTS ANNOTATES IMPLEMENTS_PROTO CALLS_RPC SHARES_TYPE SECTION_OF DOCUMENTS_DIR PRECEDES CONFIGURES REFERENCES_CLASS DEFINED_IN".split()
+ELEMENT_TYPES = (
+    "REPO", "DIRECTORY", "FILE",
+    "PACKAGE", "NAMESPACE", "MODULE",
+    "CLASS", "INTERFACE", "ENUM", "STRUCT", "TRAIT", "PROTOCOL", "TYPE_ALIAS",
+    "CONSTRUCTOR", "METHOD", "FUNCTION", "FIELD", "PROPERTY", "ENUM_CONSTANT", "STATIC_INITIALIZER",
+    "PARAMETER", "LOCAL_VARIABLE", "LAMBDA",
+    "IMPORT", "USE_DECLARATION",
+    "COMMENT_LINE", "COMMENT_BLOCK", "COMMENT_DOC", "ANNOTATION", "ATTRIBUTE", "DECORATOR",
+    "MARKDOWN_DOCUMENT", "MARKDOWN_HEADING", "MARKDOWN_SECTION", "CONFIG_FILE", "CONFIG_KEY",
+    "CALL_SITE", "TYPE_REFERENCE", "UNKNOWN",
+)
+EDGE_TYPES = (
+    "CONTAINS",
+    "EXTENDS", "IMPLEMENTS", "OVERRIDES", "MIXES_IN",
+    "CALLS", "INSTANTIATES",
+    "USES_TYPE", "IMPORTS", "DEPENDS_ON",
+    "DOCUMENTS", "ANNOTATES",
+    "IMPLEMENTS_PROTO", "CALLS_RPC", "SHARES_TYPE",
+    "SECTION_OF", "DOCUMENTS_DIR",
+    "CONFIGURES", "REFERENCES_CLASS",
+    "PRECEDES", "DEFINED_IN",
+)
 DIRECTIONS = ("OUTGOING", "INCOMING", "BOTH")
 STATUSES = ("PENDING", "INDEXING", "READY", "ERROR", "WATCHING")
 LANGUAGES = {
-    "JAVA": ["java"], "GO": ["go"], "RUST": ["rs"], "TYPESCRIPT": ["ts", "tsx"], "JAVASCRIPT": ["js", "jsx", "mjs", "cjs"], "C": ["c", "h"], "CPP": ["cpp", "cc", "cxx", "hpp", "hxx"],
+    "JAVA": ["java"], "GO": ["go"], "RUST": ["rs"], "TYPESCRIPT": ["ts", "tsx"], "JAVASCRIPT": ["js", "jsx", "mjs", "cjs"], "C": ["c", "h"], "CPP": ["cpp", "cc", "cxx", "hpp", "hxx", "h++"],
     "MARKDOWN": ["md", "markdown"], "YAML": ["yaml", "yml"], "JSON": ["json"], "UNKNOWN": [],
 }
 NOT_SOURCE = ("MARKDOWN", "YAML", "JSON", "UNKNOWN")

@@ -31,6 +31,7 @@ def file_tree(elements: DataFrame) -> DataFrame:
 
 
 def config_files(elements: DataFrame, repo_id: str | None = None, limit: int = 200) -> DataFrame:
-    """CONFIG_FILE elements and FILE elements in YAML or JSON, each once."""
+    """CONFIG_FILE elements and FILE elements in YAML or JSON, each once: of one repository the first ``limit`` by path, else all."""
     own = elements if repo_id is None else elements.filter(F.col("repo_id") == repo_id)
-    return own.filter((F.col("element_type") == "CONFIG_FILE") | ((F.col("element_type") == "FILE") & F.col("language").isin("YAML", "JSON"))).dropDuplicates(["id"]).orderBy("file_path", "id").limit(limit)
+    found = own.filter((F.col("element_type") == "CONFIG_FILE") | ((F.col("element_type") == "FILE") & F.col("language").isin("YAML", "JSON"))).dropDuplicates(["id"]).orderBy("file_path", "id")
+    return found if repo_id is None else found.limit(limit)

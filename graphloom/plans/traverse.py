@@ -76,6 +76,22 @@ def override_chain(elements: DataFrame, edges: DataFrame, ids: DataFrame) -> Dat
     return reduce(DataFrame.unionByName, out)
 
 
+def file_outline(elements: DataFrame, file_path: str | None = None) -> DataFrame:
+    """(file_path, depth, sort_path, id): a file's elements as a tree by their parents in the file, however deep; those with a parent elsewhere are left out."""
+    own = elements.filter("file_path is not null")
+    own = own if file_path is None else own.filter(F.col("file_path") == file_path)
+    step = F.concat(F.lpad(F.col("line_start").cast("string"), 8, "0"), F.lit("|"), F.col("id"))
+    at = own.filter("parent_id is null").select("file_path", F.lit(0).alias("depth"), F.array(step).alias("sort_path"), "id")
+    below = own.filter("parent_id is not null").select("file_path", F.col("parent_id").alias("up"), step.alias("step"), "id")
+    out = []
+    while True:
+        at = materialize(at)  # a cycle of parents has no root, so levels end
+        if at.isEmpty() and out:
+            return reduce(DataFrame.unionByName, out)
+        out.append(at)
+        at = at.select("file_path", "depth", "sort_path", F.col("id").alias("up")).join(below, ["file_path", "up"]).select("file_path", (F.col("depth") + 1).alias("depth"), F.concat("sort_path", F.array("step")).alias("sort_path"), "id")
+
+
 def call_hierarchy(elements: DataFrame, edges: DataFrame, ids: DataFrame, depth: int = 3, up: bool = False) -> DataFrame:
     """(source_id, depth, path, id, recursive): the tree of callees (up: callers); a node that is on its own way to the root ends there."""
     ends = edge_ends(edges, ["CALLS"], "INCOMING" if up else "OUTGOING").select(F.col("source_id").alias("id"), F.col("other_id").alias("next"))

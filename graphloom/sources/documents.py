@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 import re
 
-from .rows import Rows
+from .rows import Rows, hashed_id
 
 _README = re.compile(r"(?i)(?:^|/)readme\.(?:md|markdown)$")
 _FQCN = re.compile(r"^(?:[a-z_][a-z0-9_]*\.)+[A-Z][A-Za-z0-9_$]*$")
@@ -35,31 +35,32 @@ def parse_markdown(repo_id: str, path: str, text: str) -> Rows:
     for line in lines:
         at.append(at[-1] + len(line) + 1)
     doc = rows.element("MARKDOWN_DOCUMENT", path.rpartition("/")[2], path, 0, end=len(text))
-    doc["snippet"] = text
+    doc["snippet"], doc["line_start"], doc["line_end"] = text, 1, len(lines)
 
-    def section(first: int, last: int, name: str, above: dict) -> None:
+    def section(first: int, last: int, name: str, key: str, above: dict) -> None:
         body = "\n".join(lines[first - 1 : last]).rstrip()
         if body.strip():
-            row = rows.element("SECTION", name, f"{above['qualified_name']}#section@{first}", at[first - 1], parent=above, end=at[first - 1] + len(body))
+            row = rows.element("MARKDOWN_SECTION", name, f"{path}#{key}", at[first - 1], parent=above, end=at[first - 1] + len(body))
             row["snippet"], row["line_start"], row["line_end"] = body, first, last
             rows.edge(above["id"], "CONTAINS", row["id"])
-            rows.edge(row["id"], "SECTION_OF", doc["id"])
 
     found = headings(text)
     end = len(lines) - (text.endswith("\n"))
     if not found or found[0][0] > 1:
-        section(1, found[0][0] - 1 if found else end, "(preamble)" if found else "(content)", doc)
+        section(1, found[0][0] - 1 if found else end, "(preamble)" if found else "(content)", "preamble" if found else "content", doc)
     before = None
     for i, (line, level, title) in enumerate(found):
-        row = rows.element("HEADING", title, f"{path}#{title}@{line}", at[line - 1], parent=doc, metadata={"level": str(level)})
+        row = rows.element("MARKDOWN_HEADING", title, f"{path}#heading:{title}@{line}", at[line - 1], parent=doc, metadata={"level": str(level)})
         rows.edge(doc["id"], "CONTAINS", row["id"])
+        rows.edge(row["id"], "SECTION_OF", doc["id"])
         if before:
             rows.edge(before["id"], "PRECEDES", row["id"])
         before = row
-        section(line + 1 + (lines[line - 1].strip() == title and not lines[line - 1].lstrip().startswith("#")), (found[i + 1][0] - 1) if i + 1 < len(found) else end, title, row)
+        underlined = lines[line - 1].strip() == title and not lines[line - 1].lstrip().startswith("#")
+        section(line + 1 + underlined, (found[i + 1][0] - 1) if i + 1 < len(found) else end, title, f"section:{title}@{line}", row)
     if _README.search(path):
         folder = path.rpartition("/")[0]
-        rows.edge(doc["id"], "DOCUMENTS_DIR", rows.id_of("DIRECTORY", folder))
+        rows.edge(doc["id"], "DOCUMENTS_DIR", hashed_id(repo_id, folder, "DIRECTORY", folder or "."))
     return rows
 
 

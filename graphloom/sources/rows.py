@@ -17,20 +17,6 @@ def truncate(snippet: str) -> str:
     return snippet if len(lines) <= SNIPPET_LINES else "\n".join(lines[:SNIPPET_LINES]) + "\n// ... (truncated)"
 
 
-def block_end(lines: list[str], start: int) -> int:
-    """The first line (from 0) at which the braces opened since ``start`` are closed again; none: ``start``."""
-    depth, opened = 0, False
-    for i in range(start, len(lines)):
-        for c in lines[i]:
-            if c == "{":
-                depth, opened = depth + 1, True
-            elif c == "}":
-                depth -= 1
-                if opened and depth <= 0:
-                    return i
-    return start
-
-
 class Rows:
     def __init__(self, repo_id: str, path: str, language: str, text: str):
         self.repo_id, self.path, self.language, self.text = repo_id, path, language, text

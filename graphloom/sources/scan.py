@@ -107,13 +107,25 @@ def _parsed(files: DataFrame, parse: Callable[[str, str, object], rows.Rows]) ->
     return elements, valid_edges(edges), made.filter("_kind = 'error'").select("repo_id", "file_path", F.col("_error").alias("error"))
 
 
-def scan_repo(spark: SparkSession, root: str, repo_id: str, globs=DEFAULT_EXCLUDES) -> DataFrame:
-    """(repo_id, file_path, last_modified, file_hash, content) of the files below a root that aren't excluded; paths are relative to it."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/").split("://")[-1]
+def _found(files: DataFrame, root: str, repo_id: str) -> DataFrame:
+    base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     rel = F.regexp_replace("path", rf"^.*?{_quoted(base)}/", "")
-    kept = found.select(F.lit(repo_id).alias("repo_id"), rel.alias("file_path"), F.unix_millis("modificationTime").alias("last_modified"), F.sha2("content", 256).alias("file_hash"), F.decode("content", "UTF-8").alias("content"))
-    return kept.filter(~excluded(F.col("file_path"), globs)) if globs else kept
+    return files.select(F.lit(repo_id).alias("repo_id"), rel.alias("file_path"), F.unix_millis("modificationTime").alias("last_modified"), F.sha2("content", 256).alias("file_hash"), F.decode("content", "UTF-8").alias("content"))
+
+
+def scan_repo(spark: SparkSession, root: str, repo_id: str, globs=DEFAULT_EXCLUDES, extensions: list[str] | None = None) -> DataFrame:
+    """(repo_id, file_path, last_modified, file_hash, content) of the files below a root that aren't excluded by their path from it or their absolute path; only files of the ``extensions`` are opened, if there are any."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if extensions:
+        either = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else "\\" + c if c in "*?[]{}\\" else c for c in e)
+        reader = reader.option("pathGlobFilter", "*.{" + ",".join(map(either, extensions)) + "}")
+    out = _found(reader.load(root), root, repo_id)
+    return out.filter(~excluded(F.col("file_path"), globs, root.split("://")[-1].removeprefix("file:"))) if globs else out
+
+
+def read_files(spark: SparkSession, root: str, repo_id: str, paths: list[str]) -> DataFrame:
+    """As ``scan_repo``, of the named files alone."""
+    return _found(spark.read.format("binaryFile").load([f"{root.rstrip('/')}/{p}" for p in paths]), root, repo_id)
 
 
 def scan_class_files(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
@@ -133,7 +145,9 @@ def index_repo(spark: SparkSession, store: GraphStore, root: str, repo_id: str,
     """Scan, parse and replace the repository's rows; returns its row of repos."""
     registry = registry or ParserRegistry.with_defaults()
     exts = [e for p in ("JAVA", "GO", "RUST", "TYPESCRIPT", "JAVASCRIPT", "CPP", "C", "MARKDOWN", "YAML", "JSON") for e in model.LANGUAGES[p]]
-    files = scan_repo(spark, root, repo_id, globs).filter(F.lower(F.regexp_extract("file_path", r"\.([^.]*)$", 1)).isin(exts))
+    begun = spark.createDataFrame([(repo_id, name or repo_id, root, [], "INDEXING", None, 0, 0, None)], model.REPOS)
+    store.set_repo(begun)
+    files = scan_repo(spark, root, repo_id, globs, exts)
     elements, edges, errors = parse_files(files, registry)
     old = store.read("elements")
     if old is None:
@@ -146,8 +160,8 @@ def index_repo(spark: SparkSession, store: GraphStore, root: str, repo_id: str,
         store.write(elements=e.unionByName(elements.select(*e.columns)), edges=valid_edges(g.unionByName(edges.select(*g.columns))), file_index=index.filter(F.col("repo_id") != repo_id).unionByName(files.drop("content").select(*index.columns)))
     now = elements.agg(F.count("*").cast("int").alias("element_count"), F.count_distinct("file_path").cast("int").alias("file_count"), F.collect_set("language").alias("languages"))
     row = now.select(F.lit(repo_id).alias("id"), F.lit(name or repo_id).alias("name"), F.lit(root).alias("root_path"), "languages", F.when(F.lit(errors.isEmpty()) | (F.col("element_count") > 0), "READY").otherwise("ERROR").alias("status"), F.current_timestamp().alias("last_indexed"), "element_count", "file_count", F.lit(None).cast("string").alias("description"))
-    repos = store.read("repos")
-    store.write(repos=row if repos is None else row.unionByName(repos.filter(F.col("id") != repo_id)))
+    row = materialize(row)
+    store.set_repo(row)
     return row
 
 

@@ -6,11 +6,14 @@ import json
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .functions import text
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or what ``setCheckpointDir`` named.
@@ -84,58 +87,112 @@ def changed_files(scan: DataFrame, index: DataFrame) -> DataFrame:
     return scan.join(known, ["repo_id", "file_path"], "left").filter(F.col("_known").isNull() | (F.col("_known") != F.col("last_modified"))).drop("_known")
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer made the next version of a store first; read again and repeat."""
+
+
 class GraphStore:
-    """Parquet snapshots under a root: elements by repo_id, edges by edge_type, repos and file_index whole.
+    """Parquet snapshots under a root: elements by repo_id, edges by edge_type, repos and file_index whole, postings of the elements' texts by range of terms.
 
-    A write makes a new snapshot folder beside the one being read; the name of the current one is the newest row of a small table, so readers never see half a write.
+    A write makes new folders beside those being read, and then one small file that names the folders of all tables. The file of a version is created only if it isn't there, so readers never see half a write and of two writers one fails. The version before stays for those who read it; older folders are deleted.
     """
 
-    PARTS = {"elements": ["repo_id"], "edges": ["edge_type"], "repos": [], "file_index": []}
+    PARTS = {"elements": ["repo_id"], "edges": ["edge_type"], "repos": [], "file_index": [], "postings": ["bucket"], "posting_stats": []}
+    BUCKETS = 64
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        path = spark._jvm.org.apache.hadoop.fs.Path
+        self._path, self._fs = path, path(f"{self.root}/current").getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _current(self) -> dict[str, tuple[str, str]]:
-        try:
-            rows = self.spark.read.parquet(f"{self.root}/current")
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER" in str(e):
-                return {}
-            raise
-        return {r["name"]: (r["path"], r["schema"]) for r in last_wins(rows, ["name"], "version").collect()}
+    def _versions(self) -> list[int]:
+        at = self._path(f"{self.root}/current")
+        names = [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        return sorted(int(n[1:]) for n in names if re.fullmatch(r"v\d+", n))
+
+    def _tables(self, version: int) -> dict[str, tuple[str, str]]:
+        """name -> (folder, schema)."""
+        if not version:
+            return {}
+        text = self.spark.read.option("wholetext", True).text(f"{self.root}/current/v{version}").first()[0]
+        return {k: tuple(v) for k, v in json.loads(text).items()}
+
+    def _current(self) -> tuple[int, dict[str, tuple[str, str]]]:
+        version = max(self._versions(), default=0)
+        return version, self._tables(version)
 
     def read(self, name: str) -> DataFrame | None:
-        found = self._current().get(name)
+        found = self._current()[1].get(name)
         return self.spark.read.schema(T.StructType.fromJson(json.loads(found[1]))).parquet(found[0]) if found else None
 
     def write(self, **tables: DataFrame) -> None:
-        """All tables of one call become current together."""
-        rows, version = [], self._version() + 1
+        """All tables of one call become current together; postings follow the elements unless they are given."""
+        version, kept = self._current()
+        if "elements" in tables:
+            tables = {"postings": self._posts(tables["elements"]), "posting_stats": text.field_stats(tables["elements"])} | tables
+        new = {}
         for name, df in tables.items():
-            path = f"{self.root}/{name}/v{version}-{uuid.uuid4().hex[:8]}"
+            path = f"{self.root}/{name}/v{version + 1}-{uuid.uuid4().hex[:8]}"
             parts = self.PARTS[name]
             (df.hint("rebalance", *parts).write.partitionBy(*parts) if parts else df.write).parquet(path)
-            rows.append((name, path, version, df.schema.json()))
-        self.spark.createDataFrame(rows, "name string, path string, version long, schema string").coalesce(1).write.mode("append").parquet(f"{self.root}/current")
-
-    def _version(self) -> int:
+            new[name] = (path, df.schema.json())
+        body = bytearray(json.dumps(kept | new).encode())
         try:
-            return self.spark.read.parquet(f"{self.root}/current").agg(F.max("version")).first()[0] or 0
+            out = self._fs.create(self._path(f"{self.root}/current/v{version + 1}"), False)
         except Exception as e:
-            if "PATH_NOT_FOUND" in str(e) or "UNABLE_TO_INFER" in str(e):
-                return 0
-            raise
-
-    def replace_files(self, files: DataFrame, elements: DataFrame, edges: DataFrame) -> None:
-        """Delete what came from ``files`` and put the new rows in."""
+            for path, _ in new.values():
+                delete_path(self.spark, path)
+            raise ConcurrentWrite(f"version {version + 1} of {self.root} is there already") from e
+        out.write(body)
+        out.close()
+        for old in self._versions()[:-2]:
+            needed = {p for v in (version, version + 1) for p, _ in self._tables(v).values()}
+            for path, _ in self._tables(old).values():
+                if path not in needed:
+                    delete_path(self.spark, path)
+            delete_path(self.spark, f"{self.root}/current/v{old}")
+
+    def _posts(self, elements: DataFrame) -> DataFrame:
+        return text.postings(elements).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int"))
+
+    def postings(self, terms: list[str]) -> tuple[DataFrame, DataFrame] | None:
+        """(postings of the terms, statistics of the fields): only the buckets of the terms are read."""
+        found = self.read("postings")
+        if found is None:
+            return None
+        hit = reduce(lambda a, b: a | b, ((F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.lit(self.BUCKETS)).cast("int")) & (F.col("term") == t) for t in terms), F.lit(False))
+        return found.filter(hit), self.read("posting_stats")
+
+    def replace_files(self, files: DataFrame, elements: DataFrame, edges: DataFrame, index: DataFrame | None = None) -> None:
+        """Delete what came from ``files`` and put the new rows in, in postings and file_index (``index``: its new rows) too."""
         e, g = self.read("elements"), self.read("edges")
         if e is None:
-            self.write(elements=elements, edges=valid_edges(edges))
+            self.write(elements=elements, edges=valid_edges(edges), **({"file_index": index} if index is not None else {}))
             return
-        e, g = delete_files(e, g, files)
-        self.write(elements=upsert(e, elements.select(*e.columns), ["id"]), edges=valid_edges(g.unionByName(edges.select(*g.columns))))
+        elements = elements.select(*e.columns)
+        gone = e.join(files.select("repo_id", "file_path").distinct(), ["repo_id", "file_path"], "left_semi").select("id").unionByName(elements.select("id")).distinct()
+        left, g = delete_files(e, g, files)
+        made, more = upsert(left, elements, ["id"]), {}
+        posts = self.read("postings")
+        if posts is not None:
+            more["postings"] = posts.join(gone, "id", "left_anti").unionByName(self._posts(elements).select(*posts.columns))
+        known = self.read("file_index")
+        if known is not None:
+            known = known.join(files.select("repo_id", "file_path").distinct(), ["repo_id", "file_path"], "left_anti")
+            more["file_index"] = known if index is None else known.unionByName(index.select(*known.columns))
+        self.write(elements=made, edges=valid_edges(g.unionByName(edges.select(*g.columns))), **more)
+
+    def set_repo(self, row: DataFrame) -> None:
+        """A row of repos in place of that of its id."""
+        repos = self.read("repos")
+        self.write(repos=row if repos is None else upsert(repos, row.select(*repos.columns), ["id"]))
 
     def remove_repo(self, repo_id: str) -> None:
-        e, g = delete_repo(self.read("elements"), self.read("edges"), repo_id)
-        repos = self.read("repos")
-        self.write(elements=e, edges=g, **({"repos": repos.filter(F.col("id") != repo_id)} if repos is not None else {}))
+        """Its elements, their edges and postings, its indexed files and its row."""
+        old = self.read("elements")
+        e, g = delete_repo(old, self.read("edges"), repo_id)
+        more = {n: t.filter(F.col("id" if n == "repos" else "repo_id") != repo_id) for n in ("repos", "file_index") if (t := self.read(n)) is not None}
+        posts = self.read("postings")
+        if posts is not None:
+            more["postings"] = posts.join(old.filter(F.col("repo_id") == repo_id).select("id"), "id", "left_anti")
+        self.write(elements=e, edges=g, **more)

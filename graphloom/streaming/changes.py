@@ -42,13 +42,12 @@ def recent_changes(changes: DataFrame, limit: int = RING, repo_id: str | None =
     return kept.orderBy(F.desc("ts"), "repo_id", "file_path", "change_type").limit(min(limit, RING))
 
 
-def flush(store: GraphStore, parse: Callable[[DataFrame], tuple[DataFrame, DataFrame]]) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: old rows of every changed file go; what ``parse`` makes of the modified ones comes in. A file that doesn't parse leaves no rows."""
+def flush(store: GraphStore, parse: Callable[[DataFrame], tuple[DataFrame, ...]]) -> Callable[[DataFrame, int], None]:
+    """For foreachBatch: old rows of every changed file go; what ``parse`` makes of the modified ones (elements, edges, and if it likes rows of file_index) comes in. A file that doesn't parse leaves no rows."""
 
     def batch(changes: DataFrame, _: int) -> None:
         files = changes.groupBy("repo_id", "file_path").agg(F.max_by("change_type", "ended").alias("change_type"))
-        elements, edges = parse(files.filter("change_type <> 'DELETED'").select("repo_id", "file_path"))
-        store.replace_files(files, elements, edges)
+        store.replace_files(files, *parse(files.filter("change_type <> 'DELETED'").select("repo_id", "file_path")))
 
     return batch
 
@@ -61,3 +60,13 @@ def watch(spark: SparkSession, log: str, store: GraphStore, repos: DataFrame, pa
 
 def watched_counts(changes: DataFrame) -> DataFrame:
     return changes.groupBy("repo_id").agg(F.count_distinct(F.regexp_replace("file_path", "/?[^/]*$", "")).alias("directories"), F.count("*").alias("events"))
+
+
+def collected(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """All that a stream gives for what is there now, written under ``path`` batch by batch; a batch that is repeated replaces its own files."""
+
+    def batch(rows: DataFrame, n: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).option("basePath", path).parquet(f"{path}/batch=*")

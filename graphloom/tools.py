@@ -49,6 +49,11 @@ class Graph:
     def spark(self) -> SparkSession:
         return self.store.spark if self.store else self.elements.sparkSession
 
+    def scores(self, query: str) -> DataFrame:
+        """(id, score) of a text, from the postings that the store keeps, or made on the spot."""
+        kept = self.store and self.store.postings(text.query_terms(query))
+        return text.bm25(*kept[:1], query, kept[1]) if kept else text.bm25(text.postings(self.elements), query)
+
     def element(self, id: str) -> DataFrame:
         return self.elements.filter(F.col("id") == id)
 
@@ -169,7 +174,9 @@ _by_element("get_config", "A configuration file's text, or its keys", neighbors.
 def search_code(graph: Graph, query: str, **rest) -> DataFrame:
     """Full-text search with filters, a sort and a page"""
     q = SearchQuery(text=query, **rest)
-    scores = text.bm25(text.postings(graph.elements), query) if text.query_terms(query) else None
+    if query and query.strip() and not text.query_terms(query):  # nothing has a text without a word
+        return predicates.page(graph.elements.limit(0), q)
+    scores = graph.scores(query) if text.query_terms(query) else None
     return predicates.page(predicates.search(graph.elements, q, scores), q)
 
 
@@ -189,17 +196,24 @@ def get_element(graph: Graph, id: str) -> DataFrame:
     return found.withColumn("rendered", text.full_render(found.columns))
 
 
-@_tool(id=REQUIRED)
-def get_snippet(graph: Graph, id: str) -> DataFrame:
-    """The lines of an element's snippet, numbered"""
-    return text.numbered_lines(graph.element(id)).orderBy("line")
+@_tool(id=REQUIRED, context=0)
+def get_snippet(graph: Graph, id: str, context: int) -> DataFrame:
+    """The lines of an element's snippet, numbered; with ``context`` read anew from its file, with so many lines around"""
+    found = graph.element(id)
+    row = found.select("repo_id", "file_path", "line_start").first() if context > 0 and graph.store else None
+    root = graph.repos.filter(F.col("id") == row["repo_id"]).select("root_path").first() if row and row["file_path"] else None
+    if root is None:
+        return text.numbered_lines(found).orderBy("line")
+    files = scan.read_files(graph.spark, root["root_path"], row["repo_id"], [row["file_path"]])
+    again = found.join(text.snippet_from_source(found, files, context).withColumnRenamed("text", "_text"), "id")
+    return text.numbered_lines(again.withColumn("snippet", F.col("_text")).withColumn("line_start", F.greatest(F.lit(1), F.col("line_start") - context))).orderBy("line")
 
 
 @_tool(file_path=REQUIRED, repo_id=None)
 def get_file_outline(graph: Graph, file_path: str, repo_id: str | None) -> DataFrame:
     """A file's elements as a tree"""
     own = graph.elements if repo_id is None else graph.elements.filter(F.col("repo_id") == repo_id)
-    return text.file_outline(own, file_path).join(own.withColumn("summary", text.summary_line()).select("id", "summary"), "id").orderBy("sort_path")
+    return traverse.file_outline(own, file_path).join(own.withColumn("summary", text.summary_line(own.columns)).select("id", "summary"), "id").orderBy("sort_path")
 
 
 @_tool(file_path=REQUIRED, line=REQUIRED, repo_id=None)
@@ -333,9 +347,9 @@ def start_watching(graph: Graph, repo_id: str, log: str, checkpoint: str, once:
     running = graph.watching.get(repo_id)
     if running is None or not running.isActive:
 
-        def parse(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+        def parse(files: DataFrame) -> tuple[DataFrame, ...]:
             found = scan.scan_repo(graph.spark, root["root_path"], repo_id).join(files, ["repo_id", "file_path"], "left_semi")
-            return scan.parse_files(found)[:2]
+            return *scan.parse_files(found)[:2], found.drop("content")
 
         graph.watching[repo_id] = changes.watch(graph.spark, log, graph.store, own, parse, checkpoint, once=once)
     return get_watch_status(graph)

@@ -64,9 +64,9 @@ def test_broken_sources_do_not_crash(lang, text):
 
 def test_markdown():
     got = documents.parse_markdown("r", "docs/README.md", "pre\n# A\nx\n## B\n\n```\n# no\n```\nTitle\n===\n")
-    heads = [(e["name"], e["line_start"], e["metadata"]["level"]) for e in got.elements if e["element_type"] == "HEADING"]
+    heads = [(e["name"], e["line_start"], e["metadata"]["level"]) for e in got.elements if e["element_type"] == "MARKDOWN_HEADING"]
     assert heads == [("A", 2, "1"), ("B", 4, "2"), ("Title", 9, "1")]
-    sections = {e["name"]: (e["line_start"], e["line_end"]) for e in got.elements if e["element_type"] == "SECTION"}
+    sections = {e["name"]: (e["line_start"], e["line_end"]) for e in got.elements if e["element_type"] == "MARKDOWN_SECTION"}
     assert sections["(preamble)"] == (1, 1) and sections["A"] == (3, 3) and sections["B"] == (5, 8) and "Title" not in sections
     assert sum(t == "PRECEDES" for _, t, _ in got.edges) == 2 and any(t == "DOCUMENTS_DIR" for _, t, _ in got.edges)
 
@@ -79,8 +79,7 @@ def test_config():
         documents.parse_config("r", "c.json", "{")
 
 
-def test_block_end_and_snippets():
-    assert rows.block_end("f() {\n a {\n }\n}\nx".split("\n"), 0) == 3 and rows.block_end(["a", "b"], 0) == 0
+def test_snippets():
     assert rows.truncate("x\n" * 200).count("\n") == 100
 
 

@@ -42,3 +42,37 @@ def test_last_wins_has_no_ties(spark):
     rows = spark.createDataFrame([(1, 5, "a"), (1, 5, "b"), (2, 1, None)], "id int, v int, x string")
     for given in (rows, rows.orderBy(F.desc("x"))):
         assert {tuple(r) for r in store.last_wins(given, ["id"], "v").collect()} == {(1, 5, "b"), (2, 1, None)}
+
+
+def test_versions(spark, tmp_path, monkeypatch):
+    """Readers keep the version before, older folders go, and of two writers of one version the second fails and leaves nothing."""
+    at = store.GraphStore(spark, str(tmp_path / "s"))
+    row = lambda n: spark.createDataFrame([(str(n), "r", "FILE", "JAVA", f"name {n}", "a.java")], "id string, repo_id string, element_type string, language string, name string, file_path string")
+    at.write(elements=row(1), edges=spark.createDataFrame([], "from_id string, edge_type string, to_id string"))
+    first = at.read("elements")
+    at.write(elements=row(2))
+    assert first.first()["id"] == "1" and at.read("elements").first()["id"] == "2" and at.read("edges").count() == 0
+    for n in (3, 4):
+        at.write(elements=row(n))
+    assert len(os.listdir(tmp_path / "s" / "elements")) == 2 and len(at._versions()) == 2
+    old = at._current()
+    monkeypatch.setattr(at, "_current", lambda: (old[0] - 1, old[1]))
+    with pytest.raises(store.ConcurrentWrite):
+        at.write(elements=row(9))
+    monkeypatch.undo()
+    assert at.read("elements").first()["id"] == "4" and len(os.listdir(tmp_path / "s" / "elements")) == 2
+
+
+def test_postings_follow_the_elements(spark, tmp_path):
+    schema = "id string, repo_id string, element_type string, language string, name string, file_path string"
+    at = store.GraphStore(spark, str(tmp_path / "s"))
+    edges = spark.createDataFrame([], "from_id string, edge_type string, to_id string")
+    at.write(elements=spark.createDataFrame([("1", "r", "FILE", "JAVA", "red fox", "a"), ("2", "r", "FILE", "JAVA", "red hen", "b"), ("3", "q", "FILE", "JAVA", "red cat", "c")], schema), edges=edges, file_index=spark.createDataFrame([("r", "a", 1, "h"), ("q", "c", 1, "h")], "repo_id string, file_path string, last_modified long, file_hash string"))
+    ids = lambda *terms: sorted(r["id"] for r in at.postings(list(terms))[0].collect())
+    assert ids("red") == ["1", "2", "3"] and ids("fox", "hen") == ["1", "2"]
+    files = spark.createDataFrame([("r", "a"), ("r", "b")], "repo_id string, file_path string")
+    at.replace_files(files, spark.createDataFrame([("1", "r", "FILE", "JAVA", "blue fox", "a")], schema), edges, spark.createDataFrame([("r", "a", 2, "i")], "repo_id string, file_path string, last_modified long, file_hash string"))
+    assert ids("red") == ["3"] and ids("blue", "hen") == ["1"] and at.postings(["red"])[1].filter("field = 'name'").first()["docs"] == 2
+    assert sorted((r["file_path"], r["last_modified"]) for r in at.read("file_index").collect()) == [("a", 2), ("c", 1)]
+    at.remove_repo("q")
+    assert ids("red") == [] and at.read("elements").count() == 1 and at.read("file_index").count() == 1
