@@ -27,6 +27,12 @@ union all select 'order:' || o_orderkey, 'r' || n_regionkey, 'METHOD', 'JAVA', '
   from {orders} join {customer} on o_custkey = c_custkey join {nation} on c_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey
 union all select 'part:' || p_partkey, 'catalog', 'STRUCT', 'RUST', p_name, p_brand || '::' || p_name || '::' || p_partkey, p_brand || '/' || p_type || '.rs', 0, 0, null, null, null, 'brand:' || p_brand from {part}
 union all select 'document:' || doc_id, source, 'MARKDOWN_DOCUMENT', 'MARKDOWN', doc_id || '.md', source || '/' || lang || '/' || doc_id || '.md', source || '/' || lang || '/' || doc_id || '.md', 1, 0, null, null, text, null from {documents}
+union all select kind || ':' || s_suppkey, 'r' || n_regionkey, element_type, 'GO', kind || s_suppkey, r_name || '.' || n_name || '.' || s_name || '.' || kind || s_suppkey, r_name || '/' || n_name || '/' || s_name || '.go', row_at, row_at, null, null,
+  case when kind = 'note' then 'About ' || s_name end, case kind when 'param' then 'ctor:' || s_suppkey when 'note' then null when 'mark' then null else 'supplier:' || s_suppkey end
+  from {supplier} join {nation} on s_nationkey = n_nationkey join {region} on n_regionkey = r_regionkey
+  cross join (select 'field' kind, 'FIELD' element_type, 3 row_at union all select 'ctor', 'CONSTRUCTOR', 5 union all select 'param', 'PARAMETER', 5 union all select 'import', 'IMPORT', 2 union all select 'mark', 'ANNOTATION', 1 union all select 'note', 'COMMENT_DOC', 1) kinds
+union all select 'config:' || n_nationkey, 'r' || n_regionkey, 'CONFIG_FILE', 'JSON', n_name || '.json', r_name || '/' || n_name || '/app.json', r_name || '/' || n_name || '/app.json', 1, 1, null, null, case when n_nationkey % 2 = 0 then '{{"owner": ' || n_nationkey || '}}' end, null from {nation} join {region} on n_regionkey = r_regionkey
+union all select 'configkey:' || n_nationkey, 'r' || n_regionkey, 'CONFIG_KEY', 'JSON', 'owner', r_name || '/' || n_name || '/app.json#owner', r_name || '/' || n_name || '/app.json', 0, 0, null, null, cast(n_nationkey as string), 'config:' || n_nationkey from {nation} join {region} on n_regionkey = r_regionkey
 """
 
 EDGES = """
@@ -48,6 +54,12 @@ union all select 'document:' || doc_id, 'DOCUMENTS', 'customer:' || doc_id from
 union all select 'label:' || doc_id, 'ANNOTATES', 'document:' || doc_id from {labels}
 union all select 'customer:' || c_custkey, 'SHARES_TYPE', 'supplier:' || s_suppkey from {customer} join {supplier} on c_custkey = s_suppkey
 union all select 'part:' || p_partkey, 'REFERENCES_CLASS', 'ghost:' || p_size from {part}
+union all select 'configkey:' || n_nationkey, 'REFERENCES_CLASS', 'customer:' || (n_nationkey + 1) from {nation}
+union all select 'config:' || n_nationkey, 'CONTAINS', 'configkey:' || n_nationkey from {nation}
+union all select 'supplier:' || s_suppkey, 'CONTAINS', kind || ':' || s_suppkey from {supplier} cross join (select 'field' kind union all select 'ctor' union all select 'import') kinds
+union all select 'ctor:' || s_suppkey, 'CONTAINS', 'param:' || s_suppkey from {supplier}
+union all select 'mark:' || s_suppkey, 'ANNOTATES', 'supplier:' || s_suppkey from {supplier}
+union all select 'note:' || s_suppkey, 'DOCUMENTS', 'supplier:' || s_suppkey from {supplier}
 """
 
 

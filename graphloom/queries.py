@@ -41,6 +41,11 @@ def _ids(E: DataFrame, *ids: str) -> DataFrame:
     return E.sparkSession.createDataFrame([(i,) for i in ids], "id string")
 
 
+def _late(E: DataFrame) -> DataFrame:
+    """Some documents begin at line 9998, so that numbers of five digits come up."""
+    return E.withColumn("line_start", F.when((F.col("element_type") == "MARKDOWN_DOCUMENT") & (F.col("name") < "5"), 9998).otherwise(F.col("line_start")))
+
+
 def _round(c: str, n: int = 6):
     return F.round(c, n).alias(c)
 
@@ -157,9 +162,10 @@ def parent(E, G, t):
     return _three(neighbors.parents(E))
 
 
-@query("select c.id source_id, s.id, s.name from E c join E p on c.parent_id = p.id join G g on g.from_id = p.id and g.edge_type = 'CONTAINS' join E s on s.id = g.to_id where s.id <> c.id and c.element_type = 'METHOD'")
+@query("select c.id source_id, s.id, s.name from E c join E p on c.parent_id = p.id join G g on g.from_id = p.id and g.edge_type = 'CONTAINS' join E s on s.id = g.to_id where s.id <> c.id and try_cast(string_split(c.id, ':')[2] as bigint) % 100 = 0")
 def siblings(E, G, t):
-    return _three(neighbors.siblings(E, G, E.filter("element_type = 'METHOD'")))
+    """Asked by the elements whose number is divisible by 100, against all."""
+    return _three(neighbors.siblings(E, G, E.filter(F.split("id", ":")[1].try_cast("bigint") % 100 == 0)))
 
 
 @query("select g.to_id source_id, e.id, e.name, p.name parent_name from G g join E e on e.id = g.from_id left join E p on p.id = e.parent_id where g.edge_type = 'CALLS'")
@@ -207,16 +213,18 @@ def cross_language(E, G, t):
     return neighbors.cross_language(E, G).select("source_id", "id", "language", "edge_type")
 
 
-@query("""select id source_id, 1 as "position", modifier as name from E where modifier is not null""")
+@query("""select id source_id, 1 as "position", modifier as name from E where modifier is not null union all select g.from_id, row_number() over (partition by g.from_id order by e.line_start, e.id)::int, e.name from G g join E e on e.id = g.to_id where g.edge_type = 'CONTAINS' and e.element_type = 'PARAMETER'""")
 def parameters(E, G, t):
     return neighbors.parameters(E.withColumn("parameter_types", F.col("modifiers")), G).select("source_id", "position", "name")
 
 
-@query("""with D as (select id, parent_id, element_type, case when element_type in ('CLASS', 'MARKDOWN_DOCUMENT') then name end doc from E)
+@query("""with D as (select id, parent_id, element_type, case when element_type in ('CLASS', 'INTERFACE', 'MARKDOWN_DOCUMENT') then name end doc from E)
 select id source_id, 'own' section, 0 ord, id other_id, doc as "text" from D where doc is not null
+union all select g.to_id, 'comment', 1, e.id, e.snippet from G g join E e on e.id = g.from_id where g.edge_type = 'DOCUMENTS' and e.element_type = 'COMMENT_DOC'
+union all select g.to_id, 'annotation', 2, e.id, e.name from G g join E e on e.id = g.from_id where g.edge_type = 'ANNOTATES'
 union all select d.id, 'enclosing', 3, p.id, p.doc from D d join D p on p.id = d.parent_id where p.doc is not null and d.element_type in ('METHOD', 'FUNCTION', 'CONSTRUCTOR', 'FIELD', 'PROPERTY')""")
 def docs(E, G, t):
-    return neighbors.docs(E.withColumn("doc_comment", F.when(F.col("element_type").isin("CLASS", "MARKDOWN_DOCUMENT"), F.col("name"))), G)
+    return neighbors.docs(E.withColumn("doc_comment", F.when(F.col("element_type").isin("CLASS", "INTERFACE", "MARKDOWN_DOCUMENT"), F.col("name"))), G)
 
 
 @query("select id, file_path from E where element_type = 'CONFIG_FILE' or (element_type = 'FILE' and language in ('YAML', 'JSON'))")
@@ -234,6 +242,16 @@ def edge_scan(E, G, t):
     return G.filter("from_id = 'part:3' or to_id = 'part:3'").select("from_id", "edge_type", "to_id").orderBy("edge_type", "to_id")
 
 
+@query("select id source_id, null::varchar as name, snippet from E where element_type = 'CONFIG_FILE' and snippet is not null union all select f.id, k.name, k.snippet from E f join G g on g.from_id = f.id and g.edge_type = 'CONTAINS' join E k on k.id = g.to_id and k.element_type = 'CONFIG_KEY' where f.element_type = 'CONFIG_FILE' and f.snippet is null")
+def get_config(E, G, t):
+    return neighbors.config(E, G, E.filter("element_type = 'CONFIG_FILE'"))
+
+
+@query("select g.to_id source_id, e.id, e.name from G g join E e on e.id = g.from_id where g.edge_type = 'DOCUMENTS' and e.element_type = 'COMMENT_DOC'")
+def doc_comments(E, G, t):
+    return _three(neighbors.neighbors(E, G, ["DOCUMENTS"], "INCOMING", kinds=["COMMENT_DOC"]))
+
+
 # -- aggregates and sets
 
 
@@ -292,9 +310,9 @@ def ancestors(E, G, t):
 
 
 @query("""with first as (select from_id, min(to_id) nxt from G join E on E.id = to_id where edge_type = 'OVERRIDES' group by 1),
-c as (select id source_id, 0 as depth, id from E where element_type = 'METHOD' and line_start = 50 union all select source_id, depth + 1, nxt from c join first on from_id = c.id) select * from c""", recursive=True)
+c as (select id source_id, 0 as depth, id from E where element_type = 'METHOD' union all select source_id, depth + 1, nxt from c join first on from_id = c.id) select * from c""", recursive=True)
 def override_chain(E, G, t):
-    return traverse.override_chain(E, G, E.filter("element_type = 'METHOD' and line_start = 50"))
+    return traverse.override_chain(E, G, E.filter("element_type = 'METHOD'"))
 
 
 _REACH = """with h as (select 'nation:1' id, 0 as depth union select g.to_id, h.depth + 1 from h join G g on g.from_id = h.id where h.depth < 2 and g.edge_type in ('CONTAINS', 'IMPORTS')), m as (select id, min(depth) depth from h group by 1)"""
@@ -365,6 +383,24 @@ def reachable(E, G, t):
     return traverse.reach(G, _ids(E, "region:1"), 6, ["CONTAINS"]).select("id", "depth")
 
 
+_STEPS = """with p as (select c.to_id mid, 'nation:1>' || c.to_id || '>segment:BUILDING' as "path" from G c join G i on i.from_id = c.to_id and i.edge_type = 'IMPLEMENTS' and i.to_id = 'segment:BUILDING' where c.edge_type = 'CONTAINS' and c.from_id = 'nation:1' order by mid limit 50)"""
+
+
+def _two_hops(G):
+    return traverse.all_paths(G, "nation:1", "segment:BUILDING", 3, ["CONTAINS", "IMPLEMENTS"], "OUTGOING")
+
+
+@query(_STEPS + """ select "path", 'nation:1-CONTAINS-' || mid || ' ' || mid || '-IMPLEMENTS-segment:BUILDING' steps from p""")
+def path_steps(E, G, t):
+    step = lambda s: F.concat_ws("-", s["from_id"], s["edge_type"], s["to_id"])
+    return _two_hops(G).select(F.array_join("path", ">").alias("path"), F.array_join(F.transform("steps", step), " ").alias("steps"))
+
+
+@query(_STEPS + """ select "path", k::int "position", e.id, e.name from (select "path", mid, unnest([0, 1, 2]) k, unnest(['nation:1', mid, 'segment:BUILDING']) node from p) join E e on e.id = node""")
+def path_nodes(E, G, t):
+    return traverse.path_nodes(E, _two_hops(G)).select(F.array_join("path", ">").alias("path"), "position", "id", "name")
+
+
 # -- similarity
 
 _NEAR = """with N as (select distinct from_id s, to_id o from G where edge_type in ('IMPORTS')), D as (select s, count(*) d from N group by 1), X as (select o, count(*) d from (select distinct to_id o, from_id from G where edge_type = 'IMPORTS') group by 1),
@@ -415,11 +451,19 @@ def neighbor_map(E, G, t):
     return similarity.neighbor_sets(G)
 
 
-@query("""with N as (select distinct from_id s, to_id o from G where edge_type = 'EXTENDS'), few as (select o from N group by 1 having count(*) <= 1000), K as (select N.* from N join few using (o)), D as (select s, count(*) d from N group by 1)
-select n.s a, m.s b, count(*) common from K n join K m on m.o = n.o and n.s < m.s group by all""")
+_CLASSES = """with N as (select distinct from_id s, to_id o from G where edge_type in ('EXTENDS', 'IMPLEMENTS', 'DEPENDS_ON', 'SHARES_TYPE')), S as (select s, list_sort(list(o)) os from N group by 1), C as (select os, min(s) c, count(*) k from S group by 1),
+P as (select a.c a, b.c b, len(list_intersect(a.os, b.os)) common, len(a.os) n_a, len(b.os) n_b, a.k ka, b.k kb from C a join C b on a.c < b.c where list_has_any(a.os, b.os))"""
+
+
+@query(_CLASSES + ", M as (select c, sum(k) k from (select a c, kb k from P union all select b, ka from P) group by 1) select s id, C.c class_id, (C.k - 1 + coalesce(M.k, 0))::bigint links from S join C using (os) left join M on M.c = C.c")
 def similarity_all_pairs(E, G, t):
-    pairs = similarity.candidate_pairs(G, ["EXTENDS"])
-    return similarity.pair_similarity(G, pairs, ["EXTENDS"], "OUTGOING").select("a", "b", "common")
+    """Every node with its class of equal neighbour sets and the number of nodes that share a neighbour with it; similarity_class_pairs has the pairs."""
+    return similarity.similarity_classes(G, ["EXTENDS", "IMPLEMENTS", "DEPENDS_ON", "SHARES_TYPE"])[0]
+
+
+@query(_CLASSES + " select a, b, common::bigint common, n_a::bigint n_a, n_b::bigint n_b, round(common / (n_a + n_b - common), 6) jaccard from P")
+def similarity_class_pairs(E, G, t):
+    return similarity.similarity_classes(G, ["EXTENDS", "IMPLEMENTS", "DEPENDS_ON", "SHARES_TYPE"])[1].select("a", "b", "common", "n_a", "n_b", _round("jaccard"))
 
 
 @query("""with L as (select * from G where edge_type in ('OVERRIDES', 'EXTENDS')), U as (select from_id a, to_id b from L union select to_id, from_id from L), C(id, root) using key (id) as (select a, min(least(a, b)) from U where a <> b group by 1
@@ -455,28 +499,36 @@ def bm25_topk(E, G, t):
     return text.bm25(text.postings(E), "the and").select("id", _round("score")).orderBy(F.desc("score"), "id").limit(50)
 
 
-@query("""select id, (case when line_start > 0 then line_start else 1 end + k - 1)::int line, lpad((case when line_start > 0 then line_start else 1 end + k - 1)::varchar, 4, ' ') || ' | ' || l rendered from (select id, line_start, unnest(string_split(snippet, chr(10))) l, generate_subscripts(string_split(snippet, chr(10)), 1) k from E where snippet is not null)""")
+@query("""select id, (case when line_start > 0 then line_start else 1 end + k - 1)::int line, printf('%4d', case when line_start > 0 then line_start else 1 end + k - 1) || ' | ' || l rendered from (select id, case when element_type = 'MARKDOWN_DOCUMENT' and name < '5' then 9998 else line_start end line_start, unnest(string_split(snippet, chr(10))) l, generate_subscripts(string_split(snippet, chr(10)), 1) k from E where snippet is not null)""")
 def snippet_lines(E, G, t):
-    return text.numbered_lines(E)
+    return text.numbered_lines(_late(E))
 
 
-@query(r"""with x as (select *, regexp_replace(snippet, '[\t\n\r ]+', ' ', 'g') as flat from E) select id, '[' || element_type || '] ' || coalesce(nullif(qualified_name, ''), nullif(name, ''), '(unnamed)') || case when file_path is not null then ' (' || file_path || case when line_start > 0 then ':' || line_start || case when line_end > line_start then '-' || line_end else '' end else '' end || ')' else '' end
- || case when snippet is null then '' else ' | ' || case when length(flat) > 120 then substr(flat, 1, 120) || '...' else flat end end summary from x""")
+@query(r"""with x as (select *, case when element_type = 'METHOD' then name || '()' end signature, case when element_type = 'CLASS' then ' Doc of ' || repeat(name || ' ', 8) end doc, regexp_replace(snippet, '^\s+|\s+$', '', 'g') flat from E)
+select id, '[' || element_type || '] ' || coalesce(qualified_name, name, '(unnamed)') || case when file_path is not null then ' (' || file_path || case when line_start > 0 then ':' || line_start || case when line_end > line_start then '-' || line_end else '' end else '' end || ')' else '' end
+ || coalesce(chr(10) || '   Signature: ' || signature, '') || coalesce(chr(10) || '   Preview: ' || substr(flat, 1, 120) || case when length(flat) > 120 then '...' else '' end, '')
+ || coalesce(chr(10) || '   Doc: ' || substr(trim(doc), 1, 100) || case when length(trim(doc)) > 100 then '...' else '' end, '') summary from x""")
 def summary_line(E, G, t):
-    return E.select("id", text.summary_line().alias("summary"))
+    made = E.withColumn("signature", F.when(F.col("element_type") == "METHOD", F.concat("name", F.lit("()")))).withColumn("doc_comment", F.when(F.col("element_type") == "CLASS", F.concat(F.lit(" Doc of "), F.repeat(F.concat("name", F.lit(" ")), 8))))
+    return made.select("id", text.summary_line(made.columns).alias("summary"))
+
+
+@query("select id, 'id: ' || id || coalesce(chr(10) || 'name: ' || name, '') || coalesce(chr(10) || 'snippet: ' || snippet, '') rendered from E")
+def full_render(E, G, t):
+    return E.select("id", text.full_render(["id", "name", "snippet"]).alias("rendered"))
 
 
 @query("""with o as (select file_path, 0 as depth, id, [lpad(line_start::varchar, 8, '0') || '|' || id] as sp from E where file_path is not null and parent_id is null
 union all select o.file_path, o.depth + 1, e.id, list_append(sp, lpad(e.line_start::varchar, 8, '0') || '|' || e.id) from o join E e on e.parent_id = o.id and e.file_path = o.file_path) select file_path, depth, id, array_to_string(sp, '/') as sort_path from o""", recursive=True)
 def file_outline(E, G, t):
     made = E.withColumn("parent_id", F.when(F.col("element_type") != "CLASS", F.col("parent_id")))
-    return text.file_outline(made).select("file_path", "depth", "id", F.array_join("sort_path", "/").alias("sort_path"))
+    return traverse.file_outline(made).select("file_path", "depth", "id", F.array_join("sort_path", "/").alias("sort_path"))
 
 
 ORACLES["file_outline"] = ORACLES["file_outline"].replace("and parent_id is null", "and (parent_id is null or element_type = 'CLASS')").replace("e.parent_id = o.id and", "e.parent_id = o.id and e.element_type <> 'CLASS' and")
 
 
-# -- ids, languages, configuration, markdown, links
+# -- ids, languages, paths
 
 
 @query("select id, substr(sha256(coalesce(repo_id, 'null') || '|' || coalesce(file_path, 'null') || '|' || element_type || '|' || coalesce(qualified_name, 'null')), 1, 32) hashed from E")
@@ -489,56 +541,11 @@ def edge_ids(E, G, t):
     return G.select(edge_id(F.col("from_id"), F.col("edge_type"), F.col("to_id")).alias("id"))
 
 
-@query(r"select file_path, case lower(regexp_extract(file_path, '\.([^.]*)$', 1)) when 'java' then 'JAVA' when 'go' then 'GO' when 'rs' then 'RUST' when 'hpp' then 'CPP' when 'md' then 'MARKDOWN' else 'UNKNOWN' end as lang from (select distinct file_path from E where file_path is not null)")
+@query(r"select file_path, case lower(regexp_extract(file_path, '\.([^.]*)$', 1)) when 'java' then 'JAVA' when 'go' then 'GO' when 'rs' then 'RUST' when 'hpp' then 'CPP' when 'md' then 'MARKDOWN' when 'json' then 'JSON' else 'UNKNOWN' end as lang from (select distinct file_path from E where file_path is not null)")
 def languages(E, G, t):
     return E.filter("file_path is not null").select("file_path").distinct().select("file_path", language_of_file(F.col("file_path")).alias("lang"))
 
 
-@query("select event_id, k path, json_extract_string(props, '$.\"' || k || '\"') leaf from (select event_id, props, unnest(json_keys(props)) k from events)")
-def config_leaves(E, G, t):
-    each = F.from_json("props", "map<string,string>")
-    return t("events").select("event_id", F.explode(each).alias("path", "leaf"))
-
-
-@query(r"select event_id, event_type, regexp_matches('com.' || event_type || '.X' || event_type, '^([a-z_][a-z0-9_]*\.)+[A-Z][A-Za-z0-9_$]*$') is_class from events")
-def fqcn_refs(E, G, t):
-    return t("events").select("event_id", "event_type", F.concat(F.lit("com."), "event_type", F.lit(".X"), "event_type").rlike(r"^([a-z_][a-z0-9_]*\.)+[A-Z][A-Za-z0-9_$]*$").alias("is_class"))
-
-
-@query(r"""select page_id, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)) href from pages""")
-def html_links(E, G, t):
-    return t("pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'<a\s[^>]*href="([^"]*)"'), F.lit(1))).alias("href"))
-
-
-_MD = r"with L as (select page_id d, unnest(string_split(html, chr(10))) l, generate_subscripts(string_split(html, chr(10)), 1) k from pages), H as (select d, k, l from L where regexp_matches(l, '<h[1-6]')), X as (select d, k, l, lead(k) over (partition by d order by k) nxt from H)"
-
-
-def _headings(t):
-    lines = t("pages").select(F.col("page_id").alias("d"), F.posexplode(F.split("html", "\n")).alias("p", "l")).select("d", (F.col("p") + 1).alias("k"), "l")
-    from pyspark.sql import Window
-
-    return lines, lines.filter(F.col("l").rlike("<h[1-6]")).withColumn("nxt", F.lead("k").over(Window.partitionBy("d").orderBy("k")))
-
-
-@query(_MD + " select d, k::int k, l from H")
-def md_headings(E, G, t):
-    return _headings(t)[1].select("d", "k", "l")
-
-
-@query(_MD + " select d, k::int k, nxt::int nxt from X where nxt is not null")
-def md_precedes(E, G, t):
-    return _headings(t)[1].filter("nxt is not null").select("d", "k", "nxt")
-
-
-@query(_MD + " select X.d, X.k::int k, count(*) n, sum(length(L.l))::bigint chars from X join L on L.d = X.d and L.k > X.k and (X.nxt is null or L.k < X.nxt) group by all")
-def md_sections(E, G, t):
-    lines, heads = _headings(t)
-    from pyspark.sql import Window
-
-    owner = lines.join(heads.select("d", "k", F.lit(1).alias("h")), ["d", "k"], "left").withColumn("at", F.max(F.when(F.col("h") == 1, F.col("k"))).over(Window.partitionBy("d").orderBy("k")))
-    return owner.filter("h is null and at is not null").groupBy("d", F.col("at").alias("k")).agg(F.count("*").alias("n"), F.sum(F.length("l")).alias("chars"))
-
-
 @query(r"select id, file_path from E where file_path is not null and not regexp_matches(file_path, '^(.*0/.*|[^/\\]*/brand\.hpp)$')")
 def exclude_globs(E, G, t):
     return E.filter(F.col("file_path").isNotNull() & ~excluded(F.col("file_path"), ["**0/**", "*/brand.hpp"])).select("id", "file_path")
@@ -563,18 +570,22 @@ def last_write_wins(E, G, t):
     return store.last_wins(t("events").select(F.col("user_id").alias("id"), F.col("value").alias("v")), ["id"], "v")
 
 
+def _left(E, G):
+    """Edges and elements that are left, by type."""
+    return G.groupBy(F.col("edge_type").alias("what")).agg(F.count("*").alias("n")).unionByName(E.groupBy(F.col("element_type").alias("what")).agg(F.count("*").alias("n")))
+
+
 _GONE = "with V as (select id from E where {}), "
 
 
-@query(_GONE.format("file_path = (select file_path from E where id = 'customer:7')") + "K as (select * from G where from_id not in (select id from V) and to_id not in (select id from V)) select edge_type, count(*) n from K group by 1")
+@query(_GONE.format("file_path = (select file_path from E where id = 'customer:7')") + "K as (select * from G where from_id not in (select id from V) and to_id not in (select id from V)) select edge_type what, count(*) n from K group by 1 union all select element_type, count(*) from E where id not in (select id from V) group by 1")
 def delete_file(E, G, t):
-    files = E.filter("id = 'customer:7'").select("repo_id", "file_path")
-    return store.delete_files(E, G, files)[1].groupBy("edge_type").agg(F.count("*").alias("n"))
+    return _left(*store.delete_files(E, G, E.filter("id = 'customer:7'").select("repo_id", "file_path")))
 
 
-@query(_GONE.format("repo_id = 'r1'") + "K as (select * from G where from_id not in (select id from V) and to_id not in (select id from V)) select edge_type, count(*) n from K group by 1")
+@query(_GONE.format("repo_id = 'r1'") + "K as (select * from G where from_id not in (select id from V) and to_id not in (select id from V)) select edge_type what, count(*) n from K group by 1 union all select element_type, count(*) from E where id not in (select id from V) group by 1")
 def delete_repo(E, G, t):
-    return store.delete_repo(E, G, "r1")[1].groupBy("edge_type").agg(F.count("*").alias("n"))
+    return _left(*store.delete_repo(E, G, "r1"))
 
 
 @query("select distinct from_id, edge_type, to_id from G")
@@ -617,3 +628,6 @@ def stream_dedup(E, G, t):
 @query("select 'events' repo_id, 1::bigint directories, count(*) events from events")
 def watched_counts(E, G, t):
     return changes.watched_counts(_changes(t))
+
+
+from . import source_queries  # noqa: E402, F401  registers the queries on parsers, stores and streams

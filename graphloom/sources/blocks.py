@@ -38,6 +38,9 @@ class Scope:
         self.kind, self.name, self.row, self.at = kind, name, row, at
 
 
+_AHEAD = {"": re.compile(r"\s*"), "CPP": re.compile(r"\s*(?:(?:public|private|protected)\s*:(?!:)\s*)*")}
+
+
 class BlockParser:
     """One file of one language into rows."""
 
@@ -143,7 +146,12 @@ class BlockParser:
     def push(self, kind: str, name: str, row: dict | None, at: int) -> None:
         self.scopes.append(Scope(kind, name, row, at))
 
+    def begins(self, start: int, end: int) -> int:
+        """Where a declaration starts: past blanks and C++ access labels."""
+        return _AHEAD["CPP" if self.language == "CPP" else ""].match(self.code, start, end).end()
+
     def open(self, start: int, brace: int) -> None:
+        start = self.begins(start, brace)
         head = " ".join(self.code[start:brace].split())
         inside = self.scopes[-1].kind if self.scopes else "file"
         if inside in ("body", "other"):
@@ -153,6 +161,7 @@ class BlockParser:
             self.push("other", "", None, brace)
 
     def statement(self, start: int, end: int) -> None:
+        start = self.begins(start, end)
         head = " ".join(self.code[start:end].split())
         if not head or self.scopes and self.scopes[-1].kind in ("body", "other"):
             return

@@ -52,9 +52,9 @@ def flush(store: GraphStore, parse: Callable[[DataFrame], tuple[DataFrame, ...]]
     return batch
 
 
-def watch(spark: SparkSession, log: str, store: GraphStore, repos: DataFrame, parse, checkpoint: str, globs=(), once: bool = True):
+def watch(spark: SparkSession, log: str, store: GraphStore, repos: DataFrame, parse, checkpoint: str, globs=(), once: bool = True, quiet_ms: int = DEBOUNCE_MS):
     """The running query: change log -> relevant -> debounced -> store. ``once`` takes what is there and stops."""
-    out = debounced(relevant(change_log(spark, log), repos, globs)).writeStream.foreachBatch(flush(store, parse)).option("checkpointLocation", checkpoint).outputMode("append")
+    out = debounced(relevant(change_log(spark, log), repos, globs), quiet_ms).writeStream.foreachBatch(flush(store, parse)).option("checkpointLocation", checkpoint).outputMode("append")
     return (out.trigger(availableNow=True) if once else out).start()
 
 
