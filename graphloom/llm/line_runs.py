@@ -61,13 +61,14 @@ def repeated_runs(levels: list[DataFrame], shortest: int) -> DataFrame:
     goes_on = (before("p") == F.col("p") - 1) & (before("fk") == F.col("fk")) & (before("fp") == F.col("fp") - 1)
     runs = materialize(found.withColumn("_on", F.coalesce(goes_on, F.lit(False))).filter("not _on").drop("_on").withColumn("depth", F.col("h")))
     for i in range(len(levels) - 2, -1, -1):
-        ranks = levels[i].select(F.col("k").alias("_k"), F.col("p").alias("_p"), "rank")
-        open_, settled = runs.filter(F.col("h") > 1 << i), runs.filter(F.col("h") <= 1 << i)
-        own = ranks.select(F.col("_k").alias("k1"), F.col("_p").alias("p1"), F.col("rank").alias("r1"))
-        other = ranks.select(F.col("_k").alias("k2"), F.col("_p").alias("p2"), F.col("rank").alias("r2"))
-        more = open_.join(own, (F.col("k") == F.col("k1")) & (F.col("p") + F.col("depth") == F.col("p1")), "left").join(other, (F.col("fk") == F.col("k2")) & (F.col("fp") + F.col("depth") == F.col("p2")), "left")
-        more = more.withColumn("depth", F.col("depth") + F.when(F.col("r1") == F.col("r2"), 1 << i).otherwise(0)).select(*runs.columns)
-        runs = settled.unionByName(more)
+        ranks = levels[i]
+        own = ranks.select(F.col("k").alias("k1"), F.col("p").alias("p1"), F.col("rank").alias("r1"))
+        other = ranks.select(F.col("k").alias("k2"), F.col("p").alias("p2"), F.col("rank").alias("r2"))
+        goes = F.when(F.col("h") > 1 << i, F.col("depth"))  # those of fewer lines meet nothing
+        more = runs.join(own, (F.col("k") == F.col("k1")) & (F.col("p") + goes == F.col("p1")), "left").join(other, (F.col("fk") == F.col("k2")) & (F.col("fp") + goes == F.col("p2")), "left")
+        runs = more.withColumn("depth", F.col("depth") + F.when(F.col("r1") == F.col("r2"), 1 << i).otherwise(0)).select(*runs.columns)
+        if i % 3 == 0:  # so that plans stay short
+            runs = materialize(runs)
     return runs.drop("h")
 
 
