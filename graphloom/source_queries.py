@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .queries import _changes, query
-from .sources import scan
+from .sources import lines, scan, trees
 from .store import GraphStore, shared_dir
 from .streaming import changes
 
@@ -176,6 +176,59 @@ def parse_visibility(E, G, t):
     return found.select("file_path", "name", "visibility", F.array_join("modifiers", " ").alias("modifiers"))
 
 
+# -- declarations by line, and printed trees
+
+DECLARED = {
+    "go": [("PACKAGE", "shop", 1, 1), ("STRUCT", "shop.S@@", 6, 8), ("INTERFACE", "shop.Seller", 10, 12), ("METHOD", "shop.S@@.Sell", 14, 16), ("FUNCTION", "shop.check@@", 18, 20)],
+    "rs": [("STRUCT", "P@@", 4, 6), ("INTERFACE", "Priced", 8, 10), ("CLASS", "impl Priced for P@@", 12, 16), ("FUNCTION", "price", 13, 15), ("FUNCTION", "base@@", 18, 20)],
+    "ts": [("CLASS", "V@@", 4, 12), ("FUNCTION", "paint@@", 14, 15)],
+    "hpp": [("CLASS", "B@@", 4, 12), ("FUNCTION", "size", 7, 9)],
+}
+
+for _ext, _rows in DECLARED.items():
+
+    @query(
+        f"""select p file_path, kind element_type, replace(n, '@@', k) qualified_name, line_start, line_end, substr(sha256('shop|' || p || '|' || kind || '|' || replace(n, '@@', k)), 1, 32) id
+from (select c_custkey::varchar k, 'c' || c_custkey || '.{_ext}' p from customer), (values {_values(_rows)}) v(kind, n, line_start, line_end)""",
+        name=f"declarations_{_NAMES[_ext]}",
+    )
+    def _declarations(E, G, t, ext=_ext):
+        return lines.declarations(_files(t, ext))[0].select("file_path", "element_type", "qualified_name", "line_start", "line_end", "id")
+
+
+@query("select 'c' || c_custkey || '.go' file_path, replace(b, '@@', c_custkey::varchar) target from customer, (values ('shop.S@@'), ('shop.Seller'), ('shop.S@@.Sell'), ('shop.check@@')) v(b)")
+def declarations_contained(E, G, t):
+    elements, edges = lines.declarations(_files(t, "go"))
+    return edges.filter("edge_type = 'CONTAINS'").select(F.col("to_id").alias("id")).join(elements, "id").select("file_path", F.col("qualified_name").alias("target"))
+
+
+@query("""with L as (select doc_id, generate_subscripts(string_split(text, chr(10)), 1) k from documents),
+N as (select doc_id, k, k % 3 = 1 declared, (doc_id + k * k) % 3 o, (doc_id // 3 + k) % 3 c from L),
+V as (select doc_id, k, row_number() over w n, step, sum(step) over w depth from (select doc_id, k, j, case when j < o then 1 else -1 end step from (select doc_id, k, o, unnest(range(o + c)) j from N)) window w as (partition by doc_id order by k, j)),
+D as (select N.doc_id, N.k, coalesce(arg_max(V.depth, V.n), 0) d from N left join V on V.doc_id = N.doc_id and V.k < N.k where declared group by all),
+O as (select D.doc_id, D.k, D.d, min(V.n) n from D left join V on V.doc_id = D.doc_id and V.k >= D.k and V.step = 1 group by all)
+select O.doc_id || '.rs' file_path, 'f' || O.k qualified_name, O.k::int line_start, coalesce(min(V.k), O.k)::int line_end from O left join V on V.doc_id = O.doc_id and V.n >= O.n and V.depth = O.d group by O.doc_id, O.k""")
+def block_ends(E, G, t):
+    """A file a document, with braces by the numbers of document and line, and a function on every third line."""
+    doc, k = F.col("doc_id"), F.col("k") + 1
+    at = t("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "_line"))
+    opens, closes = (doc + k * k) % 3, (F.floor(doc / 3) + k) % 3
+    made = F.concat(F.when(k % 3 == 1, F.concat(F.lit("fn f"), k.cast("string"), F.lit("() "))).otherwise(""), F.repeat(F.lit("{"), opens.cast("int")), F.repeat(F.lit("}"), closes.cast("int")))
+    files = at.groupBy("doc_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", made.alias("l")))), lambda x: x["l"]), "\n").alias("content"))
+    found = lines.declarations(files.select(F.lit("docs").alias("repo_id"), F.concat(doc.cast("string"), F.lit(".rs")).alias("file_path"), "content"))[0]
+    return found.select("file_path", "qualified_name", "line_start", "line_end")
+
+
+@query("""with F as (select 'c' || c_custkey || '.go' file_path, c_name n from customer)
+select file_path, 0 node, null::int parent, 'source_file' kind, null::varchar field, 'func ' || n || '() {' || chr(10) || '}' as "text" from F union all select file_path, 1, 0, 'function_declaration', null, 'func ' || n || '() {' || chr(10) || '}' from F
+union all select file_path, 2, 1, 'identifier', 'name', n from F union all select file_path, 3, 1, 'block', 'body', '{' || chr(10) || '}' from F""")
+def printed_trees(E, G, t):
+    w, name = F.length("c_name") + 5, F.col("c_name")
+    printed = F.format_string("(source_file [0, 0] - [1, 1]\n  (function_declaration [0, 0] - [1, 1]\n    name: (identifier [0, 5] - [0, %d])\n    body: (block [0, %d] - [1, 1])))\n", w, w + 3)
+    files = t("customer").select(F.lit("shop").alias("repo_id"), F.concat(F.lit("c"), "c_custkey", F.lit(".go")).alias("file_path"), F.concat(F.lit("func "), name, F.lit("() {\n}")).alias("content"), printed.alias("printed"))
+    return trees.printed_trees(files).select("file_path", "node", "parent", "kind", "field", "text")
+
+
 # -- Markdown: each line of a document becomes a part
 
 _MD_FILES = """with F as (select doc_id, 'src/' || doc_id || '.md' p, 'About' || chr(10) || '# Doc ' || doc_id || chr(10) || replace(coalesce(text, ''), chr(10), chr(10) || '## Part' || chr(10)) c from documents),

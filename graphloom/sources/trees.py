@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import dataclasses
 import os
 import re
 import subprocess
 import sys
 import tempfile
-from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark import cloudpickle
@@ -27,7 +27,7 @@ NODES = T.StructType(
 _TOKEN = re.compile(r'(?P<open>\()|(?P<close>\))|\[(?P<span>\s*\d+\s*,\s*\d+\s*\]\s*-\s*\[\s*\d+\s*,\s*\d+\s*)\]|"(?:\\.|[^"\\])*"|\'(?:\\.|[^\'\\])*\'|(?P<label>[\w.\-]+)\s*:|(?P<word>[^\s()\[\]:"\']+)|.', re.S)
 
 
-@dataclass
+@dataclasses.dataclass
 class Node:
     """Lines and columns count from 0; the end is not included."""
 
@@ -35,7 +35,7 @@ class Node:
     field: str | None = None
     span: tuple[int, int, int, int] = (0, 0, 0, 0)
     text: str = ""
-    children: list[Node] = field(default_factory=list)
+    children: list[Node] = dataclasses.field(default_factory=list)
 
 
 def span_text(span: tuple[int, int, int, int], lines: list[str]) -> str:
@@ -63,7 +63,7 @@ def read_tree(printed: str, source: str) -> Node | None:
         elif m["close"]:
             done = open_nodes.pop()
             if not done.kind and open_nodes:  # a token that has no type is no node
-                open_nodes[-1].children.remove(done)
+                open_nodes[-1].children.pop()
             label, named = None, True
             if not open_nodes:
                 break
@@ -88,8 +88,33 @@ def run_parser(path: str, binary: str = BINARY, timeout: float = TIMEOUT_S) -> s
     return done.stdout.decode("utf-8", "replace") if done.stdout or not done.returncode else None
 
 
+def _frames(repo: str, path: str, printed: str | None, source: str):
+    """The nodes of one tree in the order of the text, in frames of bounded size."""
+    root = read_tree(printed, source) if printed else None
+    rows, todo, n = [], [(root, None)] if root else [], 0
+    while todo:
+        node, parent = todo.pop()
+        todo += [(c, n) for c in reversed(node.children)]
+        rows.append((repo, path, n, parent, node.kind, node.field, *node.span, node.text))
+        n += 1
+        if len(rows) == 10_000 or not todo:
+            yield pd.DataFrame(rows, columns=NODES.names).astype({"parent": "Int32"})
+            rows = []
+
+
+def printed_trees(files: DataFrame) -> DataFrame:
+    """files (repo_id, file_path, content, printed) -> a row a node: node from 0, parent (null for the root), kind, field, span, text. A null, empty or unreadable tree gives no rows, null content counts as empty."""
+
+    def run(batches):
+        for b in batches:
+            for repo, path, content, printed in zip(b["repo_id"], b["file_path"], b["content"], b["printed"]):
+                yield from _frames(repo, path, printed, content or "")
+
+    return files.select("repo_id", "file_path", "content", "printed").mapInPandas(run, NODES)
+
+
 def syntax_trees(files: DataFrame, binary: str = BINARY, timeout: float = TIMEOUT_S) -> DataFrame:
-    """files (repo_id, file_path, content) -> a row a node, in the order of the text: node from 0, parent (null for the root), kind, field, span, text.
+    """files (repo_id, file_path, content) -> rows as of ``printed_trees``.
 
     A file that the command can't read gives no rows; ``lines.declarations`` is there for these. Each file is written to its task's own temporary folder, where the command reads it, and goes at once.
     """
@@ -103,14 +128,6 @@ def syntax_trees(files: DataFrame, binary: str = BINARY, timeout: float = TIMEOU
                         f.write(content or "")
                     printed = run_parser(at, binary, timeout)
                     os.remove(at)
-                    root = read_tree(printed, content or "") if printed else None
-                    rows, todo = [], [(root, None)] if root else []
-                    while todo:
-                        node, parent = todo.pop()
-                        todo += [(c, len(rows)) for c in reversed(node.children)]
-                        rows.append((repo, path, len(rows), parent, node.kind, node.field, *node.span, node.text))
-                    for i in range(0, len(rows), 10_000):
-                        frame = pd.DataFrame(rows[i : i + 10_000], columns=NODES.names).astype({"parent": "Int32"})
-                        yield frame
+                    yield from _frames(repo, path, printed, content or "")
 
     return files.select("repo_id", "file_path", "content").mapInPandas(run, NODES)
