@@ -149,15 +149,7 @@ def index_repo(spark: SparkSession, store: GraphStore, root: str, repo_id: str,
     store.set_repo(begun)
     files = scan_repo(spark, root, repo_id, globs, exts)
     elements, edges, errors = parse_files(files, registry)
-    old = store.read("elements")
-    if old is None:
-        store.write(elements=elements, edges=edges, file_index=files.drop("content"))
-    else:
-        from ..store import delete_repo
-
-        e, g = delete_repo(old, store.read("edges"), repo_id)
-        index = store.read("file_index")
-        store.write(elements=e.unionByName(elements.select(*e.columns)), edges=valid_edges(g.unionByName(edges.select(*g.columns))), file_index=index.filter(F.col("repo_id") != repo_id).unionByName(files.drop("content").select(*index.columns)))
+    store.replace_repo(repo_id, elements, edges, files.drop("content"))
     now = elements.agg(F.count("*").cast("int").alias("element_count"), F.count_distinct("file_path").cast("int").alias("file_count"), F.collect_set("language").alias("languages"))
     row = now.select(F.lit(repo_id).alias("id"), F.lit(name or repo_id).alias("name"), F.lit(root).alias("root_path"), "languages", F.when(F.lit(errors.isEmpty()) | (F.col("element_count") > 0), "READY").otherwise("ERROR").alias("status"), F.current_timestamp().alias("last_indexed"), "element_count", "file_count", F.lit(None).cast("string").alias("description"))
     row = materialize(row)

@@ -94,11 +94,18 @@ class ConcurrentWrite(RuntimeError):
 class GraphStore:
     """Parquet snapshots under a root: elements by repo_id, edges by edge_type, repos and file_index whole, postings of the elements' texts by range of terms.
 
+    A table is a base and layers over it: a change of files or of a repository writes its new rows and the keys of the rows below that it hides, and nothing of the rest. Beyond ``LAYERS`` layers they are merged into one, and into the base once they hold a quarter of its bytes.
+
     A write makes new folders beside those being read, and then one small file that names the folders of all tables. The file of a version is created only if it isn't there, so readers never see half a write and of two writers one fails. The version before stays for those who read it; older folders are deleted.
     """
 
     PARTS = {"elements": ["repo_id"], "edges": ["edge_type"], "repos": [], "file_index": [], "postings": ["bucket"], "posting_stats": []}
+    #: Columns of a table that are held, one set after the other, against the hidden keys (id, or repo_id and file_path).
+    HIDDEN_BY = {"elements": [{"id": "id"}], "postings": [{"id": "id"}], "edges": [{"from_id": "id"}, {"to_id": "id"}], "file_index": [{"repo_id": "repo_id", "file_path": "file_path"}]}
     BUCKETS = 64
+    LAYERS = 8
+    #: Repositories of one change up to which a scan is told their names, so that it opens no other's files.
+    PRUNED = 100
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
@@ -110,48 +117,70 @@ class GraphStore:
         names = [f.getPath().getName() for f in self._fs.listStatus(at)] if self._fs.exists(at) else []
         return sorted(int(n[1:]) for n in names if re.fullmatch(r"v\d+", n))
 
-    def _tables(self, version: int) -> dict[str, tuple[str, str]]:
-        """name -> (folder, schema)."""
+    def _tables(self, version: int) -> dict[str, tuple[list[list[str | None]], str]]:
+        """name -> (layers of (folder, folder of hidden keys), schema), the base first."""
         if not version:
             return {}
         text = self.spark.read.option("wholetext", True).text(f"{self.root}/current/v{version}").first()[0]
         return {k: tuple(v) for k, v in json.loads(text).items()}
 
-    def _current(self) -> tuple[int, dict[str, tuple[str, str]]]:
+    def _current(self) -> tuple[int, dict[str, tuple[list[list[str | None]], str]]]:
         version = max(self._versions(), default=0)
         return version, self._tables(version)
 
     def read(self, name: str) -> DataFrame | None:
         found = self._current()[1].get(name)
-        return self.spark.read.schema(T.StructType.fromJson(json.loads(found[1]))).parquet(found[0]) if found else None
-
-    def write(self, **tables: DataFrame) -> None:
-        """All tables of one call become current together; postings follow the elements unless they are given."""
-        version, kept = self._current()
-        if "elements" in tables:
-            tables = {"postings": self._posts(tables["elements"]), "posting_stats": text.field_stats(tables["elements"])} | tables
-        new = {}
-        for name, df in tables.items():
-            path = f"{self.root}/{name}/v{version + 1}-{uuid.uuid4().hex[:8]}"
-            parts = self.PARTS[name]
-            (df.hint("rebalance", *parts).write.partitionBy(*parts) if parts else df.write).parquet(path)
-            new[name] = (path, df.schema.json())
+        return self._visible(name, *found) if found else None
+
+    def _visible(self, name: str, layers: list[list[str | None]], schema: str) -> DataFrame:
+        """The rows of each layer that no later one hides."""
+        read = self.spark.read.schema(T.StructType.fromJson(json.loads(schema)))
+        if len(layers) == 1:
+            return read.parquet(layers[0][0])
+        rows = reduce(DataFrame.unionByName, (read.parquet(p).withColumn("_layer", F.lit(i)) for i, (p, _) in enumerate(layers)))
+        hidden = reduce(DataFrame.unionByName, (self.spark.read.parquet(g).withColumn("_from", F.lit(i)) for i, (_, g) in enumerate(layers) if i))
+        if name == "edges":
+            hidden = hidden.filter("victim")
+        for columns in self.HIDDEN_BY[name]:
+            last = hidden.groupBy(*(F.col(k).alias(f"_{k}") for k in columns.values())).agg(F.max("_from").alias("_from"))
+            same = reduce(lambda a, b: a & b, (F.col(c) == F.col(f"_{k}") for c, k in columns.items()))
+            rows = rows.join(last, same & (F.col("_layer") < F.col("_from")), "left_anti")
+        return rows.drop("_layer")
+
+    def _put(self, name: str, version: int, df: DataFrame) -> str:
+        path, parts = f"{self.root}/{name}/v{version}-{uuid.uuid4().hex[:8]}", self.PARTS.get(name)
+        (df.hint("rebalance", *parts).write.partitionBy(*parts) if parts else df.write).parquet(path)
+        return path
+
+    @staticmethod
+    def _folders(tables: dict[str, tuple[list[list[str | None]], str]]) -> set[str]:
+        return {p for layers, _ in tables.values() for layer in layers for p in layer if p}
+
+    def _commit(self, version: int, kept: dict, new: dict) -> None:
+        """Make ``version`` of the tables kept and new; where it is there already the new folders go."""
+        made = self._folders(new) - self._folders(kept)
         body = bytearray(json.dumps(kept | new).encode())
         try:
-            out = self._fs.create(self._path(f"{self.root}/current/v{version + 1}"), False)
+            out = self._fs.create(self._path(f"{self.root}/current/v{version}"), False)
         except Exception as e:
-            for path, _ in new.values():
+            for path in made:
                 delete_path(self.spark, path)
-            raise ConcurrentWrite(f"version {version + 1} of {self.root} is there already") from e
+            raise ConcurrentWrite(f"version {version} of {self.root} is there already") from e
         out.write(body)
         out.close()
         for old in self._versions()[:-2]:
-            needed = {p for v in (version, version + 1) for p, _ in self._tables(v).values()}
-            for path, _ in self._tables(old).values():
-                if path not in needed:
-                    delete_path(self.spark, path)
+            needed = self._folders(self._tables(version - 1)) | self._folders(self._tables(version))
+            for path in self._folders(self._tables(old)) - needed:
+                delete_path(self.spark, path)
             delete_path(self.spark, f"{self.root}/current/v{old}")
 
+    def write(self, **tables: DataFrame) -> None:
+        """All tables of one call become current together; postings follow the elements unless they are given."""
+        version, kept = self._current()
+        if "elements" in tables:
+            tables = {"postings": self._posts(tables["elements"]), "posting_stats": text.field_stats(tables["elements"])} | tables
+        self._commit(version + 1, kept, {n: ([[self._put(n, version + 1, df), None]], df.schema.json()) for n, df in tables.items()})
+
     def _posts(self, elements: DataFrame) -> DataFrame:
         return text.postings(elements).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int"))
 
@@ -163,24 +192,80 @@ class GraphStore:
         hit = reduce(lambda a, b: a | b, ((F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.lit(self.BUCKETS)).cast("int")) & (F.col("term") == t) for t in terms), F.lit(False))
         return found.filter(hit), self.read("posting_stats")
 
+    def _replace(self, files: DataFrame, keys: list[str], elements: DataFrame, edges: DataFrame, index: DataFrame | None, **whole: DataFrame) -> None:
+        """A layer over each table: elements of the same ``keys`` as ``files`` are hidden with all edges that touch them, elements of the same ids are replaced; ``whole`` tables are written anew. Ids belong to one repository."""
+        version, kept = self._current()
+        n, new = version + 1, {}
+        e, g = self.read("elements"), self.read("edges")
+        over = lambda name, path, gone: new.update({name: ([*kept[name][0], [path, gone]], kept[name][1])})
+        files = files.select(*keys).distinct()
+        put = self._put("elements", n, elements.select(*e.columns))
+        made = self._visible("elements", [[put, None]], kept["elements"][1])
+        repos = [r[0] for r in files.select("repo_id").union(made.select("repo_id")).distinct().limit(self.PRUNED + 1).collect()]
+        near = e.filter(F.col("repo_id").isin(repos)) if len(repos) <= self.PRUNED else e
+        victims = near.join(files, keys, "left_semi").select("id", F.lit(True).alias("victim")).unionByName(made.select("id", F.lit(False).alias("victim")))
+        gone = self._put("hidden", n, victims.groupBy("id").agg(F.max("victim").alias("victim")))
+        hidden = self.spark.read.parquet(gone)
+        over("elements", put, gone)
+
+        # Of the new edges those that are there already, and stay, aren't written again.
+        ends, by = hidden.filter("victim").select("id"), ["from_id", "edge_type", "to_id"]
+        fresh = valid_edges(edges.select(*g.columns))
+        same = g.join(fresh.select(*by), by, "left_semi").select(*by)
+        same = same.join(ends.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(ends.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
+        over("edges", self._put("edges", n, fresh.join(same, by, "left_anti")), gone)
+
+        if "postings" in kept:
+            over("postings", self._put("postings", n, self._posts(made).select(*self.read("postings").columns)), gone)
+            signed = lambda stats, by: stats.select("field", (F.col("docs") * by).alias("docs"), (F.col("total") * by).alias("total"))
+            parts = (signed(self.read("posting_stats"), 1), signed(text.field_stats(near.join(hidden, "id", "left_semi")), -1), signed(text.field_stats(made), 1))
+            whole["posting_stats"] = reduce(DataFrame.unionByName, parts).groupBy("field").agg(F.sum("docs").alias("docs"), F.sum("total").alias("total")).filter("docs > 0")
+        if "file_index" in kept:
+            known = self.read("file_index")
+            rows = known.limit(0) if index is None else index.select(*known.columns)
+            over("file_index", self._put("file_index", n, rows), self._put("hidden", n, known.join(files, keys, "left_semi").select("repo_id", "file_path")))
+        elif index is not None:
+            whole["file_index"] = index
+        new |= {name: ([[self._put(name, n, df), None]], df.schema.json()) for name, df in whole.items()}
+        self._commit(n, kept, new)
+        if any(len(layers) > self.LAYERS for layers, _ in new.values()):
+            self.compact()
+
+    def _bytes(self, path: str) -> int:
+        return self._fs.getContentSummary(self._path(path)).getLength()
+
+    def compact(self) -> None:
+        """Merge the layers of each table into one, or into the base where they hold a quarter of its bytes. A writer that comes first leaves them as they are, for the next time."""
+        version, kept = self._current()
+        new = {}
+        for name, (layers, schema) in kept.items():
+            base, *rest = layers
+            if not rest:
+                continue
+            if 4 * sum(self._bytes(p) for p, _ in rest) >= self._bytes(base[0]):
+                new[name] = ([[self._put(name, version + 1, self._visible(name, layers, schema)), None]], schema)
+            elif len(rest) > 1:
+                keys = reduce(DataFrame.unionByName, (self.spark.read.parquet(g) for _, g in rest))
+                keys = keys.groupBy("id").agg(F.max("victim").alias("victim")) if "victim" in keys.columns else keys.distinct()
+                new[name] = ([base, [self._put(name, version + 1, self._visible(name, rest, schema)), self._put("hidden", version + 1, keys)]], schema)
+        try:
+            self._commit(version + 1, kept, new)
+        except ConcurrentWrite:
+            return
+
     def replace_files(self, files: DataFrame, elements: DataFrame, edges: DataFrame, index: DataFrame | None = None) -> None:
         """Delete what came from ``files`` and put the new rows in, in postings and file_index (``index``: its new rows) too."""
-        e, g = self.read("elements"), self.read("edges")
-        if e is None:
+        if "elements" not in self._current()[1]:
             self.write(elements=elements, edges=valid_edges(edges), **({"file_index": index} if index is not None else {}))
-            return
-        elements = elements.select(*e.columns)
-        gone = e.join(files.select("repo_id", "file_path").distinct(), ["repo_id", "file_path"], "left_semi").select("id").unionByName(elements.select("id")).distinct()
-        left, g = delete_files(e, g, files)
-        made, more = upsert(left, elements, ["id"]), {}
-        posts = self.read("postings")
-        if posts is not None:
-            more["postings"] = posts.join(gone, "id", "left_anti").unionByName(self._posts(elements).select(*posts.columns))
-        known = self.read("file_index")
-        if known is not None:
-            known = known.join(files.select("repo_id", "file_path").distinct(), ["repo_id", "file_path"], "left_anti")
-            more["file_index"] = known if index is None else known.unionByName(index.select(*known.columns))
-        self.write(elements=made, edges=valid_edges(g.unionByName(edges.select(*g.columns))), **more)
+        else:
+            self._replace(files, ["repo_id", "file_path"], elements, edges, index)
+
+    def replace_repo(self, repo_id: str, elements: DataFrame, edges: DataFrame, index: DataFrame) -> None:
+        """As ``replace_files``, of all that a repository holds."""
+        if "elements" not in self._current()[1]:
+            self.write(elements=elements, edges=valid_edges(edges), file_index=index)
+        else:
+            self._replace(self.spark.createDataFrame([(repo_id,)], "repo_id string"), ["repo_id"], elements, edges, index)
 
     def set_repo(self, row: DataFrame) -> None:
         """A row of repos in place of that of its id."""
@@ -189,10 +274,6 @@ class GraphStore:
 
     def remove_repo(self, repo_id: str) -> None:
         """Its elements, their edges and postings, its indexed files and its row."""
-        old = self.read("elements")
-        e, g = delete_repo(old, self.read("edges"), repo_id)
-        more = {n: t.filter(F.col("id" if n == "repos" else "repo_id") != repo_id) for n in ("repos", "file_index") if (t := self.read(n)) is not None}
-        posts = self.read("postings")
-        if posts is not None:
-            more["postings"] = posts.join(old.filter(F.col("repo_id") == repo_id).select("id"), "id", "left_anti")
-        self.write(elements=e, edges=g, **more)
+        repos = self.read("repos")
+        whole = {} if repos is None else {"repos": repos.filter(F.col("id") != repo_id)}
+        self._replace(self.spark.createDataFrame([(repo_id,)], "repo_id string"), ["repo_id"], self.read("elements").limit(0), self.read("edges").limit(0), None, **whole)

@@ -1,6 +1,7 @@
 """The shared folder, written tables, and the store."""
 
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -76,3 +77,51 @@ def test_postings_follow_the_elements(spark, tmp_path):
     assert sorted((r["file_path"], r["last_modified"]) for r in at.read("file_index").collect()) == [("a", 2), ("c", 1)]
     at.remove_repo("q")
     assert ids("red") == [] and at.read("elements").count() == 1 and at.read("file_index").count() == 1
+
+
+def test_layers(spark, tmp_path, monkeypatch):
+    """Changes of files, layer by layer and merged, against the same changes made to plain tables; a change writes nothing but its own rows."""
+    monkeypatch.setattr(store.GraphStore, "LAYERS", 3)
+    at = store.GraphStore(spark, str(tmp_path / "s"))
+    dice = random.Random(3)
+    element, edge = "id string, repo_id string, file_path string, name string", "from_id string, edge_type string, to_id string"
+    key = lambda: (f"r{dice.randrange(2)}", f"f{dice.randrange(6)}")
+
+    def made(files):
+        e = [(f"{r}{f}-{i}", r, f, dice.choice(("red fox", "blue hen", "grey"))) for r, f in files for i in range(dice.randrange(4))]
+        ids = [f"r{r}f{f}-{i}" for r in range(2) for f in range(6) for i in range(3)]
+        return e, [(x[0] if dice.random() < 0.7 else dice.choice(ids), dice.choice(("CALLS", "EXTENDS")), dice.choice(ids)) for x in e for _ in range(3)]
+
+    e, g = made([(f"r{r}", f"f{f}") for r in range(2) for f in range(6)])
+    g = list(dict.fromkeys(g))
+    index = {(x[1], x[2]): 0 for x in e}
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    entries = "repo_id string, file_path string, last_modified long, file_hash string"
+    at.write(elements=frame(e, element), edges=frame(g, edge), file_index=frame([(*k, v, "h") for k, v in index.items()], entries))
+    base = at._current()[1]["elements"][0][0][0]
+    for step in range(1, 6):
+        files = list({key() for _ in range(2)})
+        more, links = made(files)
+        changed = [f for f in files if any((x[1], x[2]) == f for x in more)]
+        at.replace_files(frame(files, "repo_id string, file_path string"), frame(more, element), frame(links, edge), frame([(*f, step, "h") for f in changed], entries))
+        victims = {x[0] for x in e if (x[1], x[2]) in files}
+        e = [x for x in e if x[0] not in victims] + more
+        g = list(dict.fromkeys([x for x in g if x[0] not in victims and x[2] not in victims] + links))
+        index = {k: v for k, v in index.items() if k not in files} | dict.fromkeys(changed, step)
+        if step == 2:
+            layers = at._current()[1]
+            assert len(layers["elements"][0]) == 3 and layers["elements"][0][0][0] == base
+        assert sorted(tuple(r) for r in at.read("elements").select("id", "repo_id", "file_path", "name").collect()) == sorted(e)
+        assert sorted(tuple(r) for r in at.read("edges").select("from_id", "edge_type", "to_id").collect()) == sorted(g)
+        assert {(r[0], r[1]): r[2] for r in at.read("file_index").select("repo_id", "file_path", "last_modified").collect()} == index
+        posts, stats = at.postings(["red", "hen"])
+        assert sorted(r["id"] for r in posts.collect()) == sorted(x[0] for x in e if x[3] != "grey")
+        assert stats.filter("field = 'name'").first()["docs"] == len(e)
+    assert all(len(v[0]) <= 3 for v in at._current()[1].values())
+    at.remove_repo("r1")
+    assert sorted(r["id"] for r in at.read("elements").collect()) == sorted(x[0] for x in e if x[1] == "r0")
+    gone = {x[0] for x in e if x[1] == "r1"}
+    assert at.read("edges").count() == sum(x[0] not in gone and x[2] not in gone for x in g)
+    small = at._current()[1]
+    at.compact()
+    assert all(len(v[0]) <= len(small[k][0]) for k, v in at._current()[1].items()) and at.read("elements").count() == sum(x[1] == "r0" for x in e)
