@@ -52,6 +52,7 @@ class BlockParser:
         self.package = ""
         self.scopes: list[Scope] = []
         self.spans: list[tuple[int, int, dict]] = []
+        self.marks: list[tuple[int, int]] = []
         self.package_row: dict | None = None
 
     def _blank(self, m: re.Match) -> str:
@@ -130,6 +131,8 @@ class BlockParser:
             start += 1
         owner = next((s.row for s in reversed(self.scopes) if s.row is not None), None)
         row = self.rows.element(kind, name, qn, start, parent=owner, **more)
+        if self.marks:
+            row["_top"] = self.rows.line(self.marks[0][0])
         holder = owner or (self.package_row if kind not in ("IMPORT", "USE_DECLARATION", "PACKAGE") else None)
         if holder is not None:
             self.rows.edge(holder["id"], "CONTAINS", row["id"])
@@ -147,8 +150,21 @@ class BlockParser:
         self.scopes.append(Scope(kind, name, row, at))
 
     def begins(self, start: int, end: int) -> int:
-        """Where a declaration starts: past blanks and C++ access labels."""
-        return _AHEAD["CPP" if self.language == "CPP" else ""].match(self.code, start, end).end()
+        """Where a declaration starts: past blanks, C++ access labels and Rust attributes, which ``marks`` keeps."""
+        start = _AHEAD["CPP" if self.language == "CPP" else ""].match(self.code, start, end).end()
+        self.marks = []
+        while self.language == "RUST" and (m := re.compile(r"#!?\[").match(self.code, start, end)):
+            depth, at = 1, m.end()
+            while depth and at < end:
+                depth += (self.code[at] == "[") - (self.code[at] == "]")
+                at += 1
+            said = self.text[start:at]
+            inner = said.startswith("#!")  # that of the file or module around it
+            self.marks += [] if inner else [(start, at)]
+            if not inner and (not self.scopes or self.scopes[-1].kind == "namespace"):
+                self.rows.element("ATTRIBUTE", said, f"{self.rows.path}#attr@{self.rows.line(start)}:{said}", start, end=at)
+            start = _AHEAD[""].match(self.code, at, end).end()
+        return start
 
     def open(self, start: int, brace: int) -> None:
         start = self.begins(start, brace)
@@ -216,7 +232,7 @@ class BlockParser:
 
     def annotate(self, row: dict, names: list[str], start: int) -> None:
         for n in names:
-            mark = self.rows.element("DECORATOR" if self.language == "TYPESCRIPT" else "ATTRIBUTE" if self.language == "RUST" else "ANNOTATION", n, f"{row['qualified_name']}@{n}", row["_at"], parent=row)
+            mark = self.rows.element("DECORATOR" if self.language == "TYPESCRIPT" else "ANNOTATION", n, f"{row['qualified_name']}@{n}", row["_at"], parent=row)
             self.rows.edge(mark["id"], "ANNOTATES", row["id"])
 
     @staticmethod
@@ -328,14 +344,18 @@ class BlockParser:
 
     # -- Rust
 
+    def attribute(self, row: dict, marks: list[tuple[int, int]]) -> None:
+        for a, z in marks:
+            mark = self.rows.element("ATTRIBUTE", None, f"{row['qualified_name']}#attr:{self.text[a:z]}", a, parent=row, end=z)
+            self.rows.edge(mark["id"], "ANNOTATES", row["id"])
+
     def open_rust(self, head: str, start: int, brace: int) -> bool:
-        marks = re.findall(r"#\[\s*([\w:]+)", head)
-        head = re.sub(r"#!?\[[^\]]*\]\s*", "", head)
+        marks = self.marks
         vis = "public" if re.match(r"pub\b", head) else "private"
         if m := re.match(rf"(?:pub(?:\([^)]*\))?\s+)?(?:unsafe\s+)?(mod|struct|enum|trait|union)\s+({_NAME})", head):
             kind = {"mod": "MODULE", "struct": "STRUCT", "union": "STRUCT", "enum": "ENUM", "trait": "TRAIT"}[m[1]]
             row = self.type_row(kind, m[2], start, [], [], visibility=vis)
-            self.annotate(row, marks, start)
+            self.attribute(row, marks)
             self.push("namespace" if m[1] == "mod" else "type", m[2], row, brace)
             return True
         if m := re.match(rf"(?:unsafe\s+)?impl(?:\s*<[^{{]*?>)?\s+(?:([\w:]+)(?:<.*?>)?\s+for\s+)?([\w:]+)", head):
@@ -352,20 +372,19 @@ class BlockParser:
             owner = getattr(self.scopes[-1], "owner", None) if self.scopes else None
             self.callable("METHOD" if method else "FUNCTION", m[1], self.qualified(m[1]), start, brace, params, signature=head, return_type=m[3] or None, visibility=vis)
             row = self.scopes[-1].row
-            self.annotate(row, marks, start)
+            self.attribute(row, marks)
             if owner:
                 self.rows.edge(owner, "CONTAINS", row["id"])
             return True
         return False
 
     def say_rust(self, head: str, start: int, end: int) -> None:
-        head = re.sub(r"#!?\[[^\]]*\]\s*", "", head)
         if m := re.match(rf"(?:(?:const|async|unsafe)\s+)*fn\s+({_NAME})(?:<.*?>)?\s*\((.*?)\)\s*(?:->\s*(.*?))?$", head):
             self.callable("METHOD", m[1], self.qualified(m[1]), start, None, [], signature=head, return_type=m[3])
         elif m := re.match(r"(?:pub\s+)?use\s+(.+)$", head):
             self.rows.element("USE_DECLARATION", m[1], m[1], start, key=f"{self.rows.path}#use:{m[1]}")
         elif m := re.match(rf"(?:pub\s+)?struct\s+({_NAME})", head):
-            self.type_row("STRUCT", m[1], start, [], [])
+            self.attribute(self.type_row("STRUCT", m[1], start, [], []), self.marks)
         elif self.scopes and self.scopes[-1].kind == "type":
             kind = self.scopes[-1].row["element_type"]
             if kind == "ENUM" and (m := re.match(rf"({_NAME})", head)):
@@ -484,7 +503,7 @@ class BlockParser:
                 blocks[-1][1] = z
             else:
                 blocks.append([a, z, kind])
-        starts = {r["line_start"]: r for r in reversed(self.rows.elements) if r["element_type"] not in ("PARAMETER", "ANNOTATION", "DECORATOR", "ATTRIBUTE", "IMPORT")}
+        starts = {r.get("_top", r["line_start"]): r for r in reversed(self.rows.elements) if r["element_type"] not in ("PARAMETER", "ANNOTATION", "DECORATOR", "ATTRIBUTE", "IMPORT")}
         mark = {"JAVA": "javadoc", "GO": "godoc", "RUST": "rustdoc"}.get(self.language, "doc")
         for a, z, kind in blocks:
             target = starts.get(self.rows.line(z) + 1)

@@ -45,7 +45,7 @@ def test_java():
     ("lang", "text", "have", "edges"),
     [
         ("GO", "package m\nimport \"fmt\"\n// Doc.\ntype T struct {\n\tA int\n}\nfunc (t *T) Run(x int) error {\n\treturn helper()\n}\nfunc helper() error { return nil }\n", {("STRUCT", "m.T"), ("FIELD", "T.A"), ("METHOD", "m.T.Run"), ("FUNCTION", "m.helper"), ("IMPORT", "fmt"), ("COMMENT_DOC", "m.T#godoc")}, {("m.T.Run", "CALLS", "m.helper"), ("m.T#godoc", "DOCUMENTS", "m.T")}),
-        ("RUST", "use std::io;\n#[derive(Debug)]\nstruct P { pub x: i32 }\nenum E { A, B(i32) }\ntrait S { fn area(&self) -> f64; }\nimpl S for P { fn area(&self) -> f64 { 1.0 } }\nmod inner { fn f() {} }\n", {("STRUCT", "crate::P"), ("FIELD", "crate::P::x"), ("ENUM_CONSTANT", "crate::E::B"), ("TRAIT", "crate::S"), ("METHOD", "crate::P::area"), ("FUNCTION", "crate::inner::f"), ("USE_DECLARATION", "std::io"), ("ATTRIBUTE", "crate::P@derive")}, {("crate::P", "MIXES_IN", "crate::S"), ("crate::P", "CONTAINS", "crate::P::area")}),
+        ("RUST", "use std::io;\n#[derive(Debug)]\nstruct P { pub x: i32 }\nenum E { A, B(i32) }\ntrait S { fn area(&self) -> f64; }\nimpl S for P { fn area(&self) -> f64 { 1.0 } }\nmod inner { fn f() {} }\n", {("STRUCT", "crate::P"), ("FIELD", "crate::P::x"), ("ENUM_CONSTANT", "crate::E::B"), ("TRAIT", "crate::S"), ("METHOD", "crate::P::area"), ("FUNCTION", "crate::inner::f"), ("USE_DECLARATION", "std::io"), ("ATTRIBUTE", "crate::P#attr:#[derive(Debug)]")}, {("crate::P", "MIXES_IN", "crate::S"), ("crate::P", "CONTAINS", "crate::P::area")}),
         ("TYPESCRIPT", "import { A } from './a';\nclass Bar { }\nexport class Foo extends Bar {\n  private x: number = 1;\n  constructor(a: string) { }\n  run(a, b: number): void { }\n}\nconst f = (a: number) => { return h(a) }\nfunction h() { }\n", {("IMPORT", "./a"), ("CLASS", "Foo"), ("FIELD", "Foo.x"), ("METHOD", "Foo.run(any,number)"), ("CONSTRUCTOR", "Foo.constructor(string)"), ("FUNCTION", "f")}, {("Foo", "EXTENDS", "Bar"), ("f", "CALLS", "h")}),
         ("C", '#include "a.h"\nstruct S { int a; };\nenum E { ONE, TWO };\nint add(int a) { return a; }\nint main(void) { return add(1); }\n', {("IMPORT", "a.h"), ("FIELD", "S.a"), ("ENUM_CONSTANT", "E.TWO"), ("FUNCTION", "main")}, {("main", "CALLS", "add")}),
         ("CPP", "namespace ns { class B { public: virtual void f() = 0; }; class A { }; class D : public A { int x; public: D(int a) {} ~D() {} }; }\n", {("NAMESPACE", "ns"), ("INTERFACE", "ns::B"), ("CLASS", "ns::D"), ("FIELD", "ns::D::x"), ("CONSTRUCTOR", "ns::D::D(int)"), ("METHOD", "ns::D::~D()")}, {("ns::D", "EXTENDS", "ns::A")}),
@@ -132,3 +132,17 @@ def test_registry_order_and_browse(tmp_path):
     (tmp_path / ".h").mkdir()
     assert [d["name"] for d in scan.browse(str(tmp_path))] == ["..", "b"]
     assert scan.load_config(str(tmp_path / "none.yaml"))["indexerThreads"] == 4
+
+
+def test_rust_attributes(spark):
+    """An item begins below its attributes, and a doc comment above them is the item's."""
+    text = "//! File.\n#![allow(x)]\n/// Doc.\n#[derive(Debug, Clone)]\n#[cfg(any(a[0]))]\npub struct P {\n    #[serde] x: i32,\n}\n#[inline] fn f() {\n}\n#[unit]\nstruct U;\n"
+    elements, edges, _ = scan.parse_files(spark.createDataFrame([("r", "a.rs", text)], "repo_id string, file_path string, content string"))
+    rows = {r.qualified_name: r for r in elements.collect()}
+    assert (rows["crate::P"].line_start, rows["crate::P"].line_end, rows["crate::P"].doc_comment) == (6, 8, "Doc.") and rows["crate::P"].snippet.startswith("pub struct")
+    assert (rows["crate::f"].line_start, rows["crate::f"].col_start, rows["crate::U"].line_start, rows["crate::P::x"].line_start) == (9, 11, 12, 7)
+    own = "crate::P#attr:#[cfg(any(a[0]))]"
+    assert (rows[own].line_start, rows[own].snippet, rows[own].parent_id, rows[own].name) == (5, "#[cfg(any(a[0]))]", rows["crate::P"].id, None)
+    assert rows["a.rs#attr@4:#[derive(Debug, Clone)]"].name == "#[derive(Debug, Clone)]" and not any("serde" in q or "allow" in q for q in rows)
+    ids = {r.id: q for q, r in rows.items()}
+    assert {(ids[e.from_id], ids[e.to_id]) for e in edges.collect() if e.edge_type == "ANNOTATES"} == {("crate::P#attr:#[derive(Debug, Clone)]", "crate::P"), (own, "crate::P"), ("crate::f#attr:#[inline]", "crate::f"), ("crate::U#attr:#[unit]", "crate::U")}
