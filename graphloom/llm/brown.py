@@ -19,13 +19,13 @@ from .common import materialize, replaced
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Words that exchange moves one by one, ahead of all others; classes; rounds after which it stops even if words still move.
-CORE, CLASSES, ROUNDS = 1000, 32, 30
-#: A word seen at least so often in training joins a class by exchange, against the classes of those before it; rarer ones keep a class by shape.
-SEEN = 3
+#: Words that exchange moves one by one until none moves, ahead of all others; classes.
+CORE, CLASSES = 1000, 32
+#: A word seen at least so often in training joins a class by exchange, against the classes of those before it: every word of the training rows.
+SEEN = 1
 #: Words that every task holds (the commonest, none of over 256 bytes); all others go through joins. Sizes of the model's parts, not limits on the corpus: counts are of all of it.
 HELD, HELD_BYTES = 200_000, 256
-#: Classes by shape: of the end of a text, of rare words, of words ahead of their exchange.
+#: Classes by shape: of the end of a text, of unseen words, of words ahead of their exchange.
 SHAPES, END = 7, b""
 _FLUSH, _CHUNK, _LEFT, _RIGHT = 400_000, 1 << 19, 0, 128
 
@@ -75,7 +75,7 @@ def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def encode(docs: DataFrame, training: Column, held: list[bytes], text_col: str) -> DataFrame:
-    """docs without the text, with _train, _ids (binary: for each token its place among ``held``, or -1 - shape) and _rare (binary: the hashes of the others, in turn). Each text is cut into tokens once; all later passes read this."""
+    """docs without the text, with _row (a number of its own), _train, _ids (binary: for each token its place among ``held``, or -1 - shape) and _rare (binary: the hashes of the others, in turn). Each text is cut into tokens once; all later passes read this."""
     names = [c for c in docs.columns if c != text_col]
 
     def run(batches):
@@ -93,7 +93,7 @@ def encode(docs: DataFrame, training: Column, held: list[bytes], text_col: str)
             yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in (*names, "_train")), pa.array(ids, pa.binary()), pa.array(rare, pa.binary())], [*names, "_train", "_ids", "_rare"])
 
     kinds = [*(docs.schema[c] for c in names), *T._parse_datatype_string("_train boolean, _ids binary, _rare binary").fields]
-    return materialize(docs.withColumn("_train", F.coalesce(training, F.lit(False))).mapInArrow(run, T.StructType(kinds)))
+    return materialize(docs.withColumn("_train", F.coalesce(training, F.lit(False))).mapInArrow(run, T.StructType(kinds)).withColumn("_row", F.monotonically_increasing_id()))
 
 
 def _chunks(batches):
@@ -259,41 +259,103 @@ def settle_held(coded: DataFrame, classes: np.ndarray, movable: np.ndarray, grid
     return out
 
 
-def settle_rare(coded: DataFrame, classes: np.ndarray, grid: np.ndarray, learned: int, seen: int) -> tuple[DataFrame, np.ndarray]:
-    """((h, class) of the words that no task holds, what that moves in the counts of (class before, class)). As contexts they keep the class of their shape, so the classes before them alone decide."""
+def settle_rare(coded: DataFrame, classes: np.ndarray, grid: np.ndarray, learned: int, seen: int, contexts: bool = False) -> tuple[DataFrame, np.ndarray]:
+    """((h, class) of the words that no task holds, how many tokens and words of theirs each class gets). With ``contexts`` the classes on both sides decide; without, such words keep the class of their shape as contexts, so the classes before them alone decide."""
     total = len(grid)
 
     def count(batches):
         for ids, rare, _ in _chunks(batches):
             k = _classes_of(ids, classes, total - SHAPES)
             at = np.flatnonzero(ids < 0)
-            h, v = _packed(rare, _LEFT + np.r_[total - SHAPES, k[:-1]][at])
+            x = [_LEFT + np.r_[total - SHAPES, k[:-1]][at], *([_RIGHT + np.r_[k[1:], total - SHAPES][at]] if contexts else [])]
+            h, v = _packed(np.tile(rare, len(x)), np.concatenate(x))
             s = np.zeros(len(h), np.int32)
             s[np.searchsorted(h, rare)] = -1 - ids[at]
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(s), v], ["k", "s", "v"])
 
     def choose(batches):
-        cells = np.zeros((total, total), np.int64)
+        sizes = np.zeros((2, total), np.int64)
         for k, s, starts, x, n in _by_word(batches):
-            own = (total - SHAPES + s).astype(np.int64)
-            c = np.where(np.add.reduceat(n, starts) >= seen, settle(starts, x, n, own, grid, learned), own)
-            times = np.diff(np.r_[starts, len(x)])
-            np.add.at(cells, (x, np.repeat(c, times)), n)
-            np.add.at(cells, (x, np.repeat(own, times)), -n)
+            own, times = (total - SHAPES + s).astype(np.int64), np.add.reduceat(np.where(x < _RIGHT, n, 0), starts)
+            c = np.where((times >= seen) & (s > 0), settle(starts, x, n, own, grid, learned), own)
+            np.add.at(sizes, (0, c), times)
+            np.add.at(sizes, (1, c), 1)
             yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(k), np.int32)), pa.array(k), pa.array(c.astype(np.int64))], ["kind", "h", "x"])
-        at = np.flatnonzero(cells)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), np.int32)), pa.array(at), pa.array(cells.ravel()[at])], ["kind", "h", "x"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.ones(2 * total, np.int32)), pa.array(np.arange(2 * total)), pa.array(sizes.ravel())], ["kind", "h", "x"])
 
     rows = coded.filter("_train").select("_ids", "_rare").mapInArrow(count, "k bigint, s int, v binary")
     made = materialize(rows.repartition("k").sortWithinPartitions("k").mapInArrow(choose, "kind int, h bigint, x bigint"))
-    cells = np.zeros(total * total, np.int64)
-    for r in made.filter("kind = 1").groupBy("h").agg(F.sum("x").alias("x")).collect():  # total squared at most
-        cells[r["h"]] = r["x"]
-    return made.filter("kind = 0").select("h", F.col("x").cast("int").alias("class")), cells.reshape(total, total)
+    sizes = np.zeros(2 * total, np.int64)
+    for r in made.filter("kind = 1").groupBy("h").agg(F.sum("x").alias("x")).collect():  # two rows a class
+        sizes[r["h"]] = r["x"]
+    return made.filter("kind = 0").select("h", F.col("x").cast("int").alias("class")), sizes.reshape(2, total)
+
+
+def rare_steps(coded: DataFrame, outside: DataFrame, classes: np.ndarray, total: int, contexts: bool) -> DataFrame:
+    """(_r, _train, _more, _add, _old, _new) of rows with words that no task holds, in one row or some: how many of these words ``outside`` (h, c, class) knows, the log10 of their counts plus one, and the steps from class to class that their classes change: with all of them in the class of their shape, and as they are (binary: 16-bit class before * total + class)."""
+    first = total - SHAPES
+
+    def cut(batches):
+        for b in batches:
+            rows, train = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
+            done = 0
+            for ids, hashes, sizes in _chunks([b]):
+                k, odd, text = _classes_of(ids, classes, first), ids < 0, np.repeat(np.arange(len(sizes)), sizes)
+                head, tail = np.cumsum(sizes) - sizes, np.cumsum(sizes) - 1
+                before, after = np.where(np.r_[False, odd[:-1]], 0, np.r_[first, k[:-1]] + 1), np.where(np.r_[odd[1:], False], 0, np.r_[k[1:], first] + 1)
+                before[head], after[tail] = first + 1, 0
+                each = np.bincount(text[odd], minlength=len(sizes))
+                place = np.arange(len(hashes)) - np.repeat(np.cumsum(each) - each, each)
+                at = done + text[odd]
+                x = place << 20 | train[at] << 19 | (-1 - ids[odd]).astype(np.int64) << 16 | before[odd] << 8 | after[odd]
+                yield pa.RecordBatch.from_arrays([pa.array(rows[at]), pa.array(hashes), pa.array(x)], ["_r", "h", "x"])
+                done += len(sizes)
+
+    def steps(batches):
+        last = np.zeros(2, np.int64)
+        for b in batches:
+            if not len(b):
+                continue
+            r, x, found, c = (col.to_numpy() for col in b.columns)
+            shaped = first + (x >> 16 & 7)
+            cls = np.where(found < 0, shaped, found)
+            old, new = shaped, cls if contexts else shaped  # as contexts
+            before, after = x >> 8 & 255, x & 255
+            codes = []
+            for own, context, k in ((shaped, old, 0), (cls, new, 1)):
+                codes.append(np.c_[np.where(before > 0, before - 1, np.r_[last[k], context[:-1]]) * total + own, np.where(after > 0, context * total + after - 1, 0)].ravel())
+                last[k] = context[-1]
+            kept = codes[0] != codes[1]
+            starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
+            offsets = pa.py_buffer((2 * np.r_[0, np.cumsum(np.add.reduceat(kept.astype(np.int64), 2 * starts))]).astype(np.int32).tobytes())
+            sums = (np.add.reduceat((c > 0).astype(np.int64), starts), np.add.reduceat(np.log10(c + 1.0), starts))
+            changed = (pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, offsets, pa.py_buffer(e[kept].astype(np.uint16).tobytes())]) for e in codes)
+            yield pa.RecordBatch.from_arrays([pa.array(r[starts]), pa.array((x[starts] >> 19 & 1).astype(bool)), *map(pa.array, sums), *changed], ["_r", "_train", "_more", "_add", "_old", "_new"])
+
+    each = coded.select("_row", "_train", "_ids", "_rare").mapInArrow(cut, "_r bigint, h bigint, x bigint").join(outside, "h", "left")
+    each = each.select("_r", "x", F.coalesce("class", F.lit(-1)).cast("bigint").alias("class"), F.coalesce("c", F.lit(0)).cast("bigint").alias("c"))
+    return materialize(each.repartition("_r").sortWithinPartitions("_r", "x").mapInArrow(steps, "_r bigint, _train boolean, _more bigint, _add double, _old binary, _new binary"))
+
+
+def changed_counts(steps: DataFrame, total: int) -> np.ndarray:
+    """What the training rows of ``steps`` move in the counts of (class before, class)."""
+
+    def run(batches):
+        cells = np.zeros(total * total, np.int64)
+        for b in batches:
+            for column, sign in zip(b.columns, (-1, 1)):
+                cells += sign * np.bincount(np.frombuffer(b"".join(column.to_pylist()), np.uint16), minlength=total * total)
+        at = np.flatnonzero(cells)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(cells[at])], ["i", "x"])
+
+    out = np.zeros(total * total, np.int64)
+    for r in steps.filter("_train").select("_old", "_new").mapInArrow(run, "i bigint, x bigint").groupBy("i").agg(F.sum("x").alias("x")).collect():  # total squared at most
+        out[r["i"]] = r["x"]
+    return out.reshape(total, total)
 
 
-def exchange(pairs: np.ndarray, words_: int, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """The class of each row of ``pairs``: the first ``words_`` are moved to the class that raises the class bigram likelihood most, in turn, until none moves (or for ``rounds``); each other row keeps a class of its own."""
+def exchange(pairs: np.ndarray, words_: int, classes: int = CLASSES) -> np.ndarray:
+    """The class of each row of ``pairs``: the first ``words_`` are moved to the class that raises the class bigram likelihood most, in turn, until none moves; each other row keeps a class of its own. Moves that raise it by no more than a float's last digits end it too, so it ends for any counts."""
     n = len(pairs)
     total = classes + n - words_
     cls = np.r_[np.arange(words_) % classes, np.arange(classes, total)]
@@ -301,8 +363,9 @@ def exchange(pairs: np.ndarray, words_: int, classes: int = CLASSES, rounds: int
     right, left = pairs @ one, pairs.T @ one  # by word: counts to and from each class
     grid = one.T @ right
     f = lambda x: x * np.log(np.maximum(x, 1))
-    for _ in range(rounds):
-        moved = 0
+    best, moved = -np.inf, 1
+    while moved and (now := f(grid).sum() - f(grid.sum(0)).sum() - f(grid.sum(1)).sum()) > best:
+        best, moved = now, 0
         for w in range(words_):
             a, own = cls[w], pairs[w, w]
             r, l = right[w].copy(), left[w].copy()  # noqa: E741
@@ -333,29 +396,38 @@ def exchange(pairs: np.ndarray, words_: int, classes: int = CLASSES, rounds: int
                 grid[b] += r
                 grid[:, b] += l
                 grid[b, b] += own
-        if not moved:
-            break
     return cls
 
 
-def score_texts(docs: DataFrame, training: Column, text_col: str = "text", core: int = CORE, classes: int = CLASSES, seen: int = SEEN, held: int = HELD) -> DataFrame:
+def held_words(vocab: DataFrame, held: int) -> Column:
+    """Which rows of ``vocab`` (w, h, c) every task holds: the commonest, ``held`` at most. Of words seen equally often that don't all fit, those of the first of 4,096 parts by their hash."""
+    small, part = F.octet_length("w") <= HELD_BYTES, F.shiftrightunsigned("h", 52)
+    room, level, parts = held, 0, 0
+    for r in vocab.filter(small).groupBy("c").count().orderBy(F.desc("c")).toLocalIterator():
+        if r["count"] <= room:
+            room -= r["count"]
+            continue
+        level = r["c"]
+        for p in vocab.filter(small & (F.col("c") == level)).groupBy(part.alias("p")).count().orderBy("p").collect():  # 4,096 at most
+            if p["count"] > room:
+                break
+            room, parts = room - p["count"], p["p"] + 1
+        break
+    return small & ((F.col("c") > level) | ((F.col("c") == level) & (part < parts)))
+
+
+def score_texts(docs: DataFrame, training: Column, text_col: str = "text", core: int = CORE, classes: int = CLASSES, seen: int = SEEN, held: int = HELD, contexts: bool = False) -> DataFrame:
     """docs (without the text) with ``_n_tokens``, ``_n_known``, ``_train_tokens``, ``_base`` and ``_score``: log10 probabilities of the whole text.
 
     base: add-one unigrams. score: P(class | class before) P(word | class), both add-one; V + 1 words of a class, for one unseen. Statistics are of all rows where ``training`` holds.
-    Exchange runs in three steps: the ``core`` commonest words one by one until none moves, then every other held word, then every word that no task holds and that was seen ``seen`` times, each against the classes found before. Words of the last kind, and unseen ones, act as contexts by the class of their shape.
-    Counts of the ``held`` commonest words go to every task; those of the others are joined by hash. A null text counts as empty (its end is still a token); repeated rows stay; with no training rows every count is 0; an empty table gives none.
+    Exchange runs in three steps: the ``core`` commonest words one by one until none moves, then every other held word, then every word that no task holds, each against the classes found before; words seen fewer than ``seen`` times keep the class of their shape, as unseen ones do.
+    Counts of the ``held`` commonest words go to every task; those of the others, and their classes, are joined by hash. With ``contexts`` these too act as contexts by the classes they have joined, so ``held`` decides where a word is counted, not how; without, by the class of their shape. A null text counts as empty (its end is still a token); repeated rows stay; with no training rows every count is 0; an empty table gives none.
     """
-    docs = replaced(docs, "_row", "_r", "_n_tokens", "_n_known", "_held", "_logs", "_moves", "_more", "_add", "_train_tokens", "_base", "_score", "_train", "_ids", "_rare", "_times", "_ctx")
+    docs = replaced(docs, "_row", "_r", "_n_tokens", "_n_known", "_held", "_logs", "_moves", "_more", "_add", "_better", "_train_tokens", "_base", "_score", "_train", "_ids", "_rare")
     names = [c for c in docs.columns if c != text_col]
     vocab = materialize(word_counts(docs.filter(training), text_col))
     v, n = vocab.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    small = F.octet_length("w") <= HELD_BYTES
-    known, least = 0, 1 << 62
-    for r in vocab.filter(small).groupBy("c").count().orderBy(F.desc("c")).toLocalIterator():
-        if known + r["count"] > held:
-            break
-        known, least = known + r["count"], r["c"]
-    is_held = small & (F.col("c") >= least)
+    is_held = held_words(vocab, held)
     got = vocab.filter(is_held).select("w", "c").toArrow()
     common = dict(zip(got["w"].to_pylist(), got["c"].to_pylist()))
     order = sorted(common, key=lambda w: (w == END, -common[w], w))
@@ -373,22 +445,20 @@ def score_texts(docs: DataFrame, training: Column, text_col: str = "text", core:
     if movable.any():
         placed = settle_held(coded, placed, movable, one.T @ pairs @ one, learned)
     grid = square_counts(coded, placed, total)
-    rare, cells = settle_rare(coded, placed, grid, learned, seen)
-    outside = materialize(vocab.filter(~is_held).select("h", "s", "c").join(rare, "h", "left").select("h", "c", (F.col("s") + learned).alias("shape"), F.coalesce("class", F.col("s") + learned).alias("class")))
-    grid += cells
+    rare, (tokens_, words_) = settle_rare(coded, placed, grid, learned, seen, contexts)
+    outside = materialize(vocab.filter(~is_held).select("h", "c").join(rare, "h"))
+    steps = rare_steps(coded, outside, placed, total, contexts)
+    grid += changed_counts(steps, total)
     step = np.log10((grid + 1) / (grid.sum(1, keepdims=True) + total))
-    size, types = np.bincount(placed, counts, total), np.bincount(placed, minlength=total).astype(float)
-    for r in outside.groupBy("class").agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect():  # one row a class
-        size[r["class"]] += r["n"]
-        types[r["class"]] += r["v"]
+    size, types = np.bincount(placed, counts, total) + tokens_, np.bincount(placed, minlength=total) + words_
     moves = step - np.log10(size + types + 1)
     floor = -np.log10(n + v + 1)
     logs = np.log10(counts + 1.0)
 
     def run(batches):
         for b in batches:
-            cols = [[] for _ in range(6)]
-            for ids, hashes, sizes in _chunks([b]):
+            cols = [[] for _ in range(4)]
+            for ids, _, sizes in _chunks([b]):
                 k = _classes_of(ids, placed, learned)
                 before = np.r_[learned, k[:-1]]
                 starts, odd = np.cumsum(sizes) - sizes, ids < 0
@@ -397,20 +467,18 @@ def score_texts(docs: DataFrame, training: Column, text_col: str = "text", core:
                 cols[1] += (sizes - np.add.reduceat(odd.astype(np.int64), starts)).tolist()
                 cols[2] += np.add.reduceat(each, starts).tolist()
                 cols[3] += np.add.reduceat(moves[before, k], starts).tolist()
-                cut = np.r_[0, np.cumsum(np.add.reduceat(odd.astype(np.int64), starts))]
-                context = before[odd].astype(np.int32)
-                for a, z in zip(cut[:-1].tolist(), cut[1:].tolist()):
-                    cols[4].append(hashes[a:z])
-                    cols[5].append(context[a:z])
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int32()))
-            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in names), *(pa.array(c, k) for c, k in zip(cols, kinds))], [*names, "_n_tokens", "_held", "_logs", "_moves", "_rare", "_ctx"])
-
-    more = "_n_tokens bigint, _held bigint, _logs double, _moves double, _rare array<bigint>, _ctx array<int>"
-    done = materialize(coded.mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), *T._parse_datatype_string(more).fields])).withColumn("_row", F.monotonically_increasing_id()))
-    flat = F.lit(moves.ravel().tolist())
-    better = F.element_at(flat, F.col("ctx") * total + F.col("class") + 1) - F.element_at(flat, F.col("ctx") * total + F.col("shape") + 1)
-    each = done.select(F.col("_row").alias("_r"), F.explode(F.arrays_zip("_rare", "_ctx")).alias("x")).select("_r", F.col("x._rare").alias("h"), F.col("x._ctx").alias("ctx"))
-    found = each.join(outside, "h").groupBy("_r").agg(F.count("*").alias("_more"), F.sum(F.log10(F.col("c") + 1)).alias("_add"), F.sum(better).alias("_better"))
+            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in (*names, "_row")), *(pa.array(c, k) for c, k in zip(cols, kinds))], [*names, "_row", "_n_tokens", "_held", "_logs", "_moves"])
+
+    def change(batches):
+        flat = moves.ravel()
+        for b in batches:
+            better = [float((flat[np.frombuffer(z, np.uint16)] - flat[np.frombuffer(a, np.uint16)]).sum()) for a, z in zip(b.column(3).to_pylist(), b.column(4).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(better, pa.float64())], ["_r", "_more", "_add", "_better"])
+
+    more = "_row bigint, _n_tokens bigint, _held bigint, _logs double, _moves double"
+    done = coded.mapInArrow(run, T.StructType([*(docs.schema[c] for c in names), *T._parse_datatype_string(more).fields]))
+    found = steps.select("_r", "_more", "_add", "_old", "_new").mapInArrow(change, "_r bigint, _more bigint, _add double, _better double").groupBy("_r").agg(*(F.sum(c).alias(c) for c in ("_more", "_add", "_better")))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     known_logs = F.col("_logs") + zero("_add")
     return done.join(found, F.col("_row") == F.col("_r"), "left").select(

@@ -600,6 +600,55 @@ def test_score_is_that_of_its_classes(spark, docs, monkeypatch, held):
         assert abs(got[i] - want) < 1e-6 * max(1, abs(want))
 
 
+def test_exchange_runs_until_none_moves():
+    """Each word follows its right neighbour, so classes move along a chain of 78 words by one a round."""
+    n = 80
+    pairs, w = np.zeros((n + 1, n + 1), np.int64), np.arange(2, n - 1)
+    pairs[0, 0] = pairs[1, 1] = 10**7
+    pairs[w, w + 1] = pairs[w + 1, w] = w
+    assert brown.exchange(pairs, n, 2).tolist() == [0] + [1] * (n - 1) + [2]
+
+
+@pytest.mark.parametrize("held", [brown.HELD, 40, 0])
+def test_every_word_has_a_class_and_acts_by_it(spark, docs, monkeypatch, held):
+    """As op10 runs it: words seen once join classes by exchange, and words that no task holds act as contexts by theirs; rows of many batches."""
+    spied = {}
+    for name in ("encode", "settle_held", "settle_rare", "exchange"):
+        monkeypatch.setattr(brown, name, lambda *a, f=getattr(brown, name), n=name, **k: spied.setdefault(n, [*a, f(*a, **k)])[-1])
+    given = [(i, t) for i, t in docs[:60]] + [(900, None), (901, "neverseen word2 neverseen"), (902, "x" * 300 + " word2 " + "x" * 300), (903, ""), (904, "x" * 300)]
+    out = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        got = {r["doc_id"]: r for r in brown.score_texts(spark.createDataFrame(given, "doc_id long, text string"), F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2, core=20, classes=4, held=held, contexts=True).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    order = {w: i for i, w in enumerate(spied["encode"][2])}
+    learned = spied["settle_rare"][3]
+    placed = spied["settle_held"][-1] if "settle_held" in spied else spied["exchange"][-1][np.minimum(np.arange(len(order)), 20 + np.array([brown.shape(w) for w in order], int))]
+    rare = {r["h"]: r["class"] for r in spied["settle_rare"][-1][0].collect()}
+
+    def place(w):
+        h = xxhash.xxh64_intdigest(w, 42)
+        return (int(placed[order[w]]) if w in order else rare.get(h - (1 << 64) * (h >> 63), learned + brown.shape(w)),) * 2
+
+    for (i, _), want in zip(given, plain_score(given, out, place, learned + brown.SHAPES)):
+        assert abs(got[i]["_score"] - want) < 1e-6 * max(1, abs(want))
+    count = Counter(w for i, t in given if not out(i) for w in [*(t or "").encode().lower().split(), b""])
+    assert [got[i]["_n_known"] for i, _ in given] == [sum(w in count for w in [*(t or "").encode().lower().split(), b""]) for _, t in given]
+    assert sum(place(w)[0] < learned for w in count if count[w] == 1) > 0.5 * sum(c == 1 for c in count.values()) and place(b"")[0] == learned
+
+
+def test_words_seen_equally_often_are_held(spark, monkeypatch):
+    """A corpus whose words are all seen once: those that fit are held, so exchange has words to move."""
+    spied = {}
+    for name in ("encode", "exchange"):
+        monkeypatch.setattr(brown, name, lambda *a, f=getattr(brown, name), n=name, **k: spied.setdefault(n, [*a, f(*a, **k)])[-1])
+    frame = spark.createDataFrame([(i, " ".join(f"w{i}x{j}" for j in range(10))) for i in range(20)], "doc_id long, text string")
+    out = brown.score_texts(frame, F.lit(True), core=20, classes=4, held=60, contexts=True).collect()
+    assert 40 < len(spied["encode"][2]) <= 60 and spied["exchange"][1] == 20
+    assert {r["_n_known"] for r in out} == {11} and all(abs(r["_base"] - (10 * np.log10(2 / 422) + np.log10(21 / 422))) < 1e-6 for r in out)
+
+
 def test_classes_beat_the_base(spark, sf):
     out = queries.op10_lm_scoring(spark, sf).filter("held_out").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > out[1]
