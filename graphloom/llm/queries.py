@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import attention_mil, brown, byte_repeats, chat, line_crf, line_runs, mixing, oracles, sharding, simhash, tiling
+from . import attention_mil, brown, byte_repeats, chat, divergence, line_crf, line_runs, mixing, oracles, sharding, simhash, tiling, url_templates, vantage
 from .common import remainder, table
 
 #: Share of a benchmark item's tokens from which a document counts as contaminated.
 CONTAMINATED = 0.5
 #: Words beyond which a repeated line goes by itself.
 LONG_LINE = 50
+#: Rules of urls, given.
+URL_RULES = {"com/": "allow", "example.com/en/": "block", "www.example.com/en/": "allow", "net/es/": "block", "net/fr/": "block"}
 DOMAINS = ("web", "forum", "books", "code")
 #: Target weights of nodes among their siblings; a node without one has 1.
 WEIGHTS = {("web",): 4.0, ("forum",): 1.0, ("books",): 3.0, ("code",): 2.0, ("web", "en"): 3.0, ("web", "de"): 0.5, ("books", "fr"): 2.0, ("code", "es"): 0.0}
@@ -84,5 +86,19 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), *(F.col(a).alias(b) for a, b in (("_n_tokens", "n_tokens"), ("_n_known", "n_known"), ("_train_tokens", "train_tokens"), ("_base", "base_score"), ("_score", "score"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash, op3_sharding, op4_line_dedup, op5_suffix_dedup, op6_mixing, op7_quality_rules, op8_decontamination, op9_chat, op10_lm_scoring)}
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = url_templates.filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"), URL_RULES)
+    return out.select("page_id", *(F.col(f"_{n}").alias(n) for n in ("host", "path", "rule", "verdict", "template")))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=30, top=50)
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return vantage.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label, positives=5, k=10, low=30, high=90, scale=256)
+
+
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_simhash, op3_sharding, op4_line_dedup, op5_suffix_dedup, op6_mixing, op7_quality_rules, op8_decontamination, op9_chat, op10_lm_scoring, op11_url_filter, op12_divergence, op13_hard_negatives)}
 ORACLES = oracles.ORACLES
