@@ -1,16 +1,24 @@
-"""Source divergence audit: an inverted index of terms that only emits corrections to a baseline, in DataFrame operations alone."""
+"""Source divergence audit: an inverted index of terms that only emits corrections to a baseline."""
 
 from __future__ import annotations
 
 import string
+import sys
+from collections import _count_elements
 
+import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: What is between terms, which are of letters A to Z and all that isn't ASCII.
-BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Bytes of a text as its terms have them: terms are of letters, a to z for A to Z, and of all bytes of characters that aren't ASCII; all else is between them.
+_LOWERED = bytes(c if c >= 128 or chr(c) in string.ascii_lowercase else c + 32 if chr(c) in string.ascii_uppercase else 32 for c in range(256))
+#: Counts that a task holds before it hands them on.
+FLUSH = 400_000
 #: What a share of 1 counts as, and what each count is raised by.
 SCALE, PRIOR = 1_000_000_000, 5
 #: Sources that one list of postings is meant to hold.
@@ -25,14 +33,35 @@ def _share(count: str, total: str, terms: str) -> Column:
 def term_counts(docs: DataFrame, lang: str = "lang", source: str = "source", text_col: str = "text") -> DataFrame:
     """(lang, source, term, n, docs): occurrences of each term in a group, and the rows that hold it.
 
-    Only A to Z are lower-cased. A row's terms are sorted, so the first of each run of equal ones counts the row; counts are summed before the shuffle, however many rows a group has.
+    Only A to Z are lower-cased. Tasks count by group as they read and hand on what they have counted, so a group or a term with very many rows is a few rows in the shuffle; a task never holds more than about FLUSH counts.
     """
-    found = F.split(F.coalesce(F.col(text_col).cast("string"), F.lit("")), BETWEEN)  # '' stands before and after the outer ones
-    low = F.transform(found, lambda w: F.when(w == F.lower(w), w).otherwise(F.translate(w, string.ascii_uppercase, string.ascii_lowercase)))
-    rows = docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.sort_array(low).alias("w"))
-    first = lambda w, i: F.struct(w.alias("term"), F.when(F.get("w", i - 1).eqNullSafe(w), 0).otherwise(1).alias("first"))
-    each = rows.select("lang", "source", F.explode(F.transform("w", first)).alias("t")).filter("t.term <> ''")
-    return each.groupBy("lang", "source", "t.term").agg(F.count("*").alias("n"), F.sum("t.first").alias("docs"))
+    counted = "lang string, source string, term binary, n bigint, docs bigint"
+
+    def run(batches):
+        seen: dict[tuple[str, str], tuple[dict, dict]] = {}
+        size = 0
+
+        def out(seen):
+            for (own, src), (n, held) in seen.items():
+                yield pa.RecordBatch.from_arrays([pa.array([own] * len(n), pa.string()), pa.array([src] * len(n), pa.string()), pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64()), pa.array([held[w] for w in n], pa.int64())], ["lang", "source", "term", "n", "docs"])
+
+        for b in batches:
+            for own, src, text in zip(*(c.to_pylist() for c in b.columns)):
+                words = text.translate(_LOWERED).split()
+                n, held = seen.setdefault((own, src), ({}, {}))
+                size -= len(n)
+                _count_elements(n, words)
+                _count_elements(held, set(words))
+                size += len(n)
+                if size > FLUSH:
+                    yield from out(seen)
+                    seen, size = {}, 0
+        yield from out(seen)
+
+    given = (F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (lang, source, text_col))
+    own, src, text = given
+    each = docs.select(own.alias("lang"), src.alias("source"), text.cast("binary").alias("text")).mapInArrow(run, counted)
+    return each.groupBy("lang", "source", F.col("term").cast("string").alias("term")).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _one_sided(groups: DataFrame, posts: DataFrame) -> DataFrame:
