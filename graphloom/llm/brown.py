@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, replaced
+from .common import columns_kept, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -227,71 +227,65 @@ def settle(starts: np.ndarray, x: np.ndarray, n: np.ndarray, own: np.ndarray, gr
     return np.where(allowed, gain, -np.inf).argmax(axis=1)
 
 
-def settle_held(coded: DataFrame, classes: np.ndarray, movable: np.ndarray, grid: np.ndarray, learned: int) -> np.ndarray:
-    """``classes`` with those of the ``movable`` held words chosen by exchange against the classes of the others."""
+def settle_rest(coded: DataFrame, classes: np.ndarray, core: int, hashes: np.ndarray, shapes: np.ndarray, grid: np.ndarray, learned: int, seen: int) -> tuple[np.ndarray, DataFrame, np.ndarray]:
+    """(classes of the held words, (h, class) of the words that no task holds, how many tokens and words of theirs each class gets).
+
+    Every word beyond the ``core`` is moved once, against the classes on both sides of it: learned ones of core words, those by shape of all others. Held or not, a word is moved by the same counts against the same ``grid``.
+    """
     total = len(grid)
+    moved = (np.arange(len(hashes)) >= core) & (shapes > 0)
 
     def count(batches):
-        keys, xs, size = [], [], 0
-        for ids, _, _ in _chunks(batches):
-            k = _classes_of(ids, classes, total - SHAPES)
-            at = np.flatnonzero((ids >= 0) & movable[np.maximum(ids, 0)])
-            keys += [ids[at], ids[at]]
+        keys, kinds, xs, size = [], [], [], 0
+        for ids, rare, _ in _chunks(batches):
+            k, odd = _classes_of(ids, classes, total - SHAPES), ids < 0
+            word = np.maximum(ids, 0)
+            at = np.flatnonzero(odd | moved[word] if len(moved) else odd)
+            h = np.zeros(len(ids), np.int64)
+            h[odd] = rare
+            if len(hashes):
+                h[~odd] = hashes[ids[~odd]]
+            kind = np.where(odd, -1 - ids, 8 + shapes[word] if len(shapes) else 0)
+            keys += [h[at], h[at]]
+            kinds += [kind[at], kind[at]]
             xs += [_LEFT + np.r_[total - SHAPES, k[:-1]][at], _RIGHT + np.r_[k[1:], total - SHAPES][at]]
             size += len(at)
-            if size > 10 * _FLUSH:
-                yield rows(keys, xs)
-                keys, xs, size = [], [], 0
+            if size > 8 * _FLUSH:
+                yield rows(keys, kinds, xs)
+                keys, kinds, xs, size = [], [], [], 0
         if keys:
-            yield rows(keys, xs)
-
-    def rows(keys, xs):
-        k, v = _packed(np.concatenate(keys), np.concatenate(xs))
-        return pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(np.zeros(len(k), np.int32)), v], ["k", "s", "v"])
-
-    def choose(batches):
-        for k, _, starts, x, n in _by_word(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(settle(starts, x, n, classes[k], grid, learned).astype(np.int32))], ["k", "c"])
-
-    found = coded.filter("_train").select("_ids", "_rare").mapInArrow(count, "k bigint, s int, v binary").repartition("k").sortWithinPartitions("k").mapInArrow(choose, "k bigint, c int")
-    out, got = classes.copy(), found.toArrow()  # at most as many rows as words are held
-    out[got["k"].to_numpy()] = got["c"].to_numpy()
-    return out
+            yield rows(keys, kinds, xs)
 
-
-def settle_rare(coded: DataFrame, classes: np.ndarray, grid: np.ndarray, learned: int, seen: int, contexts: bool = False) -> tuple[DataFrame, np.ndarray]:
-    """((h, class) of the words that no task holds, how many tokens and words of theirs each class gets). With ``contexts`` the classes on both sides decide; without, such words keep the class of their shape as contexts, so the classes before them alone decide."""
-    total = len(grid)
-
-    def count(batches):
-        for ids, rare, _ in _chunks(batches):
-            k = _classes_of(ids, classes, total - SHAPES)
-            at = np.flatnonzero(ids < 0)
-            x = [_LEFT + np.r_[total - SHAPES, k[:-1]][at], *([_RIGHT + np.r_[k[1:], total - SHAPES][at]] if contexts else [])]
-            h, v = _packed(np.tile(rare, len(x)), np.concatenate(x))
-            s = np.zeros(len(h), np.int32)
-            s[np.searchsorted(h, rare)] = -1 - ids[at]
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(s), v], ["k", "s", "v"])
+    def rows(keys, kinds, xs):
+        keys, kinds = np.concatenate(keys), np.concatenate(kinds)
+        h, v = _packed(keys, np.concatenate(xs))
+        s = np.zeros(len(h), np.int32)
+        s[np.searchsorted(h, keys)] = kinds
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(s), v], ["k", "s", "v"])
 
     def choose(batches):
         sizes = np.zeros((2, total), np.int64)
         for k, s, starts, x, n in _by_word(batches):
-            own, times = (total - SHAPES + s).astype(np.int64), np.add.reduceat(np.where(x < _RIGHT, n, 0), starts)
-            c = np.where((times >= seen) & (s > 0), settle(starts, x, n, own, grid, learned), own)
-            np.add.at(sizes, (0, c), times)
-            np.add.at(sizes, (1, c), 1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(k), np.int32)), pa.array(k), pa.array(c.astype(np.int64))], ["kind", "h", "x"])
+            own, held, times = (total - SHAPES + (s & 7)).astype(np.int64), s >= 8, np.add.reduceat(np.where(x < _RIGHT, n, 0), starts)
+            c = np.where((times >= seen) & (s & 7 > 0), settle(starts, x, n, own, grid, learned), own)
+            np.add.at(sizes, (0, c[~held]), times[~held])
+            np.add.at(sizes, (1, c[~held]), 1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.where(held, 2, 0).astype(np.int32)), pa.array(k), pa.array(c.astype(np.int64))], ["kind", "h", "x"])
         yield pa.RecordBatch.from_arrays([pa.array(np.ones(2 * total, np.int32)), pa.array(np.arange(2 * total)), pa.array(sizes.ravel())], ["kind", "h", "x"])
 
-    rows = coded.filter("_train").select("_ids", "_rare").mapInArrow(count, "k bigint, s int, v binary")
-    made = materialize(rows.repartition("k").sortWithinPartitions("k").mapInArrow(choose, "kind int, h bigint, x bigint"))
+    found = coded.filter("_train").select("_ids", "_rare").mapInArrow(count, "k bigint, s int, v binary")
+    made = materialize(found.repartition("k").sortWithinPartitions("k").mapInArrow(choose, "kind int, h bigint, x bigint"))
     sizes = np.zeros(2 * total, np.int64)
     for r in made.filter("kind = 1").groupBy("h").agg(F.sum("x").alias("x")).collect():  # two rows a class
         sizes[r["h"]] = r["x"]
-    return made.filter("kind = 0").select("h", F.col("x").cast("int").alias("class")), sizes.reshape(2, total)
+    out, got = classes.copy(), made.filter("kind = 2").select("h", "x").toArrow()  # at most as many rows as words are held
+    if len(got):
+        order = np.argsort(hashes, kind="stable")
+        out[order[np.searchsorted(hashes, got["h"].to_numpy(), sorter=order)]] = got["x"].to_numpy()
+    return out, made.filter("kind = 0").select("h", F.col("x").cast("int").alias("class")), sizes.reshape(2, total)
 
 
-def rare_steps(coded: DataFrame, outside: DataFrame, classes: np.ndarray, total: int, contexts: bool) -> DataFrame:
+def rare_steps(coded: DataFrame, outside: DataFrame, classes: np.ndarray, total: int) -> DataFrame:
     """(_r, _train, _more, _add, _old, _new) of rows with words that no task holds, in one row or some: how many of these words ``outside`` (h, c, class) knows, the log10 of their counts plus one, and the steps from class to class that their classes change: with all of them in the class of their shape, and as they are (binary: 16-bit class before * total + class)."""
     first = total - SHAPES
 
@@ -319,12 +313,11 @@ def rare_steps(coded: DataFrame, outside: DataFrame, classes: np.ndarray, total:
             r, x, found, c = (col.to_numpy() for col in b.columns)
             shaped = first + (x >> 16 & 7)
             cls = np.where(found < 0, shaped, found)
-            old, new = shaped, cls if contexts else shaped  # as contexts
             before, after = x >> 8 & 255, x & 255
             codes = []
-            for own, context, k in ((shaped, old, 0), (cls, new, 1)):
-                codes.append(np.c_[np.where(before > 0, before - 1, np.r_[last[k], context[:-1]]) * total + own, np.where(after > 0, context * total + after - 1, 0)].ravel())
-                last[k] = context[-1]
+            for k, own in enumerate((shaped, cls)):
+                codes.append(np.c_[np.where(before > 0, before - 1, np.r_[last[k], own[:-1]]) * total + own, np.where(after > 0, own * total + after - 1, 0)].ravel())
+                last[k] = own[-1]
             kept = codes[0] != codes[1]
             starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
             offsets = pa.py_buffer((2 * np.r_[0, np.cumsum(np.add.reduceat(kept.astype(np.int64), 2 * starts))]).astype(np.int32).tobytes())
@@ -399,6 +392,15 @@ def exchange(pairs: np.ndarray, words_: int, classes: int = CLASSES) -> np.ndarr
     return cls
 
 
+def core_words(vocab: DataFrame, core: int) -> Column:
+    """Which rows of ``vocab`` (w, c) are of the ``core`` commonest words, small ones before those of greater bytes; the end is none."""
+    small = (F.octet_length("w") <= HELD_BYTES) & (F.octet_length("w") > 0)
+    last = vocab.filter(small).select("c", "w").orderBy(F.desc("c"), "w").limit(core).orderBy("c", F.desc("w")).first() if core > 0 else None
+    if last is None:
+        return F.lit(False)
+    return small & ((F.col("c") > last["c"]) | ((F.col("c") == last["c"]) & (F.col("w") <= F.lit(bytes(last["w"])))))
+
+
 def held_words(vocab: DataFrame, held: int) -> Column:
     """Which rows of ``vocab`` (w, h, c) every task holds: the commonest, ``held`` at most. Of words seen equally often that don't all fit, those of the first of 4,096 parts by their hash."""
     small, part = F.octet_length("w") <= HELD_BYTES, F.shiftrightunsigned("h", 52)
@@ -416,22 +418,22 @@ def held_words(vocab: DataFrame, held: int) -> Column:
     return small & ((F.col("c") > level) | ((F.col("c") == level) & (part < parts)))
 
 
-def score_texts(docs: DataFrame, training: Column, text_col: str = "text", core: int = CORE, classes: int = CLASSES, seen: int = SEEN, held: int = HELD, contexts: bool = False) -> DataFrame:
+@columns_kept("_n_tokens", "_n_known", "_train_tokens", "_base", "_score", inner=("_row", "_r", "_held", "_logs", "_moves", "_more", "_add", "_better", "_train", "_ids", "_rare"))
+def score_texts(docs: DataFrame, training: Column, text_col: str = "text", core: int = CORE, classes: int = CLASSES, seen: int = SEEN, held: int = HELD) -> DataFrame:
     """docs (without the text) with ``_n_tokens``, ``_n_known``, ``_train_tokens``, ``_base`` and ``_score``: log10 probabilities of the whole text.
 
     base: add-one unigrams. score: P(class | class before) P(word | class), both add-one; V + 1 words of a class, for one unseen. Statistics are of all rows where ``training`` holds.
-    Exchange runs in three steps: the ``core`` commonest words one by one until none moves, then every other held word, then every word that no task holds, each against the classes found before; words seen fewer than ``seen`` times keep the class of their shape, as unseen ones do.
-    Counts of the ``held`` commonest words go to every task; those of the others, and their classes, are joined by hash. With ``contexts`` these too act as contexts by the classes they have joined, so ``held`` decides where a word is counted, not how; without, by the class of their shape. A null text counts as empty (its end is still a token); repeated rows stay; with no training rows every count is 0; an empty table gives none.
+    Exchange runs in two steps: the ``core`` commonest words one by one until none moves, then every other word once, against the classes found by then; words seen fewer than ``seen`` times keep the class of their shape, as unseen ones do.
+    Counts and classes of the core and of the ``held`` commonest words go to every task; those of the others are joined by hash. ``held`` decides where a word's count lies and nothing else: scores are equal for any value, but for the last digits of sums. A null text counts as empty (its end is still a token); repeated rows stay; with no training rows every count is 0; an empty table gives none.
     """
-    docs = replaced(docs, "_row", "_r", "_n_tokens", "_n_known", "_held", "_logs", "_moves", "_more", "_add", "_better", "_train_tokens", "_base", "_score", "_train", "_ids", "_rare")
     names = [c for c in docs.columns if c != text_col]
     vocab = materialize(word_counts(docs.filter(training), text_col))
     v, n = vocab.agg(F.count("*"), F.coalesce(F.sum("c"), F.lit(0))).first()
-    is_held = held_words(vocab, held)
-    got = vocab.filter(is_held).select("w", "c").toArrow()
-    common = dict(zip(got["w"].to_pylist(), got["c"].to_pylist()))
-    order = sorted(common, key=lambda w: (w == END, -common[w], w))
-    top, counts = min(core, len(order) - (END in common)), np.array([common[w] for w in order], np.int64)
+    is_held = core_words(vocab, core) | held_words(vocab, held) | (F.octet_length("w") == 0)
+    got = vocab.filter(is_held).select("w", "c", "h").toArrow()
+    common = {w: (c, h) for w, c, h in zip(*(got[c].to_pylist() for c in ("w", "c", "h")))}
+    order = sorted(common, key=lambda w: (w == END, -common[w][0], w))
+    top, counts, hashes = min(core, len(order) - (END in common)), *(np.array([common[w][i] for w in order], np.int64) for i in (0, 1))
     shapes = np.array([shape(w) for w in order], np.int64)
     coded = encode(docs, training, order, text_col)
     square = np.where(np.arange(len(order)) < top, np.arange(len(order)), top + shapes)
@@ -441,13 +443,10 @@ def score_texts(docs: DataFrame, training: Column, text_col: str = "text", core:
     learned = total - SHAPES
     one = np.eye(total, dtype=np.int64)[cls]
     placed = cls[square] if len(order) else np.zeros(0, np.int64)
-    movable = (np.arange(len(order)) >= top) & (counts >= seen) & (shapes > 0)
-    if movable.any():
-        placed = settle_held(coded, placed, movable, one.T @ pairs @ one, learned)
-    grid = square_counts(coded, placed, total)
-    rare, (tokens_, words_) = settle_rare(coded, placed, grid, learned, seen, contexts)
+    placed, rare, (tokens_, words_) = settle_rest(coded, placed, top, hashes, shapes, one.T @ pairs @ one, learned, seen)
     outside = materialize(vocab.filter(~is_held).select("h", "c").join(rare, "h"))
-    steps = rare_steps(coded, outside, placed, total, contexts)
+    grid = square_counts(coded, placed, total)
+    steps = rare_steps(coded, outside, placed, total)
     grid += changed_counts(steps, total)
     step = np.log10((grid + 1) / (grid.sum(1, keepdims=True) + total))
     size, types = np.bincount(placed, counts, total) + tokens_, np.bincount(placed, minlength=total) + words_
