@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, replaced, words
+from .common import columns_kept, materialize, words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -122,10 +122,10 @@ def _unpacked(packed: bytes, n: int) -> np.ndarray:
     return out.reshape(n, FEATURES)
 
 
+@columns_kept("_score", "_attention")
 def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with ``_score`` (0 to 1) of the whole text and ``_attention`` (the weight of its weightiest passage). Null and empty texts score as one empty passage; other columns, repeats and an empty table pass through."""
 
-    docs = replaced(docs, "_score", "_attention")
 
     def run(batches):
         for b in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, replaced
+from .common import columns_kept, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -246,12 +246,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return spans.select("uid", "size", start.alias("r")).groupBy("uid", "size").agg(F.collect_set("r").alias("spans"))
 
 
+@columns_kept("_bytes", "_removed", "_kept", inner=("_uid", "_u", "_s", "_spans"))
 def drop_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, group: int = GROUP) -> DataFrame:
     """docs with ``_bytes``, ``_removed`` (array of start, end: maximal removed runs), ``_kept`` (binary: what is left).
 
     A byte goes if a string of ``length`` bytes over it also starts anywhere else, the same text and overlaps included; all copies go, judged on the input. Null texts count as empty; repeated rows are copies of each other; other columns pass through; an empty table gives none. Equal q-grams, contexts and windows are told by 64-bit hashes, texts by a hash and their length.
     """
-    docs = replaced(docs, "_uid", "_u", "_s", "_spans", "_bytes", "_removed", "_kept")
     spans = repeated_spans(docs, id_col, text_col, length, group).select(F.col("uid").alias("_u"), F.col("size").alias("_s"), F.col("spans").alias("_spans"))
     more = [T.StructField("_bytes", T.LongType()), T.StructField("_removed", T.ArrayType(T.ArrayType(T.LongType()))), T.StructField("_kept", T.BinaryType())]
 

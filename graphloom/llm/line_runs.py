@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import materialize, replaced
+from .common import columns_kept, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -72,6 +72,7 @@ def repeated_runs(levels: list[DataFrame], shortest: int) -> DataFrame:
     return runs.drop("h")
 
 
+@columns_kept("_lines", "_clean", "_runs", "_copies", inner=("_key", "_k", "_found"))
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shortest: int = 2, words: int | None = None) -> DataFrame:
     """docs with ``_lines``, ``_clean`` (the text without later copies of line runs), ``_runs`` (array of first line, number of lines: the runs removed, none touching) and ``_copies`` (array of (line, lines, source_id, source_line): each maximal repeated run and its earliest place).
 
@@ -79,7 +80,6 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     if shortest < 1 or shortest & (shortest - 1):
         raise ValueError("shortest must be a power of two")
-    docs = replaced(docs, "_key", "_k", "_found", "_lines", "_clean", "_runs", "_copies")
     key = F.struct(F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"), F.octet_length(text_col).alias("n"))  # a hash alone would meet another among very many texts
     own = lambda x: F.struct(F.xxhash64(x).alias("v"), (F.lit(False) if words is None else F.regexp_count(x, F.lit(r"[^\x20\x09-\x0D]+")) > words).alias("long"))
     slim = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("o"), key.alias("k"), F.transform(F.split(F.col(text_col), "\n"), own).alias("vs")).dropDuplicates(["k"])

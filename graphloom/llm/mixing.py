@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, replaced
+from .common import columns_kept, materialize
 
 #: Leaves up to which their table is broadcast to the documents; beyond, the join is left to the planner.
 BROADCAST_LEAVES = 50_000
@@ -49,6 +49,7 @@ def budgets(leaves: DataFrame, levels: list[str], budget: float | Column, weight
     return leaves.drop(*(f"_w{i}" for i in range(len(levels)))).join(given.withColumnRenamed("given", "target"), levels)
 
 
+@columns_kept("_epoch", inner=("_l0", "_l1", "_l2", "_l3", "_l4", "_l5", "_l6", "_l7", "_full", "_cut", "_times", "_tokens"))
 def mix(docs: DataFrame, levels: dict[str, Column], fraction: float = 1.0, max_epochs: int = 4, weights: dict[tuple, float] | None = None, key: str = "doc_id", text_col: str = "text", seed: str = "mix") -> DataFrame:
     """docs with ``_epoch`` (0 and up), each row as often as its leaf's target asks.
 
@@ -56,7 +57,6 @@ def mix(docs: DataFrame, levels: dict[str, Column], fraction: float = 1.0, max_e
     The prefix is found on 4,096 hash ranges of each leaf and then within the one range where the target falls, so no task gathers a leaf; texts are never shuffled. An empty table gives none.
     """
     names = [f"_l{i}" for i in range(len(levels))]
-    docs = replaced(docs, *names, "_full", "_cut", "_times", "_epoch", "_tokens")
     hashed = lambda epoch: F.md5(F.concat_ws("|", F.lit(seed), epoch.cast("string"), F.coalesce(F.col(key).cast("string"), F.lit(""))).cast("binary"))
     leaf = {n: F.coalesce(c.cast("string"), F.lit("")) for n, c in zip(names, levels.values())}
     count = F.coalesce(F.regexp_count(F.col(text_col), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("bigint")

@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import replaced, tasks
+from .common import columns_kept, tasks
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -36,13 +36,13 @@ def _shuffled(seed: int):
     return run
 
 
+@columns_kept("_shard", "_bucket", "_slot", inner=("_order", "_place", "_start", "_n"))
 def shuffle_shards(docs: DataFrame, shards: int = 40, key: str = "doc_id", text_col: str = "text", seed: int = 17, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """docs with ``_shard`` (by key and shard count alone), ``_bucket`` and ``_slot`` (the row's place in its shard, gapless from 0).
 
     Pass one scatters rows by a seeded hash of the whole row into buckets of about ``bucket_bytes``; pass two shuffles each bucket in memory. Slots of a bucket follow those of the shard's lower buckets. Tasks get about four buckets each, however large the table is.
     Rows of one key share a shard, not a bucket; rows equal in all columns share both, and any of them may have any of their slots. Columns of types that can't be hashed (maps) don't count. All columns pass through; a null text counts as empty; an empty table gives none.
     """
-    docs = replaced(docs, "_shard", "_bucket", "_slot", "_order", "_place", "_start", "_n")
     size = F.coalesce(F.octet_length(F.col(text_col)), F.lit(0)) + 16
     total = docs.agg(F.sum(size.cast("bigint")).alias("b")).first()["b"] or 0
     buckets = max(1, -(-total // (bucket_bytes * shards)))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..plans.components import connected_components
-from .common import materialize, replaced, words
+from .common import columns_kept, materialize, words
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -301,7 +301,6 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 def _similar_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, similarity: float, width: int, minhashes: int) -> tuple[DataFrame, DataFrame]:
     """(docs with _row and _fp, _own; the placed sets (fp, own, least, root)): see ``simhash_similar``."""
     radius = int(64 * width * (1 - similarity) + 1e-9)
-    docs = replaced(docs, "_fp", "_mins", "_own", "_size", "_row", "_text")
     fps = materialize(fingerprints(docs, docs.columns, text_col, shingle, width, minhashes, sets=True).withColumn("_row", F.monotonically_increasing_id()))
     slim = fps.select(F.col(id_col).alias("id"), F.col("_fp").alias("fp"), F.col("_mins").alias("mins"), F.col("_own").alias("own"), F.col("_size").alias("size"), F.col("_row").alias("row"))
     blocks = slim.select("fp", F.posexplode("mins").alias("c", "k")).select("k", F.col("c").cast("bigint").alias("c"), "fp")
@@ -312,6 +311,7 @@ def _similar_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, sim
     return fps, materialize(reps.drop("root").join(alike, reps["row"] == alike["node"], "left").select("fp", "own", "least", F.coalesce("root", "row").alias("root")))
 
 
+@columns_kept(inner=("_fp", "_mins", "_own", "_size", "_row", "_text"))
 def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, width: int = 8, minhashes: int = 6) -> DataFrame:
     """(id, component) under links between texts whose sets of shingles have at least this Jaccard similarity.
 
@@ -325,6 +325,7 @@ def simhash_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.select(F.col(id_col).alias("id"), F.col("_fp").alias("fp"), F.col("_own").alias("own")).join(named, ["fp", "own"]).select("id", "component")
 
 
+@columns_kept(inner=("_fp", "_mins", "_own", "_size", "_row", "_text", "_kept_row"))
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, width: int = 8, minhashes: int = 6) -> DataFrame:
     """docs with one row left of each group of ``simhash_similar``: that of least id (null last), then of least hash of the text, then the first as read.
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_BYTES, materialize, replaced
+from .common import BROADCAST_BYTES, columns_kept, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -205,13 +205,13 @@ def _joined(docs: DataFrame, tests: DataFrame, text_col: str, k: int) -> DataFra
     return out.select(*(c for c in docs.columns if c != "_row"), F.coalesce(-F.col("b.c"), F.lit(0.0)).alias("_coverage"), F.col("b.n").alias("_n"), F.coalesce("b.t", F.lit(0)).cast("bigint").alias("_tiles"))
 
 
+@columns_kept("_coverage", "_item", "_tiles", inner=("_n", "_row", "_m", "d", "b"))
 def decontaminate(docs: DataFrame, tests: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", shortest: int = 5, held_bytes: int = BROADCAST_BYTES // 8) -> DataFrame:
     """docs with ``_coverage`` (highest share of one test's tokens that tiles of at least ``shortest`` tokens cover), ``_item`` (its id; of equal shares the least, null first) and ``_tiles``.
 
     Tokens are lower-cased runs of word characters, so case and punctuation don't hide a passage, and tiles may come in any order. A test of fewer tokens than ``shortest`` is covered where all of it occurs; one without tokens (null and empty too) never is. Null and empty texts have coverage 0; repeated rows and other columns stay; an empty table gives none.
     Tests of up to ``held_bytes`` bytes in all go to every task, and texts take one narrow pass. Larger ones never come to the driver: seeds of both sides are joined. The rows are the same either way.
     """
-    docs = replaced(docs, *_ADDED, "_n", "_row")
     given = tests.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).filter("t is not null").distinct()
     ordered = materialize(given.orderBy(F.col("i").asc_nulls_first(), "t").withColumn("n", F.monotonically_increasing_id()))
     total = ordered.agg(F.sum(F.octet_length("t").cast("bigint")).alias("b")).first()["b"] or 0
