@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import shared_dir
+from .store import GraphStore, shared_dir
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages", "labels")
 
@@ -95,6 +95,16 @@ def graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{at}/elements"), spark.read.parquet(f"{at}/edges")
 
 
+def stored(spark: SparkSession, sf_dir: str) -> GraphStore:
+    """The whole graph in a store, written once for each session and folder."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir} stored")
+    if key not in _LOADED:
+        _LOADED[key] = f"{shared_dir(spark)}/graphloom/store-{uuid.uuid4().hex}"
+        e, g = graph(spark, sf_dir)
+        GraphStore(spark, _LOADED[key]).write(elements=e, edges=g)
+    return GraphStore(spark, _LOADED[key])
+
+
 def oracle(sql: str, recursive: bool = False) -> str:
     """``sql`` over E and G, as DuckDB builds them."""
     plain = {t: t for t in TABLES}

@@ -8,7 +8,7 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -92,19 +92,21 @@ class ConcurrentWrite(RuntimeError):
 
 
 class GraphStore:
-    """Parquet snapshots under a root: elements by repo_id, edges by edge_type, repos and file_index whole, postings of the elements' texts by range of terms.
+    """Parquet snapshots under a root: elements by repo_id and file, edges by edge_type, repos and file_index whole, postings of the elements' texts by range of terms. Elements are kept once more by id (by_id), and each edge once more for either end (adjacency), in buckets of ids and sorted within, so what is known of one id is read from one bucket.
 
     A table is a base and layers over it: a change of files or of a repository writes its new rows and the keys of the rows below that it hides, and nothing of the rest. Beyond ``LAYERS`` layers they are merged into one, and into the base once they hold a quarter of its bytes.
 
     A write makes new folders beside those being read, and then one small file that names the folders of all tables. The file of a version is created only if it isn't there, so readers never see half a write and of two writers one fails. The version before stays for those who read it; older folders are deleted.
     """
 
-    PARTS = {"elements": ["repo_id"], "edges": ["edge_type"], "repos": [], "file_index": [], "postings": ["bucket"], "posting_stats": []}
+    PARTS = {"elements": ["repo_id"], "edges": ["edge_type"], "repos": [], "file_index": [], "postings": ["bucket"], "posting_stats": [], "by_id": ["bucket"], "adjacency": ["bucket"]}
+    #: The order of rows within a folder, by which readers skip.
+    SORTED = {"elements": ["repo_id", "file_path", "id"], "edges": ["edge_type", "from_id"], "by_id": ["bucket", "id"], "adjacency": ["bucket", "node", "way", "edge_type"], "postings": ["bucket", "term"]}
     #: Columns of a table that are held, one set after the other, against the hidden keys (id, or repo_id and file_path).
-    HIDDEN_BY = {"elements": [{"id": "id"}], "postings": [{"id": "id"}], "edges": [{"from_id": "id"}, {"to_id": "id"}], "file_index": [{"repo_id": "repo_id", "file_path": "file_path"}]}
+    HIDDEN_BY = {"elements": [{"id": "id"}], "postings": [{"id": "id"}], "edges": [{"from_id": "id"}, {"to_id": "id"}], "file_index": [{"repo_id": "repo_id", "file_path": "file_path"}], "by_id": [{"id": "id"}], "adjacency": [{"node": "id"}, {"other": "id"}]}
     BUCKETS = 64
     LAYERS = 8
-    #: Repositories of one change up to which a scan is told their names, so that it opens no other's files.
+    #: Repositories or files of one change up to which a scan is told their names, so that it opens no other's.
     PRUNED = 100
 
     def __init__(self, spark: SparkSession, root: str):
@@ -139,7 +141,7 @@ class GraphStore:
             return read.parquet(layers[0][0])
         rows = reduce(DataFrame.unionByName, (read.parquet(p).withColumn("_layer", F.lit(i)) for i, (p, _) in enumerate(layers)))
         hidden = reduce(DataFrame.unionByName, (self.spark.read.parquet(g).withColumn("_from", F.lit(i)) for i, (_, g) in enumerate(layers) if i))
-        if name == "edges":
+        if name in ("edges", "adjacency"):
             hidden = hidden.filter("victim")
         for columns in self.HIDDEN_BY[name]:
             last = hidden.groupBy(*(F.col(k).alias(f"_{k}") for k in columns.values())).agg(F.max("_from").alias("_from"))
@@ -149,7 +151,12 @@ class GraphStore:
 
     def _put(self, name: str, version: int, df: DataFrame) -> str:
         path, parts = f"{self.root}/{name}/v{version}-{uuid.uuid4().hex[:8]}", self.PARTS.get(name)
-        (df.hint("rebalance", *parts).write.partitionBy(*parts) if parts else df.write).parquet(path)
+        if parts:
+            df = df.hint("rebalance", *parts)
+            order = [c for c in self.SORTED.get(name, []) if c in df.columns]
+            (df.sortWithinPartitions(*order) if order else df).write.partitionBy(*parts).parquet(path)
+        else:
+            df.write.parquet(path)
         return path
 
     @staticmethod
@@ -178,12 +185,52 @@ class GraphStore:
         """All tables of one call become current together; postings follow the elements unless they are given."""
         version, kept = self._current()
         if "elements" in tables:
-            tables = {"postings": self._posts(tables["elements"]), "posting_stats": text.field_stats(tables["elements"])} | tables
+            tables = {"postings": self._posts(tables["elements"]), "posting_stats": text.field_stats(tables["elements"]), "by_id": self._by_id(tables["elements"])} | tables
+        if "edges" in tables:
+            tables = {"adjacency": self._adjacency(tables["edges"])} | tables
         self._commit(version + 1, kept, {n: ([[self._put(n, version + 1, df), None]], df.schema.json()) for n, df in tables.items()})
 
     def _posts(self, elements: DataFrame) -> DataFrame:
         return text.postings(elements).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(self.BUCKETS)).cast("int"))
 
+    def _bucket(self, id: Column) -> Column:
+        return F.pmod(F.xxhash64(id), F.lit(self.BUCKETS)).cast("int")
+
+    def _by_id(self, elements: DataFrame) -> DataFrame:
+        return elements.withColumn("bucket", self._bucket(F.col("id")))
+
+    def _adjacency(self, edges: DataFrame) -> DataFrame:
+        """Each edge at both of its ends."""
+        rest = [c for c in edges.columns if c not in ("from_id", "to_id")]
+        end = lambda a, b, way: edges.select(F.col(a).alias("node"), F.col(b).alias("other"), F.lit(way).alias("way"), *rest)
+        return end("from_id", "to_id", "OUTGOING").unionByName(end("to_id", "from_id", "INCOMING")).withColumn("bucket", self._bucket(F.col("node")))
+
+    def _near(self, name: str, key: str, ids: list[str]) -> DataFrame | None:
+        """Rows of a bucketed table by ids: only their buckets are read, and of those the pages where they may be."""
+        found = self.read(name)
+        if found is None:
+            return None
+        hit = reduce(lambda a, b: a | b, ((F.col("bucket") == self._bucket(F.lit(i))) & (F.col(key) == i) for i in ids), F.lit(False))
+        return found.filter(hit)
+
+    def elements_of(self, ids: list[str]) -> DataFrame:
+        found = self._near("by_id", "id", ids)
+        return self.read("elements").filter(F.col("id").isin(ids)) if found is None else found.drop("bucket")
+
+    def edges_of(self, ids: list[str], direction: str = "BOTH") -> DataFrame:
+        """Edges that touch one of the ids on its outgoing, incoming or either side, each once."""
+        found = self._near("adjacency", "node", ids)
+        if found is None:
+            out, back = F.col("from_id").isin(ids), F.col("to_id").isin(ids)
+            return self.read("edges").filter({"OUTGOING": out, "INCOMING": back}.get(direction, out | back))
+        out = F.col("way") == "OUTGOING"
+        if direction != "BOTH":
+            found = found.filter(F.col("way") == direction)
+        else:  # an edge between two of the ids is there at both ends
+            found = found.filter(out | ~F.col("other").isin(ids))
+        ends = {"from_id": F.when(out, F.col("node")).otherwise(F.col("other")), "to_id": F.when(out, F.col("other")).otherwise(F.col("node"))}
+        return found.withColumns(ends).drop("node", "other", "way", "bucket")
+
     def postings(self, terms: list[str]) -> tuple[DataFrame, DataFrame] | None:
         """(postings of the terms, statistics of the fields): only the buckets of the terms are read."""
         found = self.read("postings")
@@ -203,7 +250,11 @@ class GraphStore:
         made = self._visible("elements", [[put, None]], kept["elements"][1])
         repos = [r[0] for r in files.select("repo_id").union(made.select("repo_id")).distinct().limit(self.PRUNED + 1).collect()]
         near = e.filter(F.col("repo_id").isin(repos)) if len(repos) <= self.PRUNED else e
-        victims = near.join(files, keys, "left_semi").select("id", F.lit(True).alias("victim")).unionByName(made.select("id", F.lit(False).alias("victim")))
+        own = near
+        if "file_path" in keys:
+            paths = [r[0] for r in files.select("file_path").distinct().limit(self.PRUNED + 1).collect()]
+            own = near.filter(F.col("file_path").isin(paths)) if len(paths) <= self.PRUNED else near
+        victims = own.join(files, keys, "left_semi").select("id", F.lit(True).alias("victim")).unionByName(made.select("id", F.lit(False).alias("victim")))
         gone = self._put("hidden", n, victims.groupBy("id").agg(F.max("victim").alias("victim")))
         hidden = self.spark.read.parquet(gone)
         over("elements", put, gone)
@@ -211,9 +262,21 @@ class GraphStore:
         # Of the new edges those that are there already, and stay, aren't written again.
         ends, by = hidden.filter("victim").select("id"), ["from_id", "edge_type", "to_id"]
         fresh = valid_edges(edges.select(*g.columns))
-        same = g.join(fresh.select(*by), by, "left_semi").select(*by)
+        if "adjacency" in kept:  # only the buckets where the new edges begin
+            fresh = materialize(fresh)
+            buckets = [r[0] for r in fresh.select(self._bucket(F.col("from_id"))).distinct().collect()]
+            there = self.read("adjacency").filter(F.col("bucket").isin(buckets) & (F.col("way") == "OUTGOING")).select(F.col("node").alias("from_id"), "edge_type", F.col("other").alias("to_id"))
+        else:
+            there = g.select(*by)
+        same = there.join(fresh.select(*by), by, "left_semi")
         same = same.join(ends.withColumnRenamed("id", "from_id"), "from_id", "left_anti").join(ends.withColumnRenamed("id", "to_id"), "to_id", "left_anti")
-        over("edges", self._put("edges", n, fresh.join(same, by, "left_anti")), gone)
+        put = self._put("edges", n, fresh.join(same, by, "left_anti"))
+        over("edges", put, gone)
+        if "adjacency" in kept:
+            added = self._visible("edges", [[put, None]], kept["edges"][1])
+            over("adjacency", self._put("adjacency", n, self._adjacency(added).select(*self.read("adjacency").columns)), gone)
+        if "by_id" in kept:
+            over("by_id", self._put("by_id", n, self._by_id(made).select(*self.read("by_id").columns)), gone)
 
         if "postings" in kept:
             over("postings", self._put("postings", n, self._posts(made).select(*self.read("postings").columns)), gone)
