@@ -21,13 +21,15 @@ ORACLES: dict[str, str] = {}
 
 
 def query(sql: str | None = None, recursive: bool = False, name: str | None = None):
-    """Register fn(E, G, t) -> DataFrame; t(name) reads a table."""
+    """Register fn(E, G, t) -> DataFrame; t(name) reads a table, t.store() is the graph's store."""
 
     def keep(fn):
         key = name or fn.__name__
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return fn(*fixtures.graph(spark, sf_dir), lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet"))
+            tables = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+            tables.store = lambda: fixtures.stored(spark, sf_dir)
+            return fn(*fixtures.graph(spark, sf_dir), tables)
 
         QUERIES[key] = run
         if sql:
@@ -55,7 +57,7 @@ def _round(c: str, n: int = 6):
 
 @query("select id, element_type, name, parent_id from E where id = 'customer:7'")
 def element_by_id(E, G, t):
-    return E.filter("id = 'customer:7'").select("id", "element_type", "name", "parent_id")
+    return t.store().elements_of(["customer:7"]).select("id", "element_type", "name", "parent_id")
 
 
 @query("select repo_id, file_path, id, line_start from E where repo_id = 'r1' and file_path is not null")
@@ -239,7 +241,7 @@ def inner_edges(E, G, t):
 
 @query("select from_id, edge_type, to_id from G where from_id = 'part:3' or to_id = 'part:3'")
 def edge_scan(E, G, t):
-    return G.filter("from_id = 'part:3' or to_id = 'part:3'").select("from_id", "edge_type", "to_id").orderBy("edge_type", "to_id")
+    return t.store().edges_of(["part:3"]).select("from_id", "edge_type", "to_id").orderBy("edge_type", "to_id")
 
 
 @query("select id source_id, null::varchar as name, snippet from E where element_type = 'CONFIG_FILE' and snippet is not null union all select f.id, k.name, k.snippet from E f join G g on g.from_id = f.id and g.edge_type = 'CONTAINS' join E k on k.id = g.to_id and k.element_type = 'CONFIG_KEY' where f.element_type = 'CONFIG_FILE' and f.snippet is null")
@@ -378,6 +380,34 @@ def shortest_path(E, G, t):
     return _joined(traverse.shortest_path(E, G, "nation:1", "segment:BUILDING", 6, ["CONTAINS", "IMPLEMENTS"])).filter("hops >= 0 and hops <= 3")
 
 
+_ASKED = "with Q as (select 'customer:' || c_custkey a, 'supplier:' || (c_custkey // 100 % 7 + 1) b from customer where c_custkey % 100 = 0 union all select 'nation:' || n_nationkey, 'nation:' || (n_nationkey + 1) from nation where n_nationkey % 2 = 0), "
+
+
+def _asked(t):
+    """Customers by ids divisible by 100 with a supplier each, and pairs of nations."""
+    k, n = F.col("c_custkey"), F.col("n_nationkey")
+    some = t("customer").filter(k % 100 == 0).select(F.concat(F.lit("customer:"), k).alias("a"), F.concat(F.lit("supplier:"), F.floor(k / 100) % 7 + 1).alias("b"))
+    return some.unionByName(t("nation").filter(n % 2 == 0).select(F.concat(F.lit("nation:"), n).alias("a"), F.concat(F.lit("nation:"), n + 1).alias("b")))
+
+
+@query(_ASKED + """ends as (select distinct from_id s, to_id o from G where edge_type in ('CALLS', 'DEPENDS_ON', 'PRECEDES')),
+p as (select a, b, a tip, [a] as path, 0 as n from Q union all select p.a, p.b, o, list_append(path, o), n + 1 from p join ends on s = tip where tip <> b and n < 3 and not list_contains(path, o)),
+r as (select a, b, n::int hops, array_to_string(path, '>') as "path", row_number() over (partition by a, b order by n, path) k from p where tip = b and n > 0 qualify n = min(n) over (partition by a, b)) select a, b, hops, "path" from r where k <= 5""", recursive=True)
+def shortest_paths(E, G, t):
+    """The first five shortest paths of each pair."""
+    found = traverse.paths(G, _asked(t), 3, ["CALLS", "DEPENDS_ON", "PRECEDES"], "OUTGOING", 5, shortest=True)
+    return found.select("a", "b", "hops", F.array_join("path", ">").alias("path"))
+
+
+@query(_ASKED + """ends as (select distinct from_id s, to_id o from G where edge_type in ('CALLS', 'DEPENDS_ON', 'PRECEDES')),
+p as (select a, b, a tip, [a] as path, 0 as n from Q union all select p.a, p.b, o, list_append(path, o), n + 1 from p join ends on s = tip where tip <> b and n < 3 and not list_contains(path, o)),
+r as (select a, b, n::int hops, array_to_string(path, '>') as "path", row_number() over (partition by a, b order by n, path) k from p where tip = b and n > 0) select a, b, hops, "path" from r where k <= 3""", recursive=True)
+def first_paths(E, G, t):
+    """The first three simple paths of each pair, whatever their lengths."""
+    found = traverse.paths(G, _asked(t), 3, ["CALLS", "DEPENDS_ON", "PRECEDES"], "OUTGOING", 3)
+    return found.select("a", "b", "hops", F.array_join("path", ">").alias("path"))
+
+
 @query("with h as (select 'region:1' id, 0 as depth union select g.to_id, h.depth + 1 from h join G g on g.from_id = h.id where g.edge_type = 'CONTAINS' and h.depth < 6) select id, min(depth)::int as depth from h group by 1", recursive=True)
 def reachable(E, G, t):
     return traverse.reach(G, _ids(E, "region:1"), 6, ["CONTAINS"]).select("id", "depth")

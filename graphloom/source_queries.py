@@ -11,6 +11,7 @@ from .queries import _changes, query
 from .sources import lines, scan, trees
 from .store import GraphStore, shared_dir
 from .streaming import changes
+from .streaming import files as file_tree
 
 #: One file a customer for each language; @@ stands for its number. Below it the elements: type, qualified name, lines, what the id is made of where that isn't the qualified name.
 FILES = {
@@ -335,8 +336,7 @@ def stored_files_replaced(E, G, t):
 
 # -- streams: the events as a written change log, taken up to where it ends
 
-_SESSIONS = """with c as (select 'u' || user_id file_path, case when event_type = 'error' then 'DELETED' else 'MODIFIED' end kind, epoch_us(ts) us from events {where}), g as (select *, case when us - lag(us) over (partition by file_path order by us) < 1800000000 then 0 else 1 end b from c), s as (select *, sum(b) over (partition by file_path order by us rows unbounded preceding) k from g),
-w as (select file_path, min(us) started, max(us) + 1800000000 ended, max_by(kind, us) change_type, count(*) events from s group by file_path, k), x as (select * from w where ended <= (select max(us) - 600000000 from c))"""
+_LOGGED = """with c as (select 'u' || user_id file_path, case when event_type = 'error' then 'DELETED' else 'MODIFIED' end kind, epoch_us(ts) us from events {where})"""
 
 
 def _log(t) -> tuple[str, object]:
@@ -345,24 +345,44 @@ def _log(t) -> tuple[str, object]:
     return at, log.sparkSession
 
 
-@query(_SESSIONS.format(where="where user_id % 3 <> 0") + " select file_path, started, ended, change_type, events from x")
+@query(_LOGGED.format(where="where user_id % 3 <> 0") + " select file_path, min(us) started, max(us) ended, arg_max(kind, struct_pack(a := us, b := kind)) change_type, count(*) events from c group by file_path")
 def stream_debounce(E, G, t):
-    """readStream over the log, without excluded files: the bursts that the watermark has closed."""
+    """readStream over the log, without excluded files: all changes of a path have come at once, and are one burst when its timer goes off."""
     at, spark = _log(t)
     log = changes.change_log(spark, at).filter(~(F.substring("file_path", 2, 9).cast("bigint") % 3 == 0))
-    out = changes.collected(changes.debounced(log, 1_800_000), f"{at}-out", f"{at}-checkpoint")
+    out = changes.collected(changes.settled(log, 300), f"{at}-out", f"{at}-checkpoint", wait=True)
     return out.select("file_path", F.unix_micros("started").alias("started"), F.unix_micros("ended").alias("ended"), "change_type", "events")
 
 
-@query(_SESSIONS.format(where="where not regexp_matches('u' || user_id, '^u1[^/]*$')") + ", l as (select file_path, max_by(change_type, ended) change_type from x group by 1), u as (select distinct 'u' || user_id f from events) select u.f file_path, case when l.file_path is null then 'old' else 'new' end as name from u left join l on l.file_path = u.f where coalesce(l.change_type, '') <> 'DELETED'")
+@query(_LOGGED.format(where="") + ", l as (select file_path, arg_max(kind, struct_pack(a := us, b := kind)) kind from c group by 1) select file_path, case when regexp_matches(file_path, '^u1[^/]*$') then 'old' else 'new' end as name from l where regexp_matches(file_path, '^u1[^/]*$') or kind <> 'DELETED'")
 def stream_flush(E, G, t):
-    """The log watched into a store: a changed file's row is replaced, a deleted one's goes; excluded files and unknown repositories are left alone."""
+    """The log watched into a store until all is quiet: a changed file's row is replaced, a deleted one's goes; excluded files and unknown repositories are left alone."""
     at, spark = _log(t)
     t("events").limit(1).select(F.lit("unknown").alias("repo_id"), F.lit("u0").alias("file_path"), F.lit("DELETED").alias("change_type"), F.lit("2000-01-01T00:00:00Z").alias("ts")).write.mode("append").json(at)
     store, repos = GraphStore(spark, f"{at}-store"), spark.createDataFrame([("events",)], "id string")
     row = lambda files, name: files.select(F.concat(F.lit("file:"), "file_path").alias("id"), "repo_id", F.lit("FILE").alias("element_type"), F.lit("UNKNOWN").alias("language"), F.lit(name).alias("name"), "file_path")
     none = spark.createDataFrame([], "from_id string, edge_type string, to_id string")
     store.write(elements=row(_changes(t).select("repo_id", "file_path").distinct(), "old"), edges=none)
-    run = changes.watch(spark, at, store, repos, lambda files: (row(files, "new"), none), f"{at}-checkpoint", globs=("u1*",), quiet_ms=1_800_000)
-    run.awaitTermination()
+    run = changes.watch(spark, at, store, repos, lambda files: (row(files, "new"), none), f"{at}-checkpoint", globs=("u1*",), once=False, quiet_ms=1000)
+    try:
+        changes.wait_until_quiet(run)
+    finally:
+        changes.stop_between(run)
     return store.read("elements").select("file_path", "name")
+
+
+@query("select 1 run, c_nationkey::varchar folder, 'CREATED' change_type from customer group by 2 union all select 2, c_nationkey::varchar, case when c_nationkey % 5 = 0 then 'DELETED' else 'MODIFIED' end from customer where c_nationkey % 5 < 2 group by all union all select 2, 'new', 'CREATED' where exists (from customer)")
+def file_events(E, G, t):
+    """A tree with a file for each nation's customers, before and after files have gone, grown and come; the second run goes on from the first's checkpoint."""
+    spark = E.sparkSession
+    at = f"{shared_dir(spark)}/graphloom/tree-{uuid.uuid4().hex}"
+    by = lambda rows, folder: rows.select("c_name", folder.cast("string").alias("n")).repartition("n").write.partitionBy("n").mode("append")
+    nation = F.col("c_nationkey")
+    by(t("customer"), nation).text(f"{at}/tree/src")
+    out = [changes.collected(file_tree.file_events(spark, f"{at}/tree", "shop", f"{at}/state", ("**/*.crc",)), f"{at}/out1", f"{at}/checkpoint")]
+    for n in (r[0] for r in t("customer").filter(nation % 5 < 2).select(nation).distinct().collect()):
+        file_tree.rewrite(spark, f"{at}/tree/src/n={n}", keep=n % 5 != 0)
+    by(t("customer").limit(1), F.lit("new")).text(f"{at}/tree/src")
+    out.append(changes.collected(file_tree.file_events(spark, f"{at}/tree", "shop", f"{at}/state", ("**/*.crc",)), f"{at}/out2", f"{at}/checkpoint"))
+    rows = out[0].withColumn("run", F.lit(1)).unionByName(out[1].withColumn("run", F.lit(2)))
+    return rows.select("run", F.regexp_extract("file_path", "n=([^/]*)/", 1).alias("folder"), "change_type").filter("folder <> ''").distinct()

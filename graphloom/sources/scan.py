@@ -128,6 +128,25 @@ def read_files(spark: SparkSession, root: str, repo_id: str, paths: list[str]) -
     return _found(spark.read.format("binaryFile").load([f"{root.rstrip('/')}/{p}" for p in paths]), root, repo_id)
 
 
+#: Changed files up to which each is opened by name; beyond, the tree is walked.
+NAMED = 10_000
+
+
+def changed_files(spark: SparkSession, root: str, repo_id: str, files: DataFrame, globs=DEFAULT_EXCLUDES) -> DataFrame:
+    """As ``scan_repo``, of the files (repo_id, file_path) that a parser may read and that are still there: only these are opened."""
+    known = ParserRegistry.with_defaults()
+    rows = files.filter(F.col("repo_id") == repo_id).filter(~excluded(F.col("file_path"), globs)).select("file_path").distinct().limit(NAMED + 1).collect()
+    if len(rows) > NAMED:
+        return scan_repo(spark, root, repo_id, globs).join(files, ["repo_id", "file_path"], "left_semi")
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = path(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [r[0] for r in rows if known.parser_of(r[0])]
+    there = [n for n in names if fs.exists(path(f"{root.rstrip('/')}/{n}"))]
+    if not there:
+        return spark.createDataFrame([], "repo_id string, file_path string, last_modified bigint, file_hash string, content string")
+    return read_files(spark, root, repo_id, there)
+
+
 def scan_class_files(spark: SparkSession, root: str, repo_id: str) -> DataFrame:
     """(repo_id, file_path, content binary) of the JARs and class files below a root, as ``parse_class_files`` takes them; a JAR is a repository of its own, named by its file."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{jar,class}").load(root)
@@ -142,19 +161,30 @@ def _quoted(text: str) -> str:
 
 
 def index_repo(spark: SparkSession, store: GraphStore, root: str, repo_id: str, name: str | None = None, globs=DEFAULT_EXCLUDES, registry: ParserRegistry | None = None) -> DataFrame:
-    """Scan, parse and replace the repository's rows; returns its row of repos."""
+    """Scan, parse and replace the repository's rows; returns its row of repos and ``parse_errors``, the number of files that didn't parse.
+
+    A root that isn't there is refused and leaves no row; a scan that fails leaves the status ERROR. ``file_count`` is of all files read.
+    """
     registry = registry or ParserRegistry.with_defaults()
     exts = [e for p in ("JAVA", "GO", "RUST", "TYPESCRIPT", "JAVASCRIPT", "CPP", "C", "MARKDOWN", "YAML", "JSON") for e in model.LANGUAGES[p]]
-    begun = spark.createDataFrame([(repo_id, name or repo_id, root, [], "INDEXING", None, 0, 0, None)], model.REPOS)
-    store.set_repo(begun)
-    files = scan_repo(spark, root, repo_id, globs, exts)
-    elements, edges, errors = parse_files(files, registry)
-    store.replace_repo(repo_id, elements, edges, files.drop("content"))
-    now = elements.agg(F.count("*").cast("int").alias("element_count"), F.count_distinct("file_path").cast("int").alias("file_count"), F.collect_set("language").alias("languages"))
-    row = now.select(F.lit(repo_id).alias("id"), F.lit(name or repo_id).alias("name"), F.lit(root).alias("root_path"), "languages", F.when(F.lit(errors.isEmpty()) | (F.col("element_count") > 0), "READY").otherwise("ERROR").alias("status"), F.current_timestamp().alias("last_indexed"), "element_count", "file_count", F.lit(None).cast("string").alias("description"))
+    state = lambda status: spark.createDataFrame([(repo_id, name or repo_id, root, [], status, None, 0, 0, None)], model.REPOS)
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        raise FileNotFoundError(f"no folder {root}")
+    store.set_repo(state("INDEXING"))
+    try:
+        files = scan_repo(spark, root, repo_id, globs, exts)
+        elements, edges, errors = parse_files(files, registry)
+        store.replace_repo(repo_id, elements, edges, files.drop("content"))
+    except Exception:
+        store.set_repo(state("ERROR"))
+        raise
+    now = elements.agg(F.count("*").cast("int").alias("element_count"), F.collect_set("language").alias("languages"))
+    read, failed = files.count(), errors.select("repo_id", "file_path").distinct().count()
+    row = now.select(F.lit(repo_id).alias("id"), F.lit(name or repo_id).alias("name"), F.lit(root).alias("root_path"), "languages", F.lit("READY").alias("status"), F.current_timestamp().alias("last_indexed"), "element_count", F.lit(read).alias("file_count"), F.lit(None).cast("string").alias("description"))
     row = materialize(row)
     store.set_repo(row)
-    return row
+    return row.withColumn("parse_errors", F.lit(failed))
 
 
 def browse(path: str) -> list[dict]:

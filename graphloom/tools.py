@@ -17,6 +17,7 @@ from .plans import similarity, traverse
 from .sources import scan
 from .store import GraphStore
 from .streaming import changes
+from .streaming import files as tree
 
 REQUIRED = object()
 
@@ -55,7 +56,13 @@ class Graph:
         return text.bm25(*kept[:1], query, kept[1]) if kept else text.bm25(text.postings(self.elements), query)
 
     def element(self, id: str) -> DataFrame:
-        return self.elements.filter(F.col("id") == id)
+        """One element, from its bucket where there is a store."""
+        found = self.store.elements_of([id]) if self.store else self.elements.filter(F.col("id") == id)
+        return found.withColumns({f.name: F.lit(None).cast(f.dataType) for f in ELEMENTS if f.name not in found.columns})
+
+    def edges_of(self, id: str | None, direction: str = "BOTH") -> DataFrame:
+        """All edges, or where there is a store and one id those that touch it, from its bucket."""
+        return self.store.edges_of([id], direction) if self.store and id is not None else self.edges
 
     def ids(self, *ids: str) -> DataFrame:
         return self.spark.createDataFrame([(i,) for i in ids], "id string")
@@ -125,24 +132,25 @@ def _tool(**parameters):
     return keep
 
 
-def _by_element(name: str, description: str, of: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], order=("line_start", "id"), limit: int = 0) -> None:
-    """A tool that asks one element, or any table of elements under ``ids``; ``limit`` holds for one element."""
+def _by_element(name: str, description: str, of: Callable[[DataFrame, DataFrame, DataFrame], DataFrame], order=("line_start", "id"), limit: int = 0, near: str | None = None) -> None:
+    """A tool that asks one element, or any table of elements under ``ids``; ``limit`` holds for one element. ``near``: of one element it needs the edges in that direction alone."""
 
     def run(graph: Graph, id: str | None, ids: DataFrame | None, limit: int) -> DataFrame:
         if id is None and ids is None:
             raise ValueError(f"{name} needs id or ids")
-        found = of(graph.elements, graph.edges, graph.ids(id) if ids is None else ids).orderBy(*(["source_id"] if ids is not None else []), *order)
+        edges = graph.edges_of(id, near) if near and ids is None else graph.edges
+        found = of(graph.elements, edges, graph.ids(id) if ids is None else ids).orderBy(*(["source_id"] if ids is not None else []), *order)
         return found.limit(limit) if limit > 0 and ids is None else found
 
     _TOOLS[name] = Tool(name, description, run, {"id": None, "ids": None, "limit": limit})
 
 
 def _neighbors(name: str, description: str, edge_type: str, direction: str, limit: int = 0) -> None:
-    _by_element(name, description, lambda e, g, ids: neighbors.neighbors(e, g, [edge_type], direction, ids), limit=limit)
+    _by_element(name, description, lambda e, g, ids: neighbors.neighbors(e, g, [edge_type], direction, ids), limit=limit, near=direction)
 
 
 def _children(name: str, description: str, *kinds: str) -> None:
-    _by_element(name, description, lambda e, g, ids: neighbors.children(e, g, ids, list(kinds)))
+    _by_element(name, description, lambda e, g, ids: neighbors.children(e, g, ids, list(kinds)), near="OUTGOING")
 
 
 _by_element("get_parent", "The element that the parent pointer names", lambda e, g, ids: neighbors.parents(e, ids))
@@ -152,21 +160,21 @@ _children("get_methods", "Methods, functions and constructors inside", "METHOD",
 _children("get_fields", "Fields and properties inside", "FIELD", "PROPERTY")
 _children("get_constructors", "Constructors inside", "CONSTRUCTOR")
 _children("get_imports", "Imports of a file", "IMPORT")
-_by_element("get_superclass", "The type that this one extends", lambda e, g, ids: neighbors.first_neighbor(e, g, "EXTENDS", ids))
+_by_element("get_superclass", "The type that this one extends", lambda e, g, ids: neighbors.first_neighbor(e, g, "EXTENDS", ids), near="OUTGOING")
 _neighbors("get_interfaces", "Types that this one implements", "IMPLEMENTS", "OUTGOING")
 _neighbors("get_subclasses", "Types that extend this one", "EXTENDS", "INCOMING")
 _neighbors("get_implementors", "Types that implement this one", "IMPLEMENTS", "INCOMING")
-_by_element("get_overrides", "The method that this one overrides", lambda e, g, ids: neighbors.first_neighbor(e, g, "OVERRIDES", ids))
+_by_element("get_overrides", "The method that this one overrides", lambda e, g, ids: neighbors.first_neighbor(e, g, "OVERRIDES", ids), near="OUTGOING")
 _neighbors("get_overriders", "Methods that override this one", "OVERRIDES", "INCOMING")
 _by_element("get_override_chain", "The method and those it overrides, step by step", lambda e, g, ids: traverse.override_chain(e, g, ids).join(e, "id"), order=("depth",))
-_by_element("get_callers", "What calls the element, with the class around each caller", neighbors.callers, limit=20)
+_by_element("get_callers", "What calls the element, with the class around each caller", neighbors.callers, limit=20, near="INCOMING")
 _neighbors("get_callees", "What the element calls", "CALLS", "OUTGOING", limit=20)
 _by_element("get_comments", "Comments on the element and, for methods, on what holds it", neighbors.comments)
 _neighbors("get_annotations", "Annotations of the element", "ANNOTATES", "INCOMING")
 _by_element("get_parameters", "Parameters, or else the recorded parameter types", neighbors.parameters, order=("position",))
 _by_element("get_docs", "Own doc comment, comments, annotations and the enclosing element's doc", neighbors.docs, order=("ord", "other_id"))
 _neighbors("get_imported_by", "What imports the element", "IMPORTS", "INCOMING")
-_by_element("get_usages", "Callers, users of the type and makers, each once", neighbors.usages, order=("position", "id"), limit=50)
+_by_element("get_usages", "Callers, users of the type and makers, each once", neighbors.usages, order=("position", "id"), limit=50, near="INCOMING")
 _by_element("get_config", "A configuration file's text, or its keys", neighbors.config, order=("name",))
 
 
@@ -226,7 +234,7 @@ def get_elements_at_location(graph: Graph, file_path: str, line: int, repo_id: s
 @_tool(id=REQUIRED, element_type=None)
 def get_children(graph: Graph, id: str, element_type: str | None) -> DataFrame:
     """What the element contains, of all types or one"""
-    return neighbors.children(graph.elements, graph.edges, graph.ids(id), [element_type.upper()] if element_type else None).orderBy("line_start", "id")
+    return neighbors.children(graph.elements, graph.edges_of(id, "OUTGOING"), graph.ids(id), [element_type.upper()] if element_type else None).orderBy("line_start", "id")
 
 
 @_tool(from_id=REQUIRED, to_id=REQUIRED, max_depth=traverse.DEFAULT_DEPTH)
@@ -281,7 +289,7 @@ def get_dependencies(graph: Graph, id: str | None, repo_id: str | None, limit: i
     """Dependencies and imports of an element, or dependencies of a repository's packages"""
     if id is None and repo_id is None:
         raise ValueError("get_dependencies needs id or repo_id")
-    found = neighbors.dependencies(graph.elements, graph.edges, graph.ids(id)) if id else neighbors.repo_dependencies(graph.elements, graph.edges, repo_id, limit)
+    found = neighbors.dependencies(graph.elements, graph.edges_of(id, "OUTGOING"), graph.ids(id)) if id else neighbors.repo_dependencies(graph.elements, graph.edges, repo_id, limit)
     return found.orderBy("source_id", "edge_type", "id")
 
 
@@ -306,13 +314,13 @@ def list_configs(graph: Graph, repo_id: str | None, limit: int) -> DataFrame:
 @_tool(id=REQUIRED, edge_types=[], limit=20)
 def get_related(graph: Graph, id: str, edge_types: list[str], limit: int) -> DataFrame:
     """Edges both ways with their other ends"""
-    return neighbors.related(graph.elements, graph.edges, known(edge_types, EDGE_TYPES), graph.ids(id), limit).orderBy(F.desc("direction"), "position")
+    return neighbors.related(graph.elements, graph.edges_of(id), known(edge_types, EDGE_TYPES), graph.ids(id), limit).orderBy(F.desc("direction"), "position")
 
 
 @_tool(id=REQUIRED, target_language=None)
 def find_cross_language(graph: Graph, id: str, target_language: str | None) -> DataFrame:
     """Ends of links into other languages"""
-    return neighbors.cross_language(graph.elements, graph.edges, graph.ids(id), target_language and target_language.upper()).orderBy("edge_type", "id")
+    return neighbors.cross_language(graph.elements, graph.edges_of(id), graph.ids(id), target_language and target_language.upper()).orderBy("edge_type", "id")
 
 
 @_tool(repo_id=REQUIRED, root_path=REQUIRED, name=None)
@@ -337,9 +345,9 @@ def remove_repo(graph: Graph, repo_id: str) -> DataFrame:
     return list_repos(graph)
 
 
-@_tool(repo_id=REQUIRED, log=REQUIRED, checkpoint=REQUIRED, once=False)
-def start_watching(graph: Graph, repo_id: str, log: str, checkpoint: str, once: bool) -> DataFrame:
-    """Flush a repository's change log into the store as it grows; the status. A repository that is watched goes on as it is"""
+@_tool(repo_id=REQUIRED, checkpoint=REQUIRED, log=None, once=False, quiet_ms=changes.DEBOUNCE_MS)
+def start_watching(graph: Graph, repo_id: str, checkpoint: str, log: str | None, once: bool, quiet_ms: int) -> DataFrame:
+    """Flush changes below a repository's root, or those of a change log, into the store as they come; the status. A repository that is watched goes on as it is"""
     own = graph.repos.filter(F.col("id") == repo_id)
     root = own.select("root_path").first()
     if root is None:
@@ -348,10 +356,11 @@ def start_watching(graph: Graph, repo_id: str, log: str, checkpoint: str, once:
     if running is None or not running.isActive:
 
         def parse(files: DataFrame) -> tuple[DataFrame, ...]:
-            found = scan.scan_repo(graph.spark, root["root_path"], repo_id).join(files, ["repo_id", "file_path"], "left_semi")
+            found = scan.changed_files(graph.spark, root["root_path"], repo_id, files)
             return *scan.parse_files(found)[:2], found.drop("content")
 
-        graph.watching[repo_id] = changes.watch(graph.spark, log, graph.store, own, parse, checkpoint, once=once)
+        source = log if log is not None else tree.file_events(graph.spark, root["root_path"], repo_id, f"{checkpoint.rstrip('/')}/listings")
+        graph.watching[repo_id] = changes.watch(graph.spark, source, graph.store, own, parse, checkpoint, scan.DEFAULT_EXCLUDES, once, quiet_ms)
     return get_watch_status(graph)
 
 
@@ -359,7 +368,7 @@ def start_watching(graph: Graph, repo_id: str, log: str, checkpoint: str, once:
 def stop_watching(graph: Graph, repo_id: str) -> DataFrame:
     """Stop the watch of a repository, if there is one; the status"""
     if running := graph.watching.pop(repo_id, None):
-        running.stop()
+        changes.stop_between(running)
     return get_watch_status(graph)
 
 

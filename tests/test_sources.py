@@ -83,7 +83,7 @@ def test_snippets():
     assert rows.truncate("x\n" * 200).count("\n") == 100
 
 
-def test_index_and_watch(spark, tmp_path):
+def test_index_and_watch(spark, tmp_path, monkeypatch):
     src = tmp_path / "src" / "com"
     src.mkdir(parents=True)
     (tmp_path / "src" / "target").mkdir()
@@ -93,7 +93,16 @@ def test_index_and_watch(spark, tmp_path):
     (tmp_path / "src" / "README.md").write_text("# Hi\ntext\n")
     s = GraphStore(spark, str(tmp_path / "store"))
     row = scan.index_repo(spark, s, str(tmp_path / "src"), "repo").first()
-    assert row["status"] == "READY" and row["file_count"] == 2 and s.read("file_index").count() == 3
+    assert row["status"] == "READY" and row["file_count"] == 3 and row["parse_errors"] == 1 and s.read("file_index").count() == 3
+    with pytest.raises(FileNotFoundError):
+        scan.index_repo(spark, s, str(tmp_path / "nowhere"), "none")
+    assert [r["id"] for r in s.read("repos").collect()] == ["repo"]
+    with monkeypatch.context() as m, pytest.raises(RuntimeError):
+        m.setattr(scan, "parse_files", lambda *_: (_ for _ in ()).throw(RuntimeError("broken")))
+        scan.index_repo(spark, s, str(tmp_path / "src"), "again")
+    assert {r["id"]: r["status"] for r in s.read("repos").collect()} == {"repo": "READY", "again": "ERROR"}
+    s.set_repo(s.read("repos").filter("id = 'repo'"))
+    s.write(repos=s.read("repos").filter("id = 'repo'"))
     before = {r["id"] for r in s.read("elements").collect()}
     scan.index_repo(spark, s, str(tmp_path / "src"), "repo")
     assert {r["id"] for r in s.read("elements").collect()} == before and s.read("repos").count() == 1
