@@ -250,7 +250,7 @@ def settle_rest(coded: DataFrame, classes: np.ndarray, core: int, hashes: np.nda
             kinds += [kind[at], kind[at]]
             xs += [_LEFT + np.r_[total - SHAPES, k[:-1]][at], _RIGHT + np.r_[k[1:], total - SHAPES][at]]
             size += len(at)
-            if size > 8 * _FLUSH:
+            if size > 2 * _FLUSH:
                 yield rows(keys, kinds, xs)
                 keys, kinds, xs, size = [], [], [], 0
         if keys:
