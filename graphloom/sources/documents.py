@@ -13,17 +13,18 @@ _FQCN = re.compile(r"^(?:[a-z_][a-z0-9_]*\.)+[A-Z][A-Za-z0-9_$]*$")
 
 def headings(text: str) -> list[tuple[int, int, str]]:
     """(line from 1, level, title): ATX and setext headings outside fenced code."""
-    out, fence, lines = [], None, text.split("\n")
+    out, fence, closed, lines = [], None, -1, text.split("\n")
     for i, line in enumerate(lines):
         mark = re.match(r" {0,3}(`{3,}|~{3,})", line)
         if fence:
+            closed = i
             if mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and not line.strip().strip(fence[0]):
                 fence = None
         elif mark:
             fence = mark[1]
         elif m := re.match(r" {0,3}(#{1,6})(?:[ \t]+(.*?))?(?:[ \t]+#+)?[ \t]*$", line):
             out.append((i + 1, len(m[1]), (m[2] or "").strip()))
-        elif i and re.match(r" {0,3}(?:=+|-+)[ \t]*$", line) and lines[i - 1].strip() and not re.match(r" {0,3}(?:[#>*+-]|\d+[.)])", lines[i - 1]) and (not out or out[-1][0] != i):
+        elif i and closed != i - 1 and re.match(r" {0,3}(?:=+|-+)[ \t]*$", line) and lines[i - 1].strip() and not re.match(r" {0,3}(?:[#>*+-]|\d+[.)])", lines[i - 1]) and (not out or out[-1][0] != i):
             out.append((i, 1 if "=" in line else 2, lines[i - 1].strip()))
     return out
 

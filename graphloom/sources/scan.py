@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import sys
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,7 +19,8 @@ from pyspark.sql import types as T
 from .. import model
 from ..functions.globs import DEFAULT_EXCLUDES, excluded
 from ..store import GraphStore, materialize, valid_edges
-from . import blocks, classfile, documents, rows
+from ..streaming import files as tree
+from . import blocks, classfile, documents, native, rows
 
 for _m in (sys.modules[__name__], blocks, classfile, documents, rows, model):
     cloudpickle.register_pickle_by_value(_m)
@@ -29,6 +33,7 @@ class Parser:
     name: str
     can_parse: Callable[[str], bool]
     parse: Callable[[str, str, str], rows.Rows]
+    built_in: bool = False
 
 
 def _by_language(*languages: str) -> Callable[[str], bool]:
@@ -57,9 +62,18 @@ class ParserRegistry:
     def with_defaults() -> ParserRegistry:
         out = ParserRegistry()
         for name, langs in (("JAVA", ("JAVA",)), ("GO", ("GO",)), ("RUST", ("RUST",)), ("TYPESCRIPT", ("TYPESCRIPT", "JAVASCRIPT")), ("CPP", ("CPP",)), ("C", ("C",))):
-            out.register(Parser(name, _by_language(*langs), _blocks(name)))
-        out.register(Parser("MARKDOWN", _by_language("MARKDOWN"), documents.parse_markdown))
-        return out.register(Parser("CONFIG", _by_language("YAML", "JSON"), documents.parse_config))
+            out.register(Parser(name, _by_language(*langs), _blocks(name), True))
+        out.register(Parser("MARKDOWN", _by_language("MARKDOWN"), documents.parse_markdown, True))
+        return out.register(Parser("CONFIG", _by_language("YAML", "JSON"), documents.parse_config, True))
+
+    def in_expressions(self, name: str) -> bool:
+        """Whether a built-in parser comes before all parsers of users, so that what it does in Spark expressions can take its place."""
+        for p in self.parsers:
+            if not p.built_in:
+                return False
+            if p.name == name:
+                return True
+        return False
 
 
 _ROW = T.StructType([T.StructField("_kind", T.StringType()), T.StructField("_error", T.StringType()), *model.ELEMENTS.fields, T.StructField("from_id", T.StringType()), T.StructField("edge_type", T.StringType()), T.StructField("to_id", T.StringType())])
@@ -67,8 +81,21 @@ _NAMES = [f.name for f in _ROW]
 
 
 def parse_files(files: DataFrame, registry: ParserRegistry | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """files (repo_id, file_path, content string) -> elements, edges, errors (repo_id, file_path, error). A file that fails gives no rows but its error."""
+    """files (repo_id, file_path, content string) -> elements, edges, errors (repo_id, file_path, error). A file that fails gives no rows but its error.
+
+    JSON and Markdown go through Spark expressions, unless a parser of a user comes first; all other files through Python workers.
+    """
     registry = registry or ParserRegistry.with_defaults()
+    found, rest = [], files.select("repo_id", "file_path", "content")
+    for name, language in (("CONFIG", "JSON"), ("MARKDOWN", "MARKDOWN")):
+        mine = F.coalesce(F.lower("file_path").rlike(r"\.(" + "|".join(model.LANGUAGES[language]) + r")\z"), F.lit(False))
+        if not registry.in_expressions(name) or (own := rest.filter(mine)).isEmpty():
+            continue
+        rest = rest.filter(~mine)
+        made = native.parse_json(own) if language == "JSON" else (*native.parse_markdown(own), own.limit(0).select("repo_id", "file_path", F.lit(None).cast("string").alias("error")))
+        found.append((materialize(made[0].dropDuplicates(["id"])), materialize(valid_edges(made[1])), materialize(made[2])))
+    if found and rest.isEmpty():
+        return tuple(reduce(DataFrame.unionByName, x) for x in zip(*found))
 
     def parse(repo: str, path: str, text: str | None) -> rows.Rows:
         parser = registry.parser_of(path)
@@ -76,7 +103,38 @@ def parse_files(files: DataFrame, registry: ParserRegistry | None = None) -> tup
             raise ValueError("no parser")
         return parser.parse(repo, path, text or "")
 
-    return _parsed(files, parse)
+    found.append(_parsed(rest, parse))
+    return tuple(reduce(DataFrame.unionByName, x) for x in zip(*found))
+
+
+_CALLED = ("id", "element_type", "language", "name", "qualified_name", "line_start", "line_end", "snippet", "parent_id")
+
+
+def register_udtf(spark: SparkSession, registry: ParserRegistry | None = None, name: str = "parse_source") -> None:
+    """Makes the registry's parsers a table function of SQL: ``select p.* from files f, lateral parse_source(f.repo_id, f.file_path, f.content) p``.
+
+    A row has ``kind`` element, edge or error and the columns of that kind, others null. A file that no parser takes, or that fails, gives its error alone; null content counts as empty.
+    """
+    parsers = registry or ParserRegistry.with_defaults()
+
+    class ParseSource:
+        def eval(self, repo_id: str, file_path: str, content: str):
+            none = dict.fromkeys((*_CALLED, "from_id", "edge_type", "to_id"))
+            try:
+                parser = parsers.parser_of(file_path)
+                if parser is None:
+                    raise ValueError("no parser")
+                got = parser.parse(repo_id, file_path, content or "")
+            except Exception as e:  # as in parse_files
+                yield ("error", f"{type(e).__name__}: {e}"[:500], *none.values())
+                return
+            for r in got.elements:
+                yield ("element", None, *(r.get(c) for c in _CALLED), None, None, None)
+            for edge in got.edges:
+                yield ("edge", None, *(None for _ in _CALLED), *edge)
+
+    own = ", ".join(f"{c} {'int' if c.startswith('line_') else 'string'}" for c in _CALLED)
+    spark.udtf.register(name, F.udtf(ParseSource, returnType=f"kind string, error string, {own}, from_id string, edge_type string, to_id string"))
 
 
 def parse_class_files(files: DataFrame, packages: tuple[str, ...] = (), excludes: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -110,11 +168,70 @@ def _parsed(files: DataFrame, parse: Callable[[str, str, object], rows.Rows]) ->
 def _found(files: DataFrame, root: str, repo_id: str) -> DataFrame:
     base = root.rstrip("/").split("://")[-1].removeprefix("file:")
     rel = F.regexp_replace("path", rf"^.*?{_quoted(base)}/", "")
-    return files.select(F.lit(repo_id).alias("repo_id"), rel.alias("file_path"), F.unix_millis("modificationTime").alias("last_modified"), F.sha2("content", 256).alias("file_hash"), F.decode("content", "UTF-8").alias("content"))
+    return files.select(F.lit(repo_id).alias("repo_id"), rel.alias("file_path"), F.unix_millis("modificationTime").alias("last_modified"), F.sha2("content", 256).alias("file_hash"), F.make_valid_utf8(F.col("content").cast("string")).alias("content"))
+
+
+#: Folders that one task opens before it hands on those that it has found.
+FOLDERS = 1_000
+
+
+def walk(spark: SparkSession, root: str, globs=DEFAULT_EXCLUDES) -> DataFrame:
+    """(file_path, modified in ms, size) of the files below a root that aren't excluded: folders are a frontier that the executors list, and excluded ones are never opened. A tree of up to FOLDERS folders takes one round."""
+    base, out, found = root, tree.compiled(globs), []
+    at = spark.createDataFrame([("",)], "path string")
+
+    def run(batches):
+        fs, top = tree.located(base)
+        for b in batches:
+            files, left = tree.listed(fs, top, b.column(0).to_pylist(), out, FOLDERS)
+            rows = [(p, False, n // 1_000_000, size) for p, n, size in files] + [(p, True, None, None) for p in left]
+            kinds = {"path": pa.string(), "folder": pa.bool_(), "modified": pa.int64(), "size": pa.int64()}
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], list(kinds))
+
+    while True:
+        rows = materialize(at.mapInArrow(run, "path string, folder boolean, modified bigint, size bigint"))
+        found.append(rows.filter("not folder").select(F.col("path").alias("file_path"), "modified", "size"))
+        at = rows.filter("folder").select("path")
+        if at.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+        at = at.repartition(spark.sparkContext.defaultParallelism)
+
+
+def _contents(spark: SparkSession, root: str, repo_id: str, files: DataFrame) -> DataFrame:
+    """The listed files with their hashes and texts, each read where its row is; one that has gone meanwhile has no row."""
+    base = root
+
+    def run(batches):
+        fs, top = tree.located(base)
+        for b in batches:
+            for path, modified in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                try:
+                    with fs.open_input_stream(f"{top}/{path}", compression=None) as f:
+                        raw = f.read()
+                except FileNotFoundError:
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([modified], pa.int64()), pa.array([hashlib.sha256(raw).hexdigest()]), pa.array([raw.decode("utf-8", "replace")])], ["file_path", "last_modified", "file_hash", "content"])
+
+    read = files.select("file_path", "modified").mapInArrow(run, "file_path string, last_modified bigint, file_hash string, content string")
+    return read.select(F.lit(repo_id).alias("repo_id"), "file_path", "last_modified", "file_hash", "content")
 
 
 def scan_repo(spark: SparkSession, root: str, repo_id: str, globs=DEFAULT_EXCLUDES, extensions: list[str] | None = None) -> DataFrame:
-    """(repo_id, file_path, last_modified, file_hash, content) of the files below a root that aren't excluded by their path from it or their absolute path; only files of the ``extensions`` are opened, if there are any."""
+    """(repo_id, file_path, last_modified, file_hash, content) of the files below a root that aren't excluded by their path from it or their absolute path; only files of the ``extensions`` are opened, if there are any, and excluded folders are not.
+
+    Where only Spark's own file systems reach the root it lists the whole tree and filters.
+    """
+    try:
+        tree.located(root)
+    except (ValueError, NotImplementedError, OSError):
+        return _scan_through_spark(spark, root, repo_id, globs, extensions)
+    files = walk(spark, root, globs)
+    if extensions:
+        files = files.filter(F.lower(F.regexp_extract("file_path", r"\.([^./]*)\z", 1)).isin([e.lower() for e in extensions]))
+    return _contents(spark, root, repo_id, files.repartition(spark.sparkContext.defaultParallelism))
+
+
+def _scan_through_spark(spark: SparkSession, root: str, repo_id: str, globs=DEFAULT_EXCLUDES, extensions: list[str] | None = None) -> DataFrame:
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if extensions:
         either = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else "\\" + c if c in "*?[]{}\\" else c for c in e)

@@ -1,4 +1,4 @@
-"""Changes of a tree of files as a stream: a data source whose offsets are listings of the tree."""
+"""Changes of a tree of files as a stream: a data source whose offsets are listings of the tree. Paths are excluded by their path from the root or their absolute path."""
 
 from __future__ import annotations
 
@@ -33,33 +33,38 @@ def located(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
 
 
-def pattern_of(patterns) -> re.Pattern | None:
-    return re.compile("|".join(f"(?:{glob_regex(g)})" for g in patterns), re.S) if patterns else None
+def compiled(patterns) -> list[re.Pattern]:
+    return [re.compile(glob_regex(g), re.S) for g in patterns]
 
 
-def opened(path: str, out: re.Pattern | None) -> bool:
-    """Whether a folder, by its path from the root, may hold a file that isn't excluded: not if a file of no name in it would be."""
-    return not (out and (out.match(f"{path}/") or out.match(f"{path}/\x00")))
+def opened(path: str, out: list[re.Pattern]) -> bool:
+    """Whether a folder may hold a file that isn't excluded: not if one pattern matches files of any name and depth below it."""
+    return not any(p.match(f"{path}/\x00") and p.match(f"{path}/\x00/\x00") for p in out)
 
 
-def listing(root: str, patterns=DEFAULT_EXCLUDES) -> dict[str, list[int]]:
-    """path from the root -> [time of change in ns, size] of the files below a root; excluded folders are not opened."""
-    fs, base = located(root)
-    out, at, found = pattern_of(patterns), [""], {}
-    while at:
-        folder = at.pop()
+def listed(fs: pafs.FileSystem, base: str, folders: list[str], out: list[re.Pattern], most: int | None = None) -> tuple[list[tuple[str, int, int]], list[str]]:
+    """((path, time of change in ns, size) of the files below some folders, folders that are left once ``most`` were opened); paths are from the base, excluded folders are not opened. A folder that has gone meanwhile has no files."""
+    at, found, n = list(folders), [], 0
+    while at and (most is None or n < most):
+        folder, n = at.pop(), n + 1
         try:
             rows = fs.get_file_info(pafs.FileSelector(f"{base}/{folder}" if folder else base))
-        except FileNotFoundError:  # it went meanwhile
+        except FileNotFoundError:
             continue
         for f in rows:
             path = f"{folder}/{f.base_name}" if folder else f.base_name
             if f.type == pafs.FileType.Directory:
-                if opened(path, out):
+                if opened(path, out) and opened(f"{base}/{path}", out):
                     at.append(path)
-            elif f.type == pafs.FileType.File and not (out and out.match(path)):
-                found[path] = [f.mtime_ns or 0, f.size]
-    return found
+            elif f.type == pafs.FileType.File and not any(p.match(path) or p.match(f"{base}/{path}") for p in out):
+                found.append((path, f.mtime_ns or 0, f.size))
+    return found, at
+
+
+def listing(root: str, patterns=DEFAULT_EXCLUDES) -> dict[str, list[int]]:
+    """path from the root -> [time of change in ns, size] of the files below a root."""
+    fs, base = located(root)
+    return {path: [at, size] for path, at, size in listed(fs, base, [""], compiled(patterns))[0]}
 
 
 class _Listings:

@@ -1,6 +1,8 @@
 """Parsers, scans and streams on small files."""
 
+import hashlib
 import json
+import os
 import time
 
 import pytest
@@ -155,3 +157,27 @@ def test_rust_attributes(spark):
     assert rows["a.rs#attr@4:#[derive(Debug, Clone)]"].name == "#[derive(Debug, Clone)]" and not any("serde" in q or "allow" in q for q in rows)
     ids = {r.id: q for q, r in rows.items()}
     assert {(ids[e.from_id], ids[e.to_id]) for e in edges.collect() if e.edge_type == "ANNOTATES"} == {("crate::P#attr:#[derive(Debug, Clone)]", "crate::P"), (own, "crate::P"), ("crate::f#attr:#[inline]", "crate::f"), ("crate::U#attr:#[unit]", "crate::U")}
+
+
+def test_walk_prunes(spark, tmp_path, monkeypatch):
+    """A pipe below node_modules would hold up whoever opens it; a tree of more folders than a task opens takes several rounds."""
+    src = tmp_path / "src"
+    (src / "node_modules" / "x").mkdir(parents=True)
+    os.mkfifo(src / "node_modules" / "x" / "pipe.java")
+    deep = src
+    for i in range(7):
+        (deep := deep / f"d{i}").mkdir()
+        (deep / f"f{i}.go").write_bytes(b"package p\xff\n")
+    (src / "build").mkdir()
+    (src / "build" / "one.go").write_text("a")
+    (src / "build" / "in").mkdir()
+    (src / "build" / "in" / "two.GO").write_text("b")
+    monkeypatch.setattr(scan, "FOLDERS", 2)
+    found = lambda *a, **k: {r["file_path"]: r for r in scan.scan_repo(spark, str(src), "r", *a, **k).collect()}
+    rows = found(extensions=["go", "java"])
+    assert sorted(rows) == sorted("/".join(f"d{j}" for j in range(i + 1)) + f"/f{i}.go" for i in range(7))
+    one = rows["d0/f0.go"]
+    assert one["content"] == "package p�\n" and one["file_hash"] == hashlib.sha256(b"package p\xff\n").hexdigest() and abs(one["last_modified"] - time.time() * 1000) < 600_000
+    kept = set(found(("**/node_modules/**", "build/*")))
+    assert "build/one.go" not in kept and "build/in/two.GO" in kept
+    assert not found(("**",)) and {r["file_path"] for r in scan.changed_files(spark, str(src), "r", spark.createDataFrame([("r", "d0/f0.go"), ("r", "gone.go"), ("r", "build/in/two.GO"), ("q", "d0/d1/f1.go"), ("r", "d0/x.bin")], "repo_id string, file_path string")).collect()} == {"d0/f0.go"}
