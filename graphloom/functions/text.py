@@ -89,3 +89,8 @@ def snippet_from_source(elements: DataFrame, files: DataFrame, context: int = 0)
     start = F.greatest(F.lit(1), F.col("line_start") - context)
     own = F.array_join(F.slice(F.split("content", "\n"), start, F.greatest(F.col("line_end"), F.col("line_start")) + context - start + 1), "\n")
     return joined.select("id", F.coalesce(F.when(F.col("line_start") > 0, own), F.col("snippet")).alias("text"))
+
+
+def short_label(name: Column, most: int = 30, ends: str = "…") -> Column:
+    """A name as a drawing has it: of one longer than ``most`` the first ``most`` - 2, and ``ends``."""
+    return F.when(F.length(name) > most, F.concat(F.substring(name, 1, most - 2), F.lit(ends))).otherwise(name)

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import K1
 from ..model import ELEMENT_TYPES, LANGUAGES, known
 
 MAX_PAGE, DEFAULT_PAGE = 500, 50
@@ -58,12 +59,24 @@ def predicates(q: SearchQuery) -> list[Column]:
     return out
 
 
+def _clause_scores(found: DataFrame, elements: DataFrame, q: SearchQuery) -> DataFrame:
+    """``found`` with what the repository, type and language that it has add to its score: each asked value is a term of a field without lengths, so a rare one of several counts for more. Statistics are of all elements."""
+    for column, asked in (("repo_id", q.repo_ids), ("element_type", known(q.element_types, ELEMENT_TYPES)), ("language", known(q.languages, list(LANGUAGES)))):
+        if asked:
+            each = elements.filter(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_df"))
+            docs = each.agg(F.sum("_df").alias("n")).first()["n"] or 0
+            idf = F.log(1 + (F.lit(docs) - F.col("_df") + 0.5) / (F.col("_df") + 0.5))
+            part = each.filter(F.col(column).isin(asked)).select(column, (idf / (1 + K1)).alias("_part"))  # as many rows as values are asked
+            found = found.join(F.broadcast(part), column).withColumn("score", F.col("score") + F.col("_part")).drop("_part")
+    return found
+
+
 def search(elements: DataFrame, q: SearchQuery, scores: DataFrame | None = None) -> DataFrame:
-    """Matching elements before ordering and paging; ``scores`` (id, score) are those of the text, if there is one."""
+    """Matching elements before ordering and paging; ``scores`` (id, score) are those of the text, if there is one, and filters by repository, type and language add to them."""
     out = elements
     for p in predicates(q):
         out = out.filter(p)
-    return out.join(scores, "id") if q.text and q.text.strip() and scores is not None else out
+    return _clause_scores(out.join(scores, "id"), elements, q) if q.text and q.text.strip() and scores is not None else out
 
 
 def page(found: DataFrame, q: SearchQuery) -> DataFrame:

@@ -529,6 +529,20 @@ def bm25_topk(E, G, t):
     return text.bm25(text.postings(E), "the and").select("id", _round("score")).orderBy(F.desc("score"), "id").limit(50)
 
 
+@query(_POST + """, N as (select field, count(*) docs, avg(dl) mean from (select distinct field, id, dl from P) group by 1), S as (select id, sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean))) s from P join (select field, count(*) df from P where term = 'supplier' group by 1) v using (field) join N using (field) where term = 'supplier' group by id),
+C as (select element_type, count(*) d, sum(count(*)) over () n from E group by 1), R as (select repo_id, count(*) d, sum(count(*)) over () n from E where repo_id is not null group by 1)
+select e.id, round(s + ln(1 + (C.n - C.d + 0.5) / (C.d + 0.5)) / 2.2 + ln(1 + (R.n - R.d + 0.5) / (R.d + 0.5)) / 2.2, 6) score from S join E e on e.id = S.id join C on C.element_type = e.element_type join R on R.repo_id = e.repo_id where e.element_type in ('INTERFACE', 'COMMENT_DOC') and e.repo_id in ('r2', 'r3') order by score desc, e.id limit 40""")
+def search_scored_filters(E, G, t):
+    """A text with filters: the rarer of the asked types and repositories adds more."""
+    q = SearchQuery(text="supplier", element_types=["INTERFACE", "COMMENT_DOC"], repo_ids=["r2", "r3"])
+    return predicates.search(E, q, text.bm25(text.postings(E), "supplier")).select("id", _round("score")).orderBy(F.desc("score"), "id").limit(40)
+
+
+@query("select id, case when length(name) > 30 then substr(name, 1, 28) || '…' else name end label, case when length(name) > 25 then substr(name, 1, 23) || '...' else name end short from E")
+def labels(E, G, t):
+    return E.select("id", text.short_label(F.col("name")).alias("label"), text.short_label(F.col("name"), 25, "...").alias("short"))
+
+
 @query("""select id, (case when line_start > 0 then line_start else 1 end + k - 1)::int line, printf('%4d', case when line_start > 0 then line_start else 1 end + k - 1) || ' | ' || l rendered from (select id, case when element_type = 'MARKDOWN_DOCUMENT' and name < '5' then 9998 else line_start end line_start, unnest(string_split(snippet, chr(10))) l, generate_subscripts(string_split(snippet, chr(10)), 1) k from E where snippet is not null)""")
 def snippet_lines(E, G, t):
     return text.numbered_lines(_late(E))

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from .functions import text
 from .queries import _changes, query
-from .sources import lines, scan, trees
+from .sources import lines, rows, scan, trees
 from .store import GraphStore, shared_dir
 from .streaming import changes
 from .streaming import files as file_tree
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: One file a customer for each language; @@ stands for its number. Below it the elements: type, qualified name, lines, what the id is made of where that isn't the qualified name.
 FILES = {
     "java": """package shop.n3;
@@ -177,6 +181,30 @@ def parse_visibility(E, G, t):
     return found.select("file_path", "name", "visibility", F.array_join("modifiers", " ").alias("modifiers"))
 
 
+def _own_parser(repo: str, path: str, text: str):
+    """A parser as a user writes it: one FUNCTION for each word of the first line."""
+    out, at = rows.Rows(repo, path, "UNKNOWN", text), 0
+    top = out.element("FILE", path, path, 0)
+    for n, word in enumerate(text.split("\n")[0].split(" ")):
+        row = out.element("FUNCTION", word, f"{path}#{word}@{n}", at, parent=top)
+        out.edge(top["id"], "CONTAINS", row["id"])
+        at += len(word) + 1
+    return out
+
+
+@query("""with W as (select 'p' || p_partkey || '.own' p, unnest(string_split(p_name, ' ')) w, generate_subscripts(string_split(p_name, ' '), 1) - 1 n from part), I as (select *, p || '#' || w || '@' || n q from W)
+select p file_path, 'element' kind, w as name, substr(sha256('shop|' || p || '|FUNCTION|' || q), 1, 32) id, null::varchar from_id from I union all select p, 'edge', null, substr(sha256('shop|' || p || '|FUNCTION|' || q), 1, 32), substr(sha256('shop|' || p || '|FILE|' || p), 1, 32) from I
+union all select 'p' || p_partkey || '.none', 'error', null, null, null from part where p_partkey % 50 = 0""")
+def parse_by_sql(E, G, t):
+    """A user's parser called from SQL by lateral join, over a file a part; nothing parses the files of another kind."""
+    spark, name = E.sparkSession, F.concat(F.lit("p"), F.col("p_partkey").cast("string"))
+    own = t("part").select(F.concat(name, F.lit(".own")).alias("file_path"), F.col("p_name").alias("content"))
+    files = own.unionByName(t("part").filter("p_partkey % 50 = 0").select(F.concat(name, F.lit(".none")).alias("file_path"), F.lit("x").alias("content")))
+    scan.register_udtf(spark, scan.ParserRegistry([scan.Parser("OWN", lambda p: p.endswith(".own"), _own_parser)]), "parse_own")
+    found = spark.sql("select f.file_path, p.* from {files} f, lateral parse_own('shop', f.file_path, f.content) p where p.kind <> 'element' or p.element_type = 'FUNCTION'", files=files)
+    return found.select("file_path", "kind", "name", F.coalesce("id", "to_id").alias("id"), "from_id")
+
+
 # -- declarations by line, and printed trees
 
 DECLARED = {

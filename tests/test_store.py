@@ -114,6 +114,10 @@ def test_layers(spark, tmp_path, monkeypatch):
         assert sorted(tuple(r) for r in at.read("elements").select("id", "repo_id", "file_path", "name").collect()) == sorted(e)
         assert sorted(tuple(r) for r in at.read("edges").select("from_id", "edge_type", "to_id").collect()) == sorted(g)
         assert {(r[0], r[1]): r[2] for r in at.read("file_index").select("repo_id", "file_path", "last_modified").collect()} == index
+        asked = [x[0] for x in e[:2]] + ["gone", victims and next(iter(victims)) or "gone"]
+        assert sorted(tuple(r) for r in at.elements_of(asked).select("id", "repo_id", "file_path", "name").collect()) == sorted(x for x in e if x[0] in asked)
+        for way, ends in (("BOTH", (0, 2)), ("OUTGOING", (0,)), ("INCOMING", (2,))):
+            assert sorted(tuple(r) for r in at.edges_of(asked, way).select("from_id", "edge_type", "to_id").collect()) == sorted(x for x in g if any(x[i] in asked for i in ends))
         posts, stats = at.postings(["red", "hen"])
         assert sorted(r["id"] for r in posts.collect()) == sorted(x[0] for x in e if x[3] != "grey")
         assert stats.filter("field = 'name'").first()["docs"] == len(e)
@@ -125,3 +129,41 @@ def test_layers(spark, tmp_path, monkeypatch):
     small = at._current()[1]
     at.compact()
     assert all(len(v[0]) <= len(small[k][0]) for k, v in at._current()[1].items()) and at.read("elements").count() == sum(x[1] == "r0" for x in e)
+
+
+def rows_read(df) -> int:
+    """Rows that come out of the scans of files, as Spark counts them."""
+    df.collect()
+
+    def walk(node):
+        node = node.executedPlan() if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec" else node.plan() if "QueryStage" in node.getClass().getSimpleName() else node
+        own = node.metrics().get("numOutputRows")
+        if "FileSourceScan" in node.getClass().getSimpleName():
+            return own.get().value()
+        kids = node.children()
+        return sum(walk(kids.apply(i)) for i in range(kids.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_one_id_reads_one_bucket(spark, tmp_path):
+    """Of 20,000 elements and 60,000 edges a lookup, an untyped scan and a file's delete read what one bucket or file holds."""
+    at = store.GraphStore(spark, str(tmp_path / "s"))
+    n = spark.range(20_000)
+    name = lambda c: F.concat(F.lit("e"), c.cast("string"))
+    elements = n.select(name(F.col("id")).alias("id"), F.lit("r").alias("repo_id"), F.concat(F.lit("f"), F.floor(F.col("id") / 10).cast("string")).alias("file_path"), F.lit("x").alias("name"))
+    edges = n.select(F.explode(F.sequence(F.lit(1), F.lit(3))).alias("k"), "id").select(name(F.col("id")).alias("from_id"), F.concat(F.lit("T"), F.col("k")).alias("edge_type"), name(F.col("id") * 7 * F.col("k") % 20_000).alias("to_id"))
+    at.write(elements=elements, edges=edges, file_index=spark.createDataFrame([], "repo_id string, file_path string, last_modified long, file_hash string"))
+    one, near = at.elements_of(["e77"]), at.edges_of(["e77"])
+    assert one.count() == 1 and near.count() == edges.filter("from_id = 'e77' or to_id = 'e77'").count()
+    read = rows_read(at.elements_of(["e77"])), rows_read(at.edges_of(["e77"])), rows_read(at.read("edges").filter("from_id = 'e77' or to_id = 'e77'"))
+    assert read[0] < 20_000 / 30 and read[1] < 120_000 / 30 and read[2] == 60_000
+    seen = []
+    real = store.GraphStore._put
+    try:
+        store.GraphStore._put = lambda self, name, version, df: (seen.append((name, rows_read(df))), real(self, name, version, df))[1]
+        at.replace_files(spark.createDataFrame([("r", "f7")], "repo_id string, file_path string"), elements.filter("id = 'e70'").limit(1), edges.filter("from_id = 'e70'"))
+    finally:
+        store.GraphStore._put = real
+    assert max(k for _, k in seen) < 20_000 and at.read("elements").count() == 19_991
+    assert sorted(r["to_id"] for r in at.edges_of(["e70"], "OUTGOING").collect()) == ["e1470", "e490", "e980"]
