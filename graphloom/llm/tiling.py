@@ -17,6 +17,8 @@ from .common import BROADCAST_BYTES, columns_kept, materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: What a test counts for beside its text where their size is bounded, so that very many small ones count too.
+ROW_BYTES = 64
 WORD = re.compile(r"\w+")
 _BASE = np.uint64(0x100000001B3)
 _ADDED = ("_coverage", "_item", "_tiles")
@@ -162,28 +164,30 @@ def _held(docs: DataFrame, rows: list[tuple], text_col: str, k: int) -> DataFram
 
 
 def _seeds(rows: DataFrame, k: int, sizes: list[int] | None) -> DataFrame:
-    """rows (n, t) -> (n, h): the distinct hashes of their k-token windows and sizes; for tests (no ``sizes``) those of their seeds."""
+    """rows (n, t) -> (n, h, w, s): the distinct hashes of their k-token windows and sizes; for tests (no ``sizes``) those of their seeds, with how many tokens of the test such windows may cover, and how many it has."""
 
     def run(batches):
         digest = xxhash.xxh64_intdigest
         for b in batches:
-            ns, hs = [], []
+            ns, hs, ws, lengths = [], [], [], []
             for n, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 ids = np.array([digest(w.encode("utf-8", "surrogatepass"), 42) for w in tokens(t)], np.uint64)
                 for size in sizes or [min(k, len(ids))]:
                     if size:
-                        h = np.unique(karp_rabin(ids, size) + np.uint64(size))
+                        h, times = np.unique(karp_rabin(ids, size) + np.uint64(size), return_counts=True)
                         ns += [n] * len(h)
                         hs += h.view(np.int64).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(ns, pa.int64()), pa.array(hs, pa.int64())], ["n", "h"])
+                        ws += (times * size).tolist()
+                        lengths += [len(ids)] * len(h)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (ns, hs, ws, lengths)], ["n", "h", "w", "s"])
 
-    return rows.mapInArrow(run, "n bigint, h bigint")
+    return rows.mapInArrow(run, "n bigint, h bigint, w bigint, s bigint")
 
 
 def _joined(docs: DataFrame, tests: DataFrame, text_col: str, k: int) -> DataFrame:
-    """As ``_held``, for tests too large to hold: seeds of both sides are joined on the executors, and each (text, test) that shares one is tiled there."""
+    """As ``_held``, for tests too large to hold: seeds of both sides are joined on the executors and only counted by pair, which bounds what a test's tiles can cover. Each text is tiled with the test of its highest bound, and then only with those whose bound is above what that gave; so few texts travel, and none of the best is missed."""
     docs = materialize(docs.withColumn("_row", F.monotonically_increasing_id()))
-    texts = docs.select(F.col("_row").alias("n"), F.col(text_col).alias("t"))
+    texts = docs.select(F.col("_row").alias("d"), F.col(text_col).alias("x"))
 
     def lengths(batches):
         for b in batches:
@@ -191,8 +195,9 @@ def _joined(docs: DataFrame, tests: DataFrame, text_col: str, k: int) -> DataFra
 
     sizes = sorted(r["s"] for r in tests.select("t").mapInArrow(lengths, "s int").distinct().collect() if r["s"])  # at most k
     found = materialize(_seeds(tests, k, None))
-    pairs = _seeds(texts, k, sizes).select(F.col("n").alias("d"), "h").join(found, "h").select("d", "n").distinct()
-    both = pairs.join(tests, "n").join(texts.withColumnsRenamed({"n": "d", "t": "x"}), "d").select("d", "n", "t", "x")
+    own = _seeds(texts.withColumnsRenamed({"d": "n", "x": "t"}), k, sizes).select(F.col("n").alias("d"), "h")
+    pairs = own.join(found, "h").groupBy("d", "n").agg((F.sum("w") / F.max("s")).alias("bound"))
+    pairs = materialize(pairs.withColumn("bound", F.least(F.lit(1.0), "bound")))
 
     def run(batches):
         for b in batches:
@@ -200,7 +205,11 @@ def _joined(docs: DataFrame, tests: DataFrame, text_col: str, k: int) -> DataFra
             got = [Items([(0, test)], k).match(text) for test, text in zip(t, x)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([g[0] for g in got], pa.float64()), pa.array([g[2] for g in got], pa.int64())], ["d", "n", "c", "t"])
 
-    best = both.mapInArrow(run, "d bigint, n bigint, c double, t bigint").filter("c > 0").groupBy("d").agg(F.min(F.struct((-F.col("c")).alias("c"), "n", "t")).alias("b"))
+    tiled = lambda some: materialize(some.select("d", "n").join(tests, "n").join(texts, "d").select("d", "n", "t", "x").mapInArrow(run, "d bigint, n bigint, c double, t bigint"))
+    first = tiled(pairs.groupBy("d").agg(F.min(F.struct((-F.col("bound")).alias("b"), "n")).alias("o")).select("d", "o.n"))
+    had = first.select("d", F.col("n").alias("n1"), F.col("c").alias("c1"))
+    rest = pairs.join(had, "d").filter((F.col("n") != F.col("n1")) & ((F.col("bound") > F.col("c1")) | (F.col("bound") == F.col("c1")) & (F.col("n") < F.col("n1"))))
+    best = first.unionByName(tiled(rest)).filter("c > 0").groupBy("d").agg(F.min(F.struct((-F.col("c")).alias("c"), "n", "t")).alias("b"))
     out = docs.join(best, F.col("_row") == F.col("d"), "left")
     return out.select(*(c for c in docs.columns if c != "_row"), F.coalesce(-F.col("b.c"), F.lit(0.0)).alias("_coverage"), F.col("b.n").alias("_n"), F.coalesce("b.t", F.lit(0)).cast("bigint").alias("_tiles"))
 
@@ -210,11 +219,11 @@ def decontaminate(docs: DataFrame, tests: DataFrame, text_col: str = "text", ite
     """docs with ``_coverage`` (highest share of one test's tokens that tiles of at least ``shortest`` tokens cover), ``_item`` (its id; of equal shares the least, null first) and ``_tiles``.
 
     Tokens are lower-cased runs of word characters, so case and punctuation don't hide a passage, and tiles may come in any order. A test of fewer tokens than ``shortest`` is covered where all of it occurs; one without tokens (null and empty too) never is. Null and empty texts have coverage 0; repeated rows and other columns stay; an empty table gives none.
-    Tests of up to ``held_bytes`` bytes in all go to every task, and texts take one narrow pass. Larger ones never come to the driver: seeds of both sides are joined. The rows are the same either way.
+    Tests of up to ``held_bytes`` bytes in all, 64 a test counted in, go to every task, and texts take one narrow pass. Larger ones never come to the driver: seeds of both sides are joined. The rows are the same either way.
     """
     given = tests.select(F.col(item_col).alias("i"), F.col(item_text).alias("t")).filter("t is not null").distinct()
     ordered = materialize(given.orderBy(F.col("i").asc_nulls_first(), "t").withColumn("n", F.monotonically_increasing_id()))
-    total = ordered.agg(F.sum(F.octet_length("t").cast("bigint")).alias("b")).first()["b"] or 0
+    total = ordered.agg(F.sum(F.octet_length("t").cast("bigint") + ROW_BYTES).alias("b")).first()["b"] or 0
     if total <= held_bytes:
         out = _held(docs, [(r["n"], r["t"]) for r in ordered.select("n", "t").collect()], text_col, shortest)
     else:

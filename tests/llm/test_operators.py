@@ -436,6 +436,16 @@ def test_decontamination_finds_every_whole_item(spark, sf):
     assert want == {r["doc_id"] for r in queries.op8_decontamination(spark, sf).filter("contaminated").collect()}
 
 
+@pytest.mark.parametrize("held", [1 << 20, 0])
+def test_tiling_of_a_seed_in_every_text_and_test(spark, held):
+    """Long texts and many tests that all share a passage: each text's own test is found, by both paths."""
+    common = "the same five words everywhere"
+    tests = [(i, f"{common} " + " ".join(f"t{i}w{j}" for j in range(20))) for i in range(30)] + [(99, None), (98, "")]
+    docs = [(i, " ".join(f"x{i}y{j}" for j in range(9000 if i < 3 else 30)) + f" {common} " + (" ".join(f"t{i}w{j}" for j in range(5, 20)) if i % 2 else "")) for i in range(12)]
+    out = tiling.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(tests, "item_id long, text string"), held_bytes=held).collect()
+    assert {r["doc_id"]: (r["_item"], round(r["_coverage"], 6), r["_tiles"]) for r in out} == {i: (i, 0.8, 2) if i % 2 else (0, 0.2, 1) for i in range(12)}
+
+
 def test_mixing_redistributes_to_siblings_first(spark):
     rows = [("a", "x", 10), ("a", "y", 1000), ("b", "z", 1000)]
     leaves = spark.createDataFrame(rows, "d string, s string, tokens long").withColumn("cap", F.col("tokens").cast("double"))
