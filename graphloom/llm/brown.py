@@ -200,8 +200,8 @@ def settle(starts: np.ndarray, x: np.ndarray, n: np.ndarray, own: np.ndarray, gr
     logs, word = _f(cells), np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(x)]))
     gain = np.zeros((len(starts), total))
     ends = np.r_[starts, len(x)]
-    for a in range(0, len(starts), 2000):
-        z = min(a + 2000, len(starts))
+    for a in range(0, len(starts), 500):
+        z = min(a + 500, len(starts))
         e = slice(ends[a], ends[z])
         each = _f(cells[x[e]] + n[e, None]) - logs[x[e]]
         at = np.arange(e.stop - e.start)
