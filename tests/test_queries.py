@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from graphloom import queries
+from graphloom import fixtures, queries
 
 
 @pytest.fixture(scope="module")
@@ -35,3 +35,18 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0 and set(queries.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("name", ["element_by_id", "edge_scan", "element_ids", "tokens", "constructors", "search_sorted_name"])
+def test_graph_is_not_written(spark, sf, monkeypatch, name):
+    monkeypatch.setattr(fixtures, "shared_dir", lambda spark: pytest.fail("wrote the graph for one pass over it"))
+    monkeypatch.setattr(fixtures, "_LOADED", {})
+    assert queries.QUERIES[name](spark, sf).count() > 0
+
+
+def test_edges_by_keys(spark, sf):
+    tables = fixtures.tables(spark, sf)
+    want = spark.sql(fixtures.EDGES, **{k: v for k, v in tables.items() if f"{{{k}}}" in fixtures.EDGES})
+    got = fixtures.edges(spark, sf)
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert fixtures._by_keys(fixtures.EDGES).count("(select distinct") == 6 and "select distinct 'order:'" not in fixtures._by_keys(fixtures.EDGES)
