@@ -50,3 +50,10 @@ def test_edges_by_keys(spark, sf):
     got = fixtures.edges(spark, sf)
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
     assert fixtures._by_keys(fixtures.EDGES).count("(select distinct") == 6 and "select distinct 'order:'" not in fixtures._by_keys(fixtures.EDGES)
+
+
+def test_stream_debounce_gives_every_burst(spark, sf):
+    """As many as the batch query has, not one a path."""
+    want = queries.QUERIES["debounce_sessions"](spark, sf).filter("cast(substring(file_path, 2, 9) as bigint) % 3 <> 0").select("file_path", "started", "ended", "events")
+    got = queries.QUERIES["stream_debounce"](spark, sf).select("file_path", "started", "ended", "events")
+    assert got.count() == want.count() > got.select("file_path").distinct().count() and got.exceptAll(want).isEmpty()
