@@ -235,3 +235,10 @@ def test_search_skips_leaves(spark, monkeypatch):
     s = x @ x[0]
     want = sorted(range(1, len(x)), key=lambda i: (-s[i], i))[:5]
     assert rows.tolist() == want and score.tolist() == [s[i] for i in want] and sum(seen) < len(x) / 2
+
+
+def test_sample_sends_no_more_than_it_needs(spark):
+    rows = spark.range(0, 100_000, 1, 40).select(F.col("id").alias("row"), F.array("id").alias("v"))
+    got = vantage._sample(rows, 100_000, 1000)
+    assert 800 < got.count() < 1200 and "TakeOrdered" not in got._jdf.queryExecution().executedPlan().toString()
+    assert vantage._sample(rows.limit(50), 50, 1000).count() == 50
