@@ -18,6 +18,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 #: Bytes of the anchoring q-gram; window starts refined at once in a task; contexts of one q-gram up to which one task takes them.
 GRAM, WORK, GROUP = 32, 1 << 20, 20_000
+#: Documents whose contexts a task takes at once, and contexts that it holds before it hands them on; equal ones that it hands on apart are counted together later.
+DOCUMENTS, CONTEXTS = 64, 40_000
 _POS = 21
 _TABLE = np.random.default_rng(11).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = 0x9E3779B97F4A7C15
@@ -215,25 +217,38 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     twice = materialize(keyed.select("text").mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key"))
     found = keyed.mapInArrow(place, "uid bigint, size int, key bigint, at bigint").join(twice, "key").groupBy("uid", "size").agg(F.collect_set(F.struct("key", "at")).alias("found")).withColumnsRenamed({"uid": "_u", "size": "_s"})
 
+    def handed(rows, kinds=(pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())):
+        for at in range(0, len(rows), 20_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 20_000]), kinds)], ["kind", "key", "ctx", "uid", "size", "lo", "off", "n", "bytes"])
+
     def contexts(batches):
-        for b in batches:
-            uids, sizes, texts, founds = b.column(0).to_pylist(), b.column(1).to_pylist(), raws(b, 2), b.column(3).to_pylist()
-            slim, full = [], {}
-            for uid, size, text, found in zip(uids, sizes, texts, founds):
-                for x in found:
-                    key, at = x["key"], x["at"]
-                    lo = (at >> 20) - (at >> 10 & 1023)
-                    own = text[lo : lo + (at & 1023) + length]
-                    ctx = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True)
-                    slim.append((0, key, ctx, uid, size, lo, None, None, None))
-                    if (key, ctx) in full:
-                        full[key, ctx][1] += 1
-                    else:
-                        full[key, ctx] = [at >> 10 & 1023, 1, own]
-            rows = slim + [(1, k, c, None, None, None, off, n, own) for (k, c), (off, n, own) in full.items()]
-            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            for at in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[at : at + 20_000]), kinds)], ["kind", "key", "ctx", "uid", "size", "lo", "off", "n", "bytes"])
+        def whole(full):
+            return handed([(1, k, c, None, None, None, off, n, own) for (k, c), (off, n, own) in full.items()])
+
+        for batch in batches:
+            full = {}
+            for i in range(0, len(batch), DOCUMENTS):
+                b, slim = batch.slice(i, DOCUMENTS), []
+                uids, sizes, founds = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(3)
+                for uid, size, text, found in zip(uids, sizes, raws(b, 2), founds):
+                    keys, places = (found.values.field(c).to_pylist() for c in ("key", "at"))
+                    for key, at in zip(keys, places):
+                        lo = (at >> 20) - (at >> 10 & 1023)
+                        own = text[lo : lo + (at & 1023) + length]
+                        ctx = int.from_bytes(hashlib.blake2b(own, digest_size=8).digest(), "little", signed=True)
+                        slim.append((0, key, ctx, uid, size, lo, None, None, None))
+                        if (key, ctx) in full:
+                            full[key, ctx][1] += 1
+                        else:
+                            full[key, ctx] = [at >> 10 & 1023, 1, own]
+                        if len(slim) >= CONTEXTS:
+                            yield from handed(slim)
+                            slim = []
+                        if len(full) >= CONTEXTS:
+                            yield from whole(full)
+                            full = {}
+                yield from handed(slim)
+            yield from whole(full)
 
     made = materialize(keyed.join(found, (F.col("uid") == F.col("_u")) & (F.col("size") == F.col("_s"))).select("uid", "size", "text", "found").mapInArrow(contexts, "kind int, key bigint, ctx bigint, uid bigint, size int, lo bigint, off bigint, n bigint, bytes binary"))
     whole = made.filter("kind = 1").select("key", "ctx", "off", "n", "bytes")

@@ -811,3 +811,14 @@ def test_other_columns_survive(spark, awkward, name):
 def test_sha_of_nothing(spark, sf):
     out = queries.op5_suffix_dedup(spark, sf).filter("n_removed = n_bytes").collect()
     assert all(r["kept_sha256"] == hashlib.sha256(b"").hexdigest() for r in out)
+
+
+def test_contexts_handed_on_early_change_nothing(spark, monkeypatch):
+    """A task holds few contexts at once, whatever a batch has; equal ones that it hands on apart still count as copies."""
+    texts = ["".join(chr(97 + (i * i * k) % 23) for i in range(300)) for k in (1, 2, 3)]
+    frame = spark.createDataFrame([(i, texts[i % 3] + str(i)) for i in range(12)], "doc_id long, text string").coalesce(1)
+    want = {r["doc_id"]: bytes(r["_kept"]) for r in byte_repeats.drop_repeated_bytes(frame).collect()}
+    monkeypatch.setattr(byte_repeats, "DOCUMENTS", 2)
+    monkeypatch.setattr(byte_repeats, "CONTEXTS", 3)
+    assert want == {r["doc_id"]: bytes(r["_kept"]) for r in byte_repeats.drop_repeated_bytes(frame).collect()}
+    assert all(len(k) < 10 for k in want.values())
