@@ -44,6 +44,12 @@ def test_graph_is_not_written(spark, sf, monkeypatch, name):
     assert queries.QUERIES[name](spark, sf).count() > 0
 
 
+@pytest.mark.parametrize("name", ["delete_file", "delete_repo"])
+def test_deleted_ids_are_found_once(spark, sf, name):
+    """Not again in each branch of the graph's unions, which made plans of thousands of joins."""
+    assert queries.QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("Join ") < 200
+
+
 def test_edges_by_keys(spark, sf):
     tables = fixtures.tables(spark, sf)
     want = spark.sql(fixtures.EDGES, **{k: v for k, v in tables.items() if f"{{{k}}}" in fixtures.EDGES})
