@@ -74,6 +74,29 @@ def test_candidate_pairs_of_a_hub(make, monkeypatch):
     assert len(got) == len(set(got)) and set(got) == set(combinations(ids, 2)) | {("m", i) for i in ids[:3]}
 
 
+def test_classes_of_a_hub_make_pairs_only_where_they_are_read(make, monkeypatch):
+    """Nodes of a hub that differ by neighbours of their own are linked without a row a pair."""
+    monkeypatch.setattr(similarity, "PART", 20)
+    links = [(f"n{i:03}", "EXTENDS", "hub") for i in range(120)] + [(f"n{i:03}", "EXTENDS", f"own{i // 2}") for i in range(90)]
+    links += [(f"n{i:03}", "EXTENDS", "few") for i in range(0, 120, 7)] + [("m", "EXTENDS", "few"), ("k", "EXTENDS", "alone")]
+    _, g = make(links)
+    met = []
+    monkeypatch.setattr(similarity, "candidate_pairs", lambda *a, f=similarity.candidate_pairs, **k: met.append(f(*a, **k)) or met[-1])
+    nodes, pairs = similarity.similarity_classes(g, ["EXTENDS"])
+    near = {}
+    for a, _, b in links:
+        near.setdefault(a, set()).add(b)
+    named = {}
+    for a in sorted(near):
+        named.setdefault(frozenset(near[a]), a)
+    want = {(a, b): (len(near[a] & near[b]), len(near[a]), len(near[b])) for a, b in combinations(sorted(named.values()), 2) if near[a] & near[b]}
+    got = pairs.collect()
+    assert {(r["a"], r["b"]): (r["common"], r["n_a"], r["n_b"]) for r in got} == want and len(got) == len(want)
+    assert all(r["jaccard"] == pytest.approx(r["common"] / (r["n_a"] + r["n_b"] - r["common"])) for r in got)
+    assert {r["id"]: (r["class_id"], r["links"]) for r in nodes.collect()} == {a: (named[frozenset(near[a])], sum(a != b and bool(near[a] & near[b]) for b in near)) for a in near}
+    assert met[0].count() * 4 < len(want)
+
+
 def test_dangling(make):
     e, g = make([("a", "CALLS", "b"), ("a", "CALLS", "ghost"), ("ghost", "CALLS", "d")], elements=["a", "b", "d"])
     assert [r["id"] for r in neighbors.neighbors(e, g, ["CALLS"], ids=e.filter("id = 'a'")).collect()] == ["b"]
