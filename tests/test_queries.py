@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from graphloom import fixtures, queries
+from graphloom.functions import text
 
 
 @pytest.fixture(scope="module")
@@ -63,3 +64,40 @@ def test_stream_debounce_gives_every_burst(spark, sf):
     want = queries.QUERIES["debounce_sessions"](spark, sf).filter("cast(substring(file_path, 2, 9) as bigint) % 3 <> 0").select("file_path", "started", "ended", "events")
     got = queries.QUERIES["stream_debounce"](spark, sf).select("file_path", "started", "ended", "events")
     assert got.count() == want.count() > got.select("file_path").distinct().count() and got.exceptAll(want).isEmpty()
+
+
+def shuffled_rows(df):
+    """Rows that the shuffles of ``df`` wrote, by the metrics of the plan that ran."""
+    df.collect()
+
+    def walk(plan):
+        if plan.nodeName() == "AdaptiveSparkPlan":
+            return walk(plan.executedPlan())
+        if plan.nodeName() in ("ShuffleQueryStage", "BroadcastQueryStage"):
+            return walk(plan.plan())
+        own = plan.metrics().apply("shuffleRecordsWritten").value() if plan.nodeName() == "Exchange" else 0
+        children = plan.children()
+        return own + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_terms_are_counted_where_they_are_read(spark, sf):
+    """Each term of each text used to travel to be counted."""
+    made = text.postings(fixtures.elements(spark, sf), ("snippet",)).count()
+    assert shuffled_rows(queries.QUERIES["tokens"](spark, sf)) < made / 2
+
+
+def test_counts_of_shared_ids(spark):
+    """Rows of one id count as their postings do: one for each term and length."""
+    rows = [("a", "red hen red", "x"), ("a", "red fox red", "x y"), ("a", "red", None), ("b", "Red hen", ""), (None, "red", "x"), (None, "red", "x"), ("c", None, "hen's x"), ("d", "--", "red")]
+    elements = spark.createDataFrame(rows, "id string, snippet string, name string")
+    posts = text.postings(elements)
+    same = lambda got, want: sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+    assert same(text.term_counts(elements), posts.groupBy("field", "term").count())
+    lengths = posts.select("field", "id", "dl").distinct()
+    assert same(text.text_stats(elements), lengths.groupBy("field").agg({"id": "max", "dl": "sum"}).drop("max(id)").join(lengths.groupBy("field").count(), "field").select("field", "count", "sum(dl)"))
+    for asked in ("red", "Red hen", "x", "hen's", "none", ""):
+        terms = text.query_terms(asked)
+        assert same(text.postings(elements, terms=terms), posts.filter(posts.term.isin(terms)))
+        assert same(text.ranked(elements, asked).selectExpr("id", "round(score, 9)"), text.bm25(posts, asked).selectExpr("id", "round(score, 9)"))
