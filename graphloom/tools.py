@@ -53,7 +53,7 @@ class Graph:
     def scores(self, query: str) -> DataFrame:
         """(id, score) of a text, from the postings that the store keeps, or made on the spot."""
         kept = self.store and self.store.postings(text.query_terms(query))
-        return text.bm25(*kept[:1], query, kept[1]) if kept else text.bm25(text.postings(self.elements), query)
+        return text.bm25(*kept[:1], query, kept[1]) if kept else text.ranked(self.elements, query)
 
     def element(self, id: str) -> DataFrame:
         """One element, from its bucket where there is a store."""

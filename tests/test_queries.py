@@ -88,6 +88,12 @@ def test_terms_are_counted_where_they_are_read(spark, sf):
     assert shuffled_rows(queries.QUERIES["tokens"](spark, sf)) < made / 2
 
 
+def test_a_search_moves_no_rows_of_other_terms(spark, sf):
+    """Each field of each element used to travel for the means of lengths."""
+    made = text.postings(fixtures.elements(spark, sf)).select("field", "id").distinct().count()
+    assert shuffled_rows(queries.QUERIES["search_scored_filters"](spark, sf)) < made * 0.7
+
+
 def test_counts_of_shared_ids(spark):
     """Rows of one id count as their postings do: one for each term and length."""
     rows = [("a", "red hen red", "x"), ("a", "red fox red", "x y"), ("a", "red", None), ("b", "Red hen", ""), (None, "red", "x"), (None, "red", "x"), ("c", None, "hen's x"), ("d", "--", "red")]
