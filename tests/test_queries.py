@@ -9,6 +9,7 @@ import pytest
 
 from graphloom import fixtures, queries
 from graphloom.functions import text
+from graphloom.operators import neighbors
 
 
 @pytest.fixture(scope="module")
@@ -107,3 +108,25 @@ def test_counts_of_shared_ids(spark):
         terms = text.query_terms(asked)
         assert same(text.postings(elements, terms=terms), posts.filter(posts.term.isin(terms)))
         assert same(text.ranked(elements, asked).selectExpr("id", "round(score, 9)"), text.bm25(posts, asked).selectExpr("id", "round(score, 9)"))
+
+
+def test_related_rows_travel_narrow(spark, sf):
+    """Direction, position and type were columns of their own on the way to the names."""
+    left = queries.QUERIES["related"](spark, sf)._jdf.queryExecution().optimizedPlan()
+    while left.nodeName() != "Join":
+        left = left.children().apply(0)
+    assert left.children().apply(0).output().size() == 3
+
+
+@pytest.mark.parametrize("limit", [1, 2, 10, 200])
+def test_related_of_odd_edges(spark, limit):
+    """Null ends and types, types with spaces, empty ones and loops come out as they went in."""
+    edges = [("a", "CALLS", f"n{i}") for i in range(12)] + [("a", "", "b"), ("a", "two words", "b"), ("a", " x ", "b"), ("a", None, "b"), (None, "CALLS", "a"), ("a", "CALLS", None), ("a", "LOOP", "a")]
+    elements = spark.createDataFrame([("a", "A", "CLASS"), ("b", None, "CLASS"), ("n3", "N", "METHOD")], "id string, name string, element_type string")
+    got = neighbors.related(elements, spark.createDataFrame(edges, "from_id string, edge_type string, to_id string"), limit=limit)
+    names, want = {"a": ("A", "CLASS"), "b": (None, "CLASS"), "n3": ("N", "METHOD")}, []
+    for way, ends in (("OUTGOING", [(f, t, k) for f, k, t in edges]), ("INCOMING", [(t, f, k) for f, k, t in edges])):
+        for source in {e[0] for e in ends}:
+            first = sorted(((k, o) for s, o, k in ends if s == source), key=lambda x: tuple((v is not None, v or "") for v in x))[:limit]
+            want += [(source, way, k, o, n, *names.get(o, (None, None))) for n, (k, o) in enumerate(first, 1)]
+    assert Counter(map(tuple, got.select("source_id", "direction", "edge_type", "other_id", "position", "name", "element_type").collect())) == Counter(want)
