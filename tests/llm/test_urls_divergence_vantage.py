@@ -242,3 +242,21 @@ def test_sample_sends_no_more_than_it_needs(spark):
     got = vantage._sample(rows, 100_000, 1000)
     assert 800 < got.count() < 1200 and "TakeOrdered" not in got._jdf.queryExecution().executedPlan().toString()
     assert vantage._sample(rows.limit(50), 50, 1000).count() == 50
+
+
+def test_nothing_large_is_broadcast(spark, monkeypatch):
+    """Equal vectors take next to nothing in files, but a broadcast holds them as rows on the driver."""
+    met, plans = vantage._found, []
+
+    def seen(*args):
+        plans.append(met(*args))
+        return plans[-1]
+
+    monkeypatch.setattr(vantage, "_found", seen)
+    rows = [(i, i % 3, [0.5 + (i % 2) * 0.25, 0.5]) for i in range(300)]
+    got = mined(spark, rows, part=64)
+    plain = spark.createDataFrame(rows, "vec_id bigint, label int, embedding array<float>")
+    plans.append(vantage.hard_negatives(plain, F.col("vec_id") % 10 == 0, F.col("label"), part=64))
+    assert got and len(plans) == 9
+    for df in plans:
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
