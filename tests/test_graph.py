@@ -6,9 +6,9 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from graphloom import fixtures, store
+from graphloom import fixtures, queries, store
 from graphloom.functions.globs import excluded, glob_regex
-from graphloom.model import known, language_of_extension
+from graphloom.model import known, language_of_extension, narrow, widened
 from graphloom.operators import neighbors, predicates
 from graphloom.plans import components, similarity, traverse
 
@@ -184,3 +184,24 @@ def test_components(spark):
     got = {r["node"]: r["root"] for r in components.connected_components(frame).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 150: 100, 200: 100, **{1000 + i: 1000 for i in range(300)}}
     assert components.connected_components(frame.limit(0)).count() == 0
+
+
+ODD_IDS = ["order:7", "order:07", "order:-7", "order:+7", "order: 7", "order:7 ", ":7", "7", "order:", "order", "", "a:b:9", "a:99999999999999999999", None]
+
+
+def test_narrow_ids_come_back(spark):
+    df = spark.createDataFrame([(i,) for i in ODD_IDS], "id string").select("id", *narrow("id", "k")).select("id", "k_t", "k_n", widened("k").alias("back"))
+    got = df.collect()
+    assert all(r.id == r.back for r in got) and len({(r.k_t, r.k_n) for r in got}) == len(ODD_IDS)
+    assert {r.id: r.k_n for r in got if r.k_n is not None} == {"order:7": 7, "order:-7": -7, ":7": 7, "7": 7, "a:b:9": 9}
+
+
+def test_valid_edges(spark, sf):
+    """Repeats over several tasks, odd ids, other columns in their places; the query reads its graph once."""
+    links = [(i, a, t, b) for i, (a, b) in enumerate((a, b) for a in ODD_IDS for b in ODD_IDS) for t in ("CALLS", None)]
+    G = spark.createDataFrame(links, "id int, from_id string, edge_type string, to_id string")
+    got = store.valid_edges(G.unionByName(G).unionByName(G.limit(9)).repartition(5))
+    assert got.columns == G.columns
+    assert sorted(map(tuple, got.collect())) == sorted(r for r in links if None not in r)
+    reads = lambda n: queries.QUERIES[n](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("Relation ")
+    assert reads("valid_edges") == reads("edge_ids")
