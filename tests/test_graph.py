@@ -196,6 +196,23 @@ def test_narrow_ids_come_back(spark):
     assert {r.id: r.k_n for r in got if r.k_n is not None} == {"order:7": 7, "order:-7": -7, ":7": 7, "7": 7, "a:b:9": 9}
 
 
+def test_neighbor_sets(spark):
+    """Both ways, loops, missing ends and types; an edge travels once."""
+    links = [(a, t, b) for i, a in enumerate(ODD_IDS) for j, b in enumerate(ODD_IDS) for k, t in enumerate(["CALLS", "IMPORTS", None, "CALLS"]) if (3 * i + 5 * j + 7 * k) % 4 == 0]
+    G = spark.createDataFrame(links, "from_id string, edge_type string, to_id string").repartition(3)
+    want = {}
+    for direction, seen in (("OUTGOING", links), ("INCOMING", [(b, t, a) for a, t, b in links])):
+        first = {}
+        for a, t, b in seen:
+            first.setdefault((a, b), []).append(t)
+        for ends, ts in first.items():
+            want.setdefault(ends, (None if None in ts else min(ts), direction))
+    got = similarity.neighbor_sets(G)
+    rows = got.select("source_id", "other_id", "edge_type", "direction").collect()
+    assert len(rows) == len(want) and {(r[0], r[1]): (r[2], r[3]) for r in rows} == want
+    assert "Union" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_valid_edges(spark, sf):
     """Repeats over several tasks, odd ids, other columns in their places; the query reads its graph once."""
     links = [(i, a, t, b) for i, (a, b) in enumerate((a, b) for a in ODD_IDS for b in ODD_IDS) for t in ("CALLS", None)]
