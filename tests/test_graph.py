@@ -222,3 +222,16 @@ def test_valid_edges(spark, sf):
     assert sorted(map(tuple, got.collect())) == sorted(r for r in links if None not in r)
     reads = lambda n: queries.QUERIES[n](spark, sf)._jdf.queryExecution().optimizedPlan().toString().count("Relation ")
     assert reads("valid_edges") == reads("edge_ids")
+
+
+def test_siblings_of_one_child_come_together(spark, make):
+    """They repeat its id and name, so files hold them in few bytes; the asking side is the one that is held."""
+    kids = [f"k{i}" for i in range(7)]
+    E, G = make([("p", "CONTAINS", k) for k in kids], parents=dict.fromkeys(kids, "p"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = neighbors.siblings(E, G, E.filter("id in ('k1', 'k3', 'k5')")).select("source_id", "id").collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted(map(tuple, rows)) == sorted((a, b) for a in ("k1", "k3", "k5") for b in kids if a != b)
+    assert sum(a.id != b.id for a, b in zip(rows, rows[1:])) == len(kids) - 1
