@@ -6,6 +6,7 @@ from collections import Counter
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from graphloom import fixtures, queries
 from graphloom.functions import text
@@ -130,3 +131,14 @@ def test_related_of_odd_edges(spark, limit):
             first = sorted(((k, o) for s, o, k in ends if s == source), key=lambda x: tuple((v is not None, v or "") for v in x))[:limit]
             want += [(source, way, k, o, n, *names.get(o, (None, None))) for n, (k, o) in enumerate(first, 1)]
     assert Counter(map(tuple, got.select("source_id", "direction", "edge_type", "other_id", "position", "name", "element_type").collect())) == Counter(want)
+
+
+def test_pairs_are_dealt_by_their_second_key(spark, sf):
+    """All edges that lead to a part or supplier come from one task, which cuts them to the first few."""
+    made = fixtures.edges(spark, sf).filter("edge_type in ('IMPORTS', 'USES_TYPE') and to_id like 'supplier:%'")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = made.select("edge_type", "to_id", F.spark_partition_id().alias("task")).groupBy("edge_type", "to_id").agg(F.countDistinct("task").alias("n")).agg(F.max("n"), F.count("*")).first()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert got[0] == 1 and got[1] > 0
